@@ -1,22 +1,50 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, BPE."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, BPE.
+
+Each stage takes and returns rows with the columns of `documents`; the last one returns the encoded documents. Every stage is a table in
+the shared folder before the next one reads it, so a lost executor costs the tasks of one stage at most.
+
+Rows whose doc_id is null are dropped by the first stage (they cannot be judged by id); repeated rows of one id share its verdict."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import quality_rules
+from lorekeep.llm import bpe, decontaminate, near_dedup, quality_rules, secrets
 from lorekeep.llm.common import cut, table
 
+#: The stages before the last are not SQL: they hold hashed candidates and edit distances; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = quality_rules.apply_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi")
+    """Documents that the rules keep. The verdict is a column of the same projection: no join."""
+    kept = quality_rules.apply_rules(docs, keep_row=True).where("kept and doc_id is not null")
+    return kept.select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id; of repeated rows of that id, all."""
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, within the edits allowed, go."""
+    gone = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts and n_chars follows; no document goes."""
+    return secrets.redact_secrets(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(docs, with_ids=True)
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("benchmark decontamination", decontamination), ("secret scan", secret_scan), ("BPE", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

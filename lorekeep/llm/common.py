@@ -47,18 +47,26 @@ def crc_bucket(id_col: Column, mod: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(mod)
 
 
+def runs(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of rows with about `limit` characters, which bounds what a task holds."""
+    if not pa.types.is_string(texts.type) or not len(texts):
+        yield 0, len(texts)
+        return
+    ends = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)))
+    start = 0
+    while start < len(texts):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield start, stop
+        start = stop
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list]]:
-    """Ids and texts of Arrow batches in runs of about `limit` characters, which bounds what a task holds."""
+    """Ids and texts of Arrow batches, cut into runs()."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)) if pa.types.is_string(texts.type) and len(texts) else np.zeros(len(texts), np.int64)
-        ends = np.cumsum(lengths)
-        start = 0
-        while start < len(ids):
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
-            yield ids[start:stop], texts.slice(start, stop - start).to_pylist()
-            start = stop
+        for start, stop in runs(batch.column(1), limit):
+            part = batch.slice(start, stop - start)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, id_text
+from .common import SPACE, WORD
 
 #: (measure, lowest, highest) of the verdict after the base rule; None: no bound. A document is kept if every measure is inside.
 THRESHOLDS: list[tuple[str, float | None, float | None]] = [
@@ -57,23 +57,24 @@ def repeat_words() -> Column:
     return F.when(F.size("_words") < 3, F.array().cast("array<struct<w:string,p:int>>")).otherwise(windows)
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds: list | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, the measures, base_failed and kept, one row per input row."""
-    base = id_text(docs, id_col, text_col)
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds: list | None = None, keep_row: bool = False) -> DataFrame:
+    """doc_id, the measures, base_failed and kept, one row per input row; with keep_row also the row itself, as struct _row."""
+    row = [F.struct("*").alias("_row")] * keep_row
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *row)
     d = base.withColumn("_words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)))
     d = d.withColumn("_win", repeat_words())
     at = lambda i: F.get("_win", i)["w"]
     rep = F.filter(F.col("_win"), lambda x, i: F.coalesce(at(i - 1) == x["w"], F.lit(False)) | F.coalesce(at(i + 1) == x["w"], F.lit(False)))
     d = d.withColumn("_pos", F.sort_array(F.transform(rep, lambda x: x["p"])))
     covered = F.aggregate(F.transform("_pos", lambda p, i: F.when(i == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("_pos", i - 1)))), F.lit(0), lambda s, x: s + x)
-    d = d.select("doc_id", "text", *[c.alias(k) for k, c in measures(F.col("text")).items()], covered.cast("long").alias("n_repeat_words"))
+    d = d.select("doc_id", *["_row"] * keep_row, *[c.alias(k) for k, c in measures(F.col("text")).items()], covered.cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = F.lit(True)
     for name, low, high in THRESHOLDS if thresholds is None else thresholds:
         verdict = verdict & (F.col(name) >= low if low is not None else F.lit(True)) & (F.col(name) <= high if high is not None else F.lit(True))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict)
-    return d.select(*first, *[k for k in d.columns if k not in (*first, "text")], *(["text"] if keep_text else []))
+    return d.select(*first, *[k for k in d.columns if k not in first])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, slices
+from .common import id_text, runs, slices
 
 
 @dataclass(frozen=True)
@@ -152,6 +152,27 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", redacted string" * with_redacted)
 
 
+def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the same columns, secrets in the texts replaced as in redact(); chars_col, where there is one, follows the changed texts."""
+    text_at = docs.columns.index(text_col)
+    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start, stop in runs(whole.column(text_at)):
+                batch = whole.slice(start, stop - start)
+                texts = batch.column(text_at).to_pylist()
+                new = [redact(t, s, rules) if s else t for t, s in zip(texts, scan(texts, rules), strict=True)]
+                cols = list(batch.columns)
+                cols[text_at] = pa.array(new, pa.string())
+                if chars_at is not None:
+                    old = batch.column(chars_at)
+                    cols[chars_at] = pa.array([n if t is u else len(u) for n, t, u in zip(old.to_pylist(), texts, new, strict=True)], old.type)
+                yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
