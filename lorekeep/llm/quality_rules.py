@@ -1,7 +1,10 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Words are runs of characters other than the six ASCII white-space characters. All counts are over whole texts. A null or
-empty text has no words and so fails the base rule; its ratios are 0. Repeated rows give repeated result rows."""
+empty text has no words and so fails the base rule; its ratios are 0. Repeated rows give repeated result rows.
+
+Windows are compared by a 64-bit hash within one text: two differing windows of a text of n words meet with a chance of n^2 / 2^65. Measures are
+computed in steps, each a projection over the columns of the one before, so none is evaluated twice."""
 
 from __future__ import annotations
 
@@ -24,50 +27,55 @@ THRESHOLDS: list[tuple[str, float | None, float | None]] = [
 STOP_WORDS = "the of and to in a is that it for de la le les et des en un une der die das und ist den el los las que y".split()
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Columns over an array column of words named _words and the text; cheap ones only."""
+def counts(text: Column) -> dict[str, Column]:
+    """Counts over the text and an array column of its words named _words."""
     text = F.coalesce(text, F.lit(""))
-    n = F.size("_words").cast("long")
-    chars = F.length(F.translate(text, SPACE, "")).cast("long")
-    symbols = (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
-    filled = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    lines = F.size(filled).cast("long")
-    dup = lines - F.size(F.array_distinct(filled)).cast("long")
-    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    words = F.transform(F.array_distinct("_words"), lambda w: F.lower(w))
     return {
-        "n_words": n,
-        "word_chars": chars,
-        "n_symbols": symbols,
-        "n_dup_lines": dup,
-        "mean_word_chars": part(chars, n),
-        "symbol_ratio": part(symbols, chars),
-        "stop_words": F.size(F.array_intersect(F.transform("_words", lambda w: F.lower(w)), F.array(*map(F.lit, STOP_WORDS)))),
-        "dup_line_ratio": part(dup, lines),
-        "upper_word_ratio": part(F.size(F.filter("_words", lambda w: w.rlike("^[A-Z][A-Z!?.,]+$"))), n),
-        "list_line_ratio": part(F.size(F.filter(filled, lambda x: x.rlike(r"^\s*[-*•]\s"))), lines),
+        "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "stop_words": F.size(F.array_intersect(words, F.array(*map(F.lit, STOP_WORDS)))),
+        "_upper": F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[A-Z][A-Z!?.,]+(?![^\x20\x09-\x0D])")),
+        "_lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0),
     }
 
 
-def repeat_words() -> Column:
-    """Words inside 3-word windows that occur twice or more in the text, the first occurrence included.
+def line_counts() -> dict[str, Column]:
+    n = F.size("_lines").cast("long")
+    return {"_n_lines": n, "n_dup_lines": n - F.size(F.array_distinct("_lines")).cast("long"), "_lists": F.size(F.filter("_lines", lambda x: x.rlike(r"^\s*[-*•]\s")))}
+
+
+def ratios() -> dict[str, Column]:
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    return {
+        "mean_word_chars": part("word_chars", "n_words"),
+        "symbol_ratio": part("n_symbols", "word_chars"),
+        "dup_line_ratio": part("n_dup_lines", "_n_lines"),
+        "upper_word_ratio": part("_upper", "n_words"),
+        "list_line_ratio": part("_lists", "_n_lines"),
+    }
+
 
-    The windows are sorted with their positions, so equal ones are neighbours; a window's neighbour tells whether it is repeated. The
-    repeated positions, sorted, then give the length of the union of [p, p+3): each adds 3 words less the overlap with the one before."""
-    windows = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("w"), i.alias("p"))))
-    return F.when(F.size("_words") < 3, F.array().cast("array<struct<w:string,p:int>>")).otherwise(windows)
+def windows() -> Column:
+    """The 3-word windows of _words as (64-bit hash, position), sorted: equal windows are neighbours."""
+    w = lambda i: F.get("_words", i)
+    every = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.xxhash64(w(i), w(i + 1), w(i + 2)).alias("w"), i.alias("p"))))
+    return F.when(F.size("_words") < 3, F.array().cast("array<struct<w:bigint,p:int>>")).otherwise(every)
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds: list | None = None, keep_row: bool = False) -> DataFrame:
     """doc_id, the measures, base_failed and kept, one row per input row; with keep_row also the row itself, as struct _row."""
     row = [F.struct("*").alias("_row")] * keep_row
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *row)
+    carry = ["doc_id", *["_row"] * keep_row]
     d = base.withColumn("_words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)))
-    d = d.withColumn("_win", repeat_words())
+    d = d.select(*carry, F.size("_words").cast("long").alias("n_words"), *[c.alias(k) for k, c in counts(F.col("text")).items()], windows().alias("_win"))
     at = lambda i: F.get("_win", i)["w"]
     rep = F.filter(F.col("_win"), lambda x, i: F.coalesce(at(i - 1) == x["w"], F.lit(False)) | F.coalesce(at(i + 1) == x["w"], F.lit(False)))
-    d = d.withColumn("_pos", F.sort_array(F.transform(rep, lambda x: x["p"])))
+    d = d.select(*carry, "n_words", "word_chars", "n_symbols", "stop_words", "_upper", *[c.alias(k) for k, c in line_counts().items()], F.sort_array(F.transform(rep, lambda x: x["p"])).alias("_pos"))
+    # each repeated window, in order, adds 3 words less its overlap with the one before
     covered = F.aggregate(F.transform("_pos", lambda p, i: F.when(i == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("_pos", i - 1)))), F.lit(0), lambda s, x: s + x)
-    d = d.select("doc_id", *["_row"] * keep_row, *[c.alias(k) for k, c in measures(F.col("text")).items()], covered.cast("long").alias("n_repeat_words"))
+    d = d.select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", *[c.alias(k) for k, c in ratios().items()], "stop_words", covered.cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = F.lit(True)
     for name, low, high in THRESHOLDS if thresholds is None else thresholds:
