@@ -120,7 +120,7 @@ class WordBpe:
                         else:
                             where[s] = [before]
                             heapq.heappush(active, s)
-        ends = [*starts[1:], len(sym)]
+        ends = [*starts[1:], len(sym)][: len(starts)]
         return [[x for x in sym[a:b] if x >= 0] for a, b in zip(starts, ends, strict=True)]
 
     def learn(self, pieces: set[str]) -> None:
