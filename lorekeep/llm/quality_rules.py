@@ -82,7 +82,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         verdict = verdict & (F.col(name) >= low if low is not None else F.lit(True)) & (F.col(name) <= high if high is not None else F.lit(True))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict)
-    return d.select(*first, *[k for k in d.columns if k not in first])
+    names = [*first, *[k for k in d.columns if k not in first]]
+    # a caller's filter stops above a projection that numbers rows; below it, the planner would write all measures out once more for each mention
+    return d.withColumn("_n", F.monotonically_increasing_id()).where("_n >= 0").select(names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

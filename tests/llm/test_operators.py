@@ -103,12 +103,13 @@ def test_components(spark):
 
 
 def least_edits(item, text):
+    """Fewest edits between the item and any run of the text's words."""
+    code = {w: k for k, w in enumerate({*item, *text})}
+    t, at = np.array([code[w] for w in text], int), np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, int)
     for i, x in enumerate(item, 1):
-        new = [i]
-        for j, y in enumerate(text, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = np.array(new)
+        new = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (t != code[x]))))
+        row = np.minimum.accumulate(new - at) + at
     return row.min()
 
 
