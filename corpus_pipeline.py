@@ -8,7 +8,6 @@ Rows whose doc_id is null are dropped by the first stage (they cannot be judged
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lorekeep.llm import bpe, decontaminate, near_dedup, quality_rules, secrets
 from lorekeep.llm.common import cut, table
@@ -18,12 +17,8 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. The verdict is a column beside the row: no join.
-
-    A predicate does not move below a projection that numbers rows; without the number, the planner would write all measures out again
-    for each time the filter names one."""
-    judged = quality_rules.apply_rules(docs, keep_row=True).withColumn("_n", F.monotonically_increasing_id())
-    return judged.where("_n >= 0 and kept and doc_id is not null").select("_row.*")
+    """Documents that the rules keep. The verdict is a column beside the row: no join."""
+    return quality_rules.apply_rules(docs, keep_row=True).where("kept and doc_id is not null").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
