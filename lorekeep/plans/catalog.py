@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.functions import vectors as V
 from lorekeep.operators import analytics, conversation, lookup, retrieval, tokens
+from lorekeep.plans import summaries
 from lorekeep.session import table
 from lorekeep.sources import text as sources
 
@@ -459,3 +460,6 @@ ORACLE_SQL: dict[str, str] = {
     "join_corpus_index": INDEX_SQL,
     "cluster_entities": CLUSTERS_SQL,
 }
+
+QUERIES |= summaries.QUERIES
+ORACLE_SQL |= summaries.ORACLE_SQL
