@@ -1,10 +1,14 @@
 """Near-duplicate detection with an LSH forest.
 
 Each distinct shingle set gets MinHash values, cut into `TREES` paths of `DEPTH` values; each tree is a sorted order of the paths.
-Documents that share the first `START` values of a path form a region. A region with more than `REGION` members is
-entered deeper, value by value, so depth adapts to density; one that is as large at full depth is walked in sorted order in overlapping
-blocks. Within a region, neighbours whose whole signatures agree often enough are candidates, and candidates are
-confirmed on full shingle sets. Equal sets are one class from the start and only their smallest id enters the forest.
+Documents that share the first `START` values of a path form a region. Within a region, neighbours whose whole signatures agree often
+enough are candidates, and candidates are confirmed on full shingle sets. Equal sets are one class from the start and only their smallest
+id enters the forest.
+
+A first pass over a region with more than `REGION` members goes deeper, value by value, and at full depth in sorted order in blocks; that
+finds many links cheaply, from a few pairs a row. A second pass makes it whole: in every region with more than `DENSE` members, all pairs of different
+components are compared on full shingle sets, block by block, each pair of blocks a group of its own. A group reports no more links than
+it has members, as those within one component change nothing.
 
 At a similarity of 0.8, a pair shares 3 values of at least one of 20 paths with probability 1 - 6e-7.
 
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_text, mix64, slices, word_hashes
@@ -30,6 +34,8 @@ from .components import components
 
 TREES, DEPTH, START = 20, 6, 3
 REGION, SMALL = 512, 48
+#: Members of a region above which the second pass compares it whole; rows and shingles of one of its blocks; trees of its first wave.
+DENSE, BLOCK_ROWS, BLOCK_SHINGLES, WAVE = SMALL, 1024, 1 << 20, 2
 HASHES = TREES * DEPTH
 #: Values of the signature that ride along with each forest entry for the estimate, one byte each.
 SKETCH = 64
@@ -163,27 +169,15 @@ def region_pairs(path: np.ndarray, ids: np.ndarray, n: np.ndarray, s: np.ndarray
 
 
 def block_pairs(at: np.ndarray, fits, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a dense region: each row with all likely leaders and with its four likeliest others. Leaders are rows that no earlier leader surely matches."""
-    leaders: list[int] = []
+    """A few pairs of a dense region, for the second pass to complete: each row with its four likeliest others and with the first that it surely matches."""
     i_out, j_out, a_out = [], [], []
-    free = np.ones(len(at), bool)
-    for k in range(len(at)):
-        if not free[k]:
-            continue
-        rest = np.flatnonzero(np.arange(len(at)) > k if not leaders else np.arange(len(at)) != k)
-        share = _agree(s, np.full(len(rest), at[k]), at[rest])
-        ok = (share >= LIKELY) & fits(np.full(len(rest), at[k]), at[rest])
-        i_out.append(np.full(ok.sum(), at[k]))
-        j_out.append(at[rest[ok]])
-        a_out.append(share[ok])
-        free[rest[ok & (share >= SURE)]] = False
-        leaders.append(k)
-    block = s[at]
+    block = np.ascontiguousarray(s[at].T)
     for k in range(len(at)):
-        share = (block == block[k]).mean(axis=1)
+        share = np.add.reduce((block == block[:, k : k + 1]).view(np.uint8), axis=0, dtype=np.uint8) / SKETCH
         share[k] = 0
         share[~fits(np.full(len(at), at[k]), at)] = 0
         top = np.argpartition(-share, min(4, len(at) - 1))[:4]
+        top = np.unique(np.append(top, (share >= SURE).argmax()))
         top = top[share[top] >= LIKELY]
         i_out.append(np.full(len(top), at[k]))
         j_out.append(at[top])
@@ -191,14 +185,17 @@ def block_pairs(at: np.ndarray, fits, s: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(i_out).astype(int), np.concatenate(j_out).astype(int), np.concatenate(a_out)
 
 
-def candidates(forest: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) with the share of agreeing sketch bytes, in per mille."""
+def region_head() -> Column:
+    return F.substring("path", 1, 4 * START)
+
+
+def candidates(forest: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a < b) with the share of agreeing sketch bytes, in per mille. heads: the large regions (tree, head, members)."""
     spark = forest.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    head = F.substring("path", 1, 4 * START)
     # a region that alone would fill tasks is dealt by its full path: at most rows/HOT of them
-    hot = forest.groupBy("tree", head.alias("head")).count().where("count > 50000").select("tree", "head", F.lit(True).alias("hot"))
-    dealt = forest.withColumn("head", head).join(F.broadcast(hot), ["tree", "head"], "left")
+    hot = heads.where("members > 50000").select("tree", "head", F.lit(True).alias("hot"))
+    dealt = forest.withColumn("head", region_head()).join(F.broadcast(hot), ["tree", "head"], "left")
     dealt = dealt.withColumn("deal", F.when(F.col("hot"), F.xxhash64("tree", "path")).otherwise(F.xxhash64("tree", "head")))
     dealt = dealt.repartition(parts, "deal").sortWithinPartitions("tree", "path", "sketch", "id").select("tree", "path", "id", "n", "sketch")
 
@@ -242,28 +239,96 @@ def candidates(forest: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+def full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """id and shingle set s of the documents whose doc_id is in needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
             sets = [s.view(np.int64) for s in shingle_sets(texts, size)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
+    return docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, s array<long>")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, s array<long>")
+    sets = full_sets(docs, needed, size)
     both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
+def block_links(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, n: np.ndarray, flat: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join different components among the rows of one block, or between two blocks (own: of the first), until none is left.
+
+    n: sizes of the sets, flat: the sets one after the other."""
+    _, code = np.unique(flat, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    mark = np.zeros(len(flat), np.int32)
+    _, label = np.unique(comp, return_inverse=True)
+    two = not own.all()
+    first = own if not two or 2 * own.sum() <= len(own) else ~own
+    out_a, out_b = [], []
+    for i in np.flatnonzero(first):
+        other = label != label[i]
+        other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        if two:
+            other &= ~first
+        else:
+            other[:i] = False
+        if not other.any():
+            continue
+        mine = code[starts[i] : starts[i] + n[i]]
+        mark[mine] = 1
+        inter = np.add.reduceat(mark[code], starts)
+        mark[mine] = 0
+        for j in np.flatnonzero(other & (100 * inter >= percent * (n + n[i] - inter))):
+            if label[j] != label[i]:
+                out_a.append(ids[i])
+                out_b.append(ids[j])
+                label[label == label[j]] = label[i]
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+def dense_links(docs: DataFrame, dense: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of found, as many as join all that a pair of one region joins. dense: tree, head, id, n of the large regions.
+
+    The members of a region's largest component need no comparison with each other: they are dealt to blocks of their own, which meet only the blocks of
+    the others. A row goes once to each block that its own block meets."""
+    rows = dense.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("tree", "head", "id", "n", F.coalesce("component", "id").alias("comp"))
+    region = ["tree", "head"]
+    sizes = rows.groupBy(*region, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    plan = sizes.groupBy(*region).agg(F.max(F.struct("m", "w", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda m, w: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    plan = plan.select(*region, F.col("top.comp").alias("top"), blocks(F.col("top.m"), F.col("top.w")).alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("rest"))
+    rows = cut(rows.join(plan, region), "dense")
+    in_main = F.col("comp") == F.col("top")
+    deal = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    rows = rows.withColumn("block", F.when(in_main, F.col("rest") + deal(F.col("main"))).otherwise(deal(F.col("rest"))))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("main") - 1))))
+    rows = rows.select(*region, F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") <= F.col("with")).alias("own"), "id", "comp")
+    sets = full_sets(docs, rows.select(F.col("id").alias("doc_id")).distinct(), size)
+
+    def run(table: pa.Table) -> pa.Table:
+        s = table.column("s").combine_chunks()
+        col = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        a, b = block_links(col("id"), col("comp"), col("own").astype(bool), np.diff(s.offsets.to_numpy()).astype(np.int64), s.flatten().to_numpy(), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.join(sets, "id").groupBy(*region, "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: documents linked, directly or through others, by a similarity of percent/100 or more."""
     base = id_text(docs, id_col, text_col)
     sketch = cut(sketches(base, size), "sketches")
     classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("least"))
     reps = classes.select(F.col("least.doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.col("least.sig").alias("sig"))
-    pairs = cut(candidates(entries(reps), percent), "pairs")
+    reps = cut(reps, "classes")
+    forest = entries(reps)
+    heads = cut(forest.groupBy("tree", region_head().alias("head")).agg(F.count("*").alias("members")).where(F.col("members") > DENSE), "heads")
+    pairs = cut(candidates(forest, heads, percent), "pairs")
     links = None
     left = pairs
     for last in (False, False, True):
@@ -284,6 +349,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left = cut(left.where(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))).select("a", "b", "share"), "pairs")
             if left.isEmpty():
                 break
+    if not heads.isEmpty():
+        dense = cut(forest.select("tree", region_head().alias("head"), "id", "n").join(heads.select("tree", "head"), ["tree", "head"], "left_semi"), "regions")
+        for wave in (F.col("tree") < WAVE, F.col("tree") >= WAVE):  # what the first trees join, the others need not look at
+            more = cut(dense_links(base, dense.where(wave), found, size, percent), "links")
+            if not more.isEmpty():
+                links = cut(links.union(more), "confirmed")
+                found = cut(components(links), "components")
     # class -> component: the smallest id of all classes of a component, as each class is named by its smallest id
     own = classes.select("digest", "n_shingles", F.col("least.doc_id").alias("node")).join(found, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("class_component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(own, ["digest", "n_shingles"], "left")

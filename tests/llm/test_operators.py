@@ -96,6 +96,25 @@ def test_near_dedup(rows, docs, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def edited(base, sites, word):
+    """The words of base with those at the sites replaced."""
+    out = list(base)
+    for k in sites:
+        out[k] = f"{word}{k}"
+    return " ".join(out)
+
+
+def test_near_dedup_star(spark):
+    """Thousands of copies linked to the base text alone, not to each other."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(300)]
+    texts = [edited(base, [10 * k + 5 for k in rng.sample(range(29), 5)], f"e{i}x") for i in range(3000)]
+    rows = [(i + 7, t) for i, t in enumerate(texts)] + [(5000, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: 7 for i, _ in rows}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
