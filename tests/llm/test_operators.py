@@ -115,6 +115,20 @@ def test_near_dedup_star(spark):
     assert got == {i: 7 for i, _ in rows}
 
 
+def test_near_dedup_bridge(spark):
+    """Two groups of close copies; only one pair, neither of them central, links a member of one to a member of the other."""
+    base = [f"b2x{k}" for k in range(300)]
+    sites = [10 * k + 5 for k in range(8)]
+    other = edited(base, sites, "o").split()
+    texts = [edited(base, [299], f"p{i}x") for i in range(120)] + [edited(other, [299], f"q{i}x") for i in range(120)]
+    texts += [edited(base, sites[:1], "o"), edited(base, sites[:7], "o")]
+    rows = list(enumerate(texts))
+    want = groups(rows, 5)
+    assert {c for _, c in want.values()} == {0} and len({c for _, c in groups(rows[:-1], 5).values()}) == 2
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
