@@ -38,11 +38,15 @@ def any_case(word: str) -> str:
 
 _NAMES = "|".join([*map(any_case, ("password", "passwd", "secret", "token")), any_case("api") + "_?" + any_case("key")])
 
+#: After a private key's BEGIN line: up to the next END line with no other BEGIN between, or else the header and base64 lines that follow (also with "\\n" written out).
+_BREAK = r"(?:\r?\n|\\r\\n|\\n)"
+_KEY_REST = rf"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\t]*{_BREAK}[\x20\t>]*(?:(?:Proc-Type|DEK-Info|Comment|Version|Charset|Hash|MessageID):[^\r\n]*|[A-Za-z0-9+/]{{16,}}={{0,2}}|[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=[\x20\t]*(?:{_BREAK}|$))|(?=[\x20\t]*{_BREAK})))*)"
+
 RULES = (
     Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "apikey", "api_key"), 6, 2, True),
     Rule("access", r"AKIA[A-Z0-9]+", ("akia",), 20, 0, True),
     Rule("hex", r"[0-9a-f]+", (), 24, 0, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key-----",)),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_REST, ("private key-----",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("eyj",)),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )

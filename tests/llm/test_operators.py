@@ -195,6 +195,14 @@ def test_secrets(spark):
     assert got[0].redacted == "[secret:assign]\" x" and "private_key" in got[9].spans and got[6].redacted is None
 
 
+def test_private_key_body():
+    head, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["MIIE" + "Ab+/" * 15] * 3 + ["Zm9v=="])
+    texts = [f"a {head}\n{body}\n{end} b", f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{body}\nplain words follow", f"{head} {body} {head}\n{body}\n{end} z", f"{head}\\n{'Ab+/' * 15}\\n{end}\"", head]
+    got = [secrets.redact(t, s) for t, s in zip(texts, secrets.scan(texts), strict=True)]
+    assert got[:2] == ["a [secret:private_key] b", "a [secret:private_key]\nplain words follow"] and got[3:] == ['[secret:private_key]"', "[secret:private_key]"]
+    assert got[2].endswith("[secret:private_key] z") and got[2].count("[secret") == 2
+
+
 def test_quality_rules(rows, docs):
     got = by_id(quality_rules.apply_rules(docs))
     for i, t in rows:
