@@ -3,7 +3,8 @@
 Each stage takes and returns rows with the columns of `documents`; the last one returns the encoded documents. Every stage is a table in
 the shared folder before the next one reads it, so a lost executor costs the tasks of one stage at most.
 
-Rows whose doc_id is null are dropped by the first stage (they cannot be judged by id); repeated rows of one id share its verdict."""
+Rows whose doc_id is null pass the stages that judge by id (near-duplicates, decontamination); the quality rules judge them as any row, and
+their secrets are cut out. Repeated rows of one id share its verdict."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep. The verdict is a column beside the row: no join."""
-    return quality_rules.apply_rules(docs, keep_row=True).where("kept and doc_id is not null").select("_row.*")
+    return quality_rules.apply_rules(docs, keep_row=True).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,14 @@ def test_stages(spark):
     tok = bpe.tokenizer(bpe.default_path())
     texts = rows(safe)
     assert {r.doc_id: r.n_tokens for r in ids.collect()} == {i: len(b) // 4 for i, (b, _) in zip(texts, tok.encode_batch(list(texts.values())), strict=True)}
+
+
+def test_null_ids(spark):
+    """A clean document without an id goes through all stages; one that the rules reject goes."""
+    docs = table(spark, DATA, "documents")
+    clean = quality_rules.apply_rules(docs, keep_row=True).where("kept").orderBy("doc_id").limit(1).select("_row.*").first()
+    rows = [tuple(clean), (None, *clean[1:]), (None, "short", *clean[2:])]
+    kept = cut(spark.createDataFrame(rows, docs.schema), "test")
+    for _, stage in corpus_pipeline.STAGES:
+        kept = cut(stage(spark, kept, DATA), "test")
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda i: i is None) == [clean.doc_id, None]
