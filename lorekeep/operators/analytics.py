@@ -5,14 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Nearest-rank p50 and p95, and the largest."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return df.groupBy(group).agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.max(value).alias("largest"), F.count(value).alias("n"))
+    """Nearest-rank p50 and p95, and the largest.
+
+    Values are counted, dealt by range of (group, value) and written to the shared folder; each file's totals by group, a small table, say where its running
+    counts start. No task holds a group: one of any size is spread over the ranges."""
+    spark = df.sparkSession
+    counts = df.select(F.col(group).alias("g"), F.col(value).alias("v")).groupBy("g", "v").agg(F.count("v").alias("c"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path = f"{shared_dir(df)}/percentiles-{uuid.uuid4().hex}"
+    counts.repartitionByRange(parts, "g", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema("g " + counts.schema["g"].dataType.simpleString() + ", v " + counts.schema["v"].dataType.simpleString() + ", c long, part int").parquet(path)
+    totals = dealt.groupBy("g", "part").agg(F.sum("c").alias("here"), F.max("v").alias("largest"))
+    sizes = totals.groupBy("g").agg(F.sum("here").alias("n"), F.max("largest").alias("largest"))
+    before = totals.select("g", "part", (F.sum("here").over(Window.partitionBy("g").orderBy("part")) - F.col("here")).alias("before"))
+    starts = before.join(sizes, before["g"].eqNullSafe(sizes["g"])).select(before["g"].alias("g2"), F.col("part").alias("part2"), "before", "n")
+    placed = dealt.where("c > 0").join(starts, dealt["g"].eqNullSafe(F.col("g2")) & (F.col("part") == F.col("part2"))).select("g", "part", "v", "c", "before", "n")
+    run = placed.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("g", "part").orderBy("v")))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * F.lit(p)), F.col("v")))
+    ranks = run.groupBy("g").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return sizes.join(ranks.withColumnRenamed("g", "g2"), sizes["g"].eqNullSafe(F.col("g2")), "left").select(F.col("g").alias(group), "p50", "p95", "largest", "n")
 
 
 def entitlement_upsert(events: DataFrame) -> DataFrame:

@@ -134,3 +134,14 @@ def test_clusters(spark):
     m = spark.createDataFrame([(i, f"k{i}") for i in range(9)] + [(i + 1, f"k{i}") for i in range(5)] + [(20, "z"), (None, "k0")], "e long, k string")
     got = {r.entry: r.cluster for r in analytics.clusters(m, "e", "k").collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 6, 7: 7, 8: 8, 20: 20}
+
+
+def test_percentiles_spread(spark):
+    """One group with all-distinct values, one null group, nulls and a group without values: as percentile_disc, and no such buffer in the plan."""
+    rows = [("a", float(i * 7919 % 5003)) for i in range(5003)] + [("b", 1.0), ("b", 2.0), ("b", None), (None, 3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)")
+    want = df.groupBy("k").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.max("x").alias("largest"), F.count("x").alias("n"))
+    got = analytics.percentiles(df, "k", "x")
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString().replace("percentiles-", "").lower()
