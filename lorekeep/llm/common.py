@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local session gets a temporary one and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -34,7 +36,40 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing later reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_keys(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where the first `keys` columns change, so that no group is cut."""
+    held: list[pa.RecordBatch] = []
+
+    def row(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch.column(k)[i].as_py() for k in range(keys))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = row(batch, batch.num_rows - 1)
+        lo, hi = 0, batch.num_rows - 1
+        while lo < hi:  # first row of the last key
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if row(batch, mid) == last else (mid + 1, hi)
+        if lo == 0 and (not held or row(held[-1], 0) == last):
+            held.append(batch)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, lo)])
+        held = [batch.slice(lo)]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

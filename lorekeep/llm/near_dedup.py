@@ -1,23 +1,23 @@
 """Near-duplicate detection with an LSH forest.
 
-Each distinct shingle set gets MinHash values, cut into `TREES` paths of `DEPTH` values; each tree is a sorted order of the paths.
-Documents that share the first `START` values of a path form a region. Within a region, neighbours whose whole signatures agree often
-enough are candidates, and candidates are confirmed on full shingle sets. Equal sets are one class from the start and only their smallest
-id enters the forest.
+Equal shingle sets are one class from the start; only the smallest id of a class enters the forest. Each class gets MinHash values, cut
+into `TREES` paths of `DEPTH` values; each tree is a sorted order of the paths. Classes that share the first `START` values of a path form
+a region. Only regions with two members or more are gathered, with one byte of each of the 120 values for an estimate.
 
-A first pass over a region with more than `REGION` members goes deeper, value by value, and at full depth in sorted order in blocks; that
-finds many links cheaply, from a few pairs a row. A second pass makes it whole: in every region with more than `DENSE` members, all pairs of different
-components are compared on full shingle sets, block by block, each pair of blocks a group of its own. A group reports no more links than
-it has members, as those within one component change nothing.
+In a region, rows that stand next to each other in the sorted order, those with the longest common prefixes, are united first if their estimate
+is likely; what that leaves apart is compared at the region's own depth with all other rows. So the depth adapts: a region of copies is
+solved by its neighbours, a mixed one goes up to the first `START` values. Out come no pairs but a spanning forest of the likely ones, fewer rows than members.
 
-At a similarity of 0.8, a pair shares 3 values of at least one of 20 paths with probability 1 - 6e-7.
+The components of these forests are groups: every pair that is likely in some region lies in one group. A group's texts are gathered
+once and its components found exactly, on full sets. A group (or a region) too large for one task is dealt to blocks: each block alone, each with the
+next, and then the blocks of everything outside its largest component with all blocks, so all pairs of different components meet; no pair is given up.
 
-Candidates are confirmed in rounds: first each document's best and its smallest likely partner, then, for pairs that the links found
-so far do not connect, the same again, then all that are left. Links inside a component already found change nothing, so
-no pair of a group of copies is looked at twice.
+At a similarity of 0.8, a pair shares 3 values of at least one of 20 paths with probability 1 - 6e-7, and its estimate reaches `LIKELY` with probability
+1 - 1e-7. More similar pairs are lost far more rarely. No size of a region, group or class changes these odds.
 
-Null texts and texts without words have an empty set: linked with nothing, their own component. Repeated ids (not expected) are
-united by their equal id. Rows with a null id are linked with nothing and kept; their component is null. Shingles stand for their 64-bit digests."""
+Null texts and texts without words have an empty set: linked with nothing, their own component. Rows with a null id are linked with nothing
+and kept; their component is null. Rows that repeat an id are judged each by its own text; two of them that are both the smallest of their class are one node.
+Shingles stand for their 64-bit digests, equal sets for 128-bit ones."""
 
 from __future__ import annotations
 
@@ -29,18 +29,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, mix64, slices, word_hashes
-from .components import components
+from .common import cut, id_text, mix64, slices, whole_keys, word_hashes
+from .components import components, roots_of
 
 TREES, DEPTH, START = 20, 6, 3
-REGION, SMALL = 512, 48
-#: Members of a region above which the second pass compares it whole; rows and shingles of one of its blocks; trees of its first wave.
-DENSE, BLOCK_ROWS, BLOCK_SHINGLES, WAVE = SMALL, 1024, 1 << 20, 2
 HASHES = TREES * DEPTH
-#: Values of the signature that ride along with each forest entry for the estimate, one byte each.
-SKETCH = 64
-#: Share of agreeing sketch bytes that makes a candidate at threshold 0.8: over 4 standard deviations below it.
-LIKELY, SURE = 0.59, 0.86
+#: Regions up to this size compare all pairs at once, many regions together.
+SMALL = 32
+#: Rows of one task's region; rows and shingles of one task's group. What is larger is dealt to blocks that all meet.
+REGION_ROWS, GROUP_ROWS, GROUP_SHINGLES = 1 << 15, 1 << 15, 1 << 21
+#: Agreeing values of 120 from which a pair is likely: at a similarity of 0.8 it is 96 on average, with a deviation of 4.4.
+LIKELY = 72
+#: At most this many classes are so large that their rows are not shuffled to find their class.
+HOT_CLASSES = 2048
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -99,267 +100,252 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def entries(reps: DataFrame) -> DataFrame:
-    """A row for each class and tree: tree, path, id, n, sketch."""
+    """A row for each class and tree: key of the region, id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 2000
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                m = batch.num_rows
-                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u4").reshape(m, HASHES)
-                low = np.ascontiguousarray((sig[:, :SKETCH] & 0xFF).astype(np.uint8))
-                sketch = [r.tobytes() for r in low]
-                paths = np.ascontiguousarray(sig.reshape(m, TREES, DEPTH))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(np.arange(TREES, dtype=np.int32), m)),
-                        pa.array([paths[i, t].tobytes() for t in range(TREES) for i in range(m)], pa.binary()),
-                        pa.array(np.tile(batch.column(0).to_numpy(), TREES)),
-                        pa.array(np.tile(batch.column(1).to_numpy(), TREES).astype(np.int32)),
-                        pa.array(sketch * TREES, pa.binary()),
-                    ],
-                    ["tree", "path", "id", "n", "sketch"],
-                )
-
-    return reps.select("id", "n", "sig").mapInArrow(run, "tree int, path binary, id long, n int, sketch binary")
-
-
-def _agree(s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return (s[i] == s[j]).mean(axis=1) if len(i) else np.zeros(0)
-
-
-def region_pairs(path: np.ndarray, ids: np.ndarray, n: np.ndarray, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (i, j, share) among rows in sorted path order. path: rows of [tree, values...]."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _values(batch.column(1)).reshape(batch.num_rows, TREES, DEPTH).astype(np.uint64)
+            key = np.broadcast_to(mix64(np.arange(1, TREES + 1, dtype=np.uint64)), sig.shape[:2])
+            for k in range(START):
+                key = mix64(key * _C + sig[:, :, k])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int8), batch.num_rows))], ["key", "id", "tree"])
+
+    return reps.select("id", "sig").mapInArrow(run, "key long, id long, tree byte")
+
+
+def _values(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), ">u4").reshape(-1, HASHES)
+
+
+def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+class Parts:
+    """Labels of rows that links unite; the largest part is known throughout."""
+
+    def __init__(self, label: np.ndarray) -> None:
+        _, self.label = np.unique(label, return_inverse=True)
+        self.size = np.bincount(self.label)
+        self.done = np.zeros(len(label), bool)
+
+    def unite(self, i: int, others: np.ndarray) -> None:
+        gone = np.unique(self.label[others])
+        gone = gone[gone != self.label[i]]
+        if len(gone):
+            self.label[np.isin(self.label, gone)] = self.label[i]
+            self.size[self.label[i]] += self.size[gone].sum()
+            self.size[gone] = 0
+
+    def open_rows(self, among: np.ndarray | None = None) -> Iterator[int]:
+        """Rows to be compared with all of other parts, until any two parts have one whose rows all were. Rows of the largest part wait: once all others are done, nothing is left for them."""
+        waiting = np.arange(len(self.label)) if among is None else among
+        while len(waiting):
+            later = []
+            for i in waiting:
+                if self.label[i] == self.size.argmax():
+                    later.append(i)
+                else:
+                    yield i
+                    self.done[i] = True
+            waiting = np.array(later, np.int64)
+            if not len(waiting) or (self.label[waiting] == self.size.argmax()).all():
+                return
+
+
+def region_forest(key: np.ndarray, ids: np.ndarray, n: np.ndarray, low: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root) for the rows of whole regions, sorted by key and path: a spanning forest of the likely pairs of each region."""
     m = len(ids)
-    same = path[1:] == path[:-1]
-    depth = np.where(same.all(axis=1), path.shape[1], same.argmin(axis=1)) if m > 1 else np.zeros(0, int)  # common prefix with the row before
-    region = np.zeros(m, np.int64)
-    for d in range(START, DEPTH + 1):  # split what is still too large one value deeper
-        cut_at = np.concatenate(([True], depth < d + 1))
-        if d == START:
-            region = np.cumsum(cut_at)
-        else:
-            big = np.bincount(region)[region] > REGION
-            region = np.cumsum(np.concatenate(([True], (region[1:] != region[:-1]) | (cut_at[1:] & big[1:]))))
+    region = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
     counts = np.bincount(region)
     own = counts[region]
-    fits = lambda i, j: 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-    out = []
-    small = np.flatnonzero((own > 1) & (own <= SMALL))
+    likely = lambda i, j: _fits(n[i], n[j], percent) & ((low[i] == low[j]).sum(axis=1) >= LIKELY)
+    out_i, out_j = [], []
+    rows = np.flatnonzero(own <= SMALL)
     for k in range(1, SMALL):
-        i = small[small + k < m]
+        i = rows[rows + k < m]
         i = i[region[i] == region[i + k]]
         if not len(i):
             break
-        j = i + k
-        ok = fits(i, j)
-        i, j = i[ok], j[ok]
-        a = _agree(s, i, j)
-        ok = a >= LIKELY
-        out.append((i[ok], j[ok], a[ok]))
-    starts = np.searchsorted(region, np.flatnonzero(counts > SMALL))
-    for start in starts:
-        end = start + counts[region[start]]
-        for at in range(start, end, REGION - 1):  # blocks overlap by one row
-            out.append(block_pairs(np.arange(at, min(at + REGION, end)), fits, s))
-    if not out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def block_pairs(at: np.ndarray, fits, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A few pairs of a dense region, for the second pass to complete: each row with its four likeliest others and with the first that it surely matches."""
-    i_out, j_out, a_out = [], [], []
-    block = np.ascontiguousarray(s[at].T)
-    for k in range(len(at)):
-        share = np.add.reduce((block == block[:, k : k + 1]).view(np.uint8), axis=0, dtype=np.uint8) / SKETCH
-        share[k] = 0
-        share[~fits(np.full(len(at), at[k]), at)] = 0
-        top = np.argpartition(-share, min(4, len(at) - 1))[:4]
-        top = np.unique(np.append(top, (share >= SURE).argmax()))
-        top = top[share[top] >= LIKELY]
-        i_out.append(np.full(len(top), at[k]))
-        j_out.append(at[top])
-        a_out.append(share[top])
-    return np.concatenate(i_out).astype(int), np.concatenate(j_out).astype(int), np.concatenate(a_out)
-
-
-def region_head() -> Column:
-    return F.substring("path", 1, 4 * START)
-
-
-def candidates(forest: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) with the share of agreeing sketch bytes, in per mille. heads: the large regions (tree, head, members)."""
-    spark = forest.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # a region that alone would fill tasks is dealt by its full path: at most rows/HOT of them
-    hot = heads.where("members > 50000").select("tree", "head", F.lit(True).alias("hot"))
-    dealt = forest.withColumn("head", region_head()).join(F.broadcast(hot), ["tree", "head"], "left")
-    dealt = dealt.withColumn("deal", F.when(F.col("hot"), F.xxhash64("tree", "path")).otherwise(F.xxhash64("tree", "head")))
-    dealt = dealt.repartition(parts, "deal").sortWithinPartitions("tree", "path", "sketch", "id").select("tree", "path", "id", "n", "sketch")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(table: pa.Table) -> pa.RecordBatch:
-            m = table.num_rows
-            col = lambda name: table.column(name).combine_chunks()
-            path = np.frombuffer(b"".join(col("path").to_pylist()), ">u4").reshape(m, DEPTH).astype(np.int64)
-            path = np.hstack([col("tree").to_numpy().astype(np.int64)[:, None], path])
-            s = np.frombuffer(b"".join(col("sketch").to_pylist()), np.uint8).reshape(m, SKETCH)
-            ids = col("id").to_numpy()
-            i, j, share = region_pairs(path, ids, col("n").to_numpy(), s, percent)
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            _, first = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, int))
-            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array((1000 * share[first]).astype(np.int32))], ["a", "b", "share"])
-
-        def head_of(b: pa.RecordBatch, i: int) -> tuple:
-            return b.column(0)[i].as_py(), b.column(1)[i].as_py()[: 4 * START]
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = head_of(batch, batch.num_rows - 1)
-            split = batch.num_rows - 1
-            while split > 0 and head_of(batch, split - 1) == last:
-                split -= 1
-            if split == 0 and held and head_of(held[0], 0) == last and sum(b.num_rows for b in held) < 100_000:
-                held.append(batch)
+        for at in range(0, len(i), 1 << 16):
+            part = i[at : at + (1 << 16)]
+            part = part[likely(part, part + k)]
+            out_i.append(part)
+            out_j.append(part + k)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    for r in np.flatnonzero(counts > SMALL):
+        at = np.arange(starts[r], starts[r + 1])
+        near = at[:-1][likely(at[:-1], at[1:])]  # neighbours in the sorted order
+        label = roots_of(near - starts[r], near + 1 - starts[r], len(at))
+        order = np.argsort(n[at], kind="stable")  # partners of fitting size are one run
+        size = n[at][order]
+        parts = Parts(label[order])
+        columns = np.ascontiguousarray(low[at][order].T)
+        for i in parts.open_rows():
+            a, b = np.searchsorted(100 * size, percent * size[i], "left"), np.searchsorted(percent * size, 100 * size[i], "right")
+            other = a + np.flatnonzero(parts.label[a:b] != parts.label[i])
+            if not len(other):
                 continue
-            if held or split:
-                done = pa.Table.from_batches([*held, batch.slice(0, split)])
-                if done.num_rows > 1:
-                    yield solve(done)
-            held = [batch.slice(split)]
-        if held and sum(b.num_rows for b in held) > 1:
-            yield solve(pa.Table.from_batches(held))
-
-    found = dealt.mapInArrow(run, "a long, b long, share int")
-    return found.groupBy("a", "b").agg(F.max("share").alias("share"))
-
+            block = columns[:, a:b] if 2 * len(other) > b - a else columns[:, other]
+            agree = np.add.reduce((block == columns[:, i : i + 1]).view(np.uint8), axis=0, dtype=np.uint8)
+            parts.unite(i, (np.arange(a, b) if 2 * len(other) > b - a else other)[agree >= LIKELY])
+        _, first = np.unique(parts.label, return_index=True)
+        lead = np.zeros(len(parts.size), np.int64)
+        lead[parts.label[first]] = first
+        out_i.append(at[order])
+        out_j.append(at[order][lead[parts.label]])
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
+    root = roots_of(i, j, m)
+    at = np.flatnonzero(root != np.arange(m))
+    return ids[at], ids[root[at]]
+
+
+def likely_links(reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of ids whose components hold every likely pair of every region."""
+    forest = entries(reps)
+    shared = forest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = cut(forest.join(shared, "key"), "members")
+    few = reps.join(members.select("id").distinct(), "id", "left_semi")
+    blocks = F.ceil(F.col("m") / REGION_ROWS).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = members.withColumn("meets", F.when(F.col("m") > REGION_ROWS, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))).withColumn("meets", F.explode("meets"))
+    dealt = dealt.select("key", "tree", "id", F.least("meets", F.when(F.col("m") > REGION_ROWS, mine).otherwise(0)).alias("x"), F.greatest("meets", F.when(F.col("m") > REGION_ROWS, mine).otherwise(0)).alias("y"))
+
+    def run_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = (_values(batch.column(2)) & 0xFF).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in low], pa.binary()), batch.column(2)], ["id", "n", "low", "sig"])
 
-def full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """id and shingle set s of the documents whose doc_id is in needed."""
+    few = few.select("id", "n", "sig").mapInArrow(run_low, "id long, n int, low binary, sig binary")
+    rows = dealt.join(few, "id").select("key", "x", "y", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("path"), "id", "n", "low")
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "path", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
-            sets = [s.view(np.int64) for s in shingle_sets(texts, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
-
-    return docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, s array<long>")
-
+        for table in whole_keys(batches, 3):
+            key, x, y, _, ids, n, low = (table.column(k).combine_chunks() for k in range(7))
+            key = mix64(mix64(key.to_numpy().view(np.uint64)) + (x.to_numpy().astype(np.uint64) << np.uint64(32)) + y.to_numpy().astype(np.uint64))
+            low = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(-1, HASHES)
+            a, b = region_forest(key, ids.to_numpy(), n.to_numpy().astype(np.int64), low, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = full_sets(docs, needed, size)
-    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def block_links(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, n: np.ndarray, flat: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that join different components among the rows of one block, or between two blocks (own: of the first), until none is left.
+    """Links (id, root) that unite all rows of one block, or of two blocks (own: of the first), as far as full sets link them; comp: what is known before.
 
-    n: sizes of the sets, flat: the sets one after the other."""
+    n: sizes of the sets, flat: the sets one after the other. Rows of one id are one node."""
     _, code = np.unique(flat, return_inverse=True)
-    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-    mark = np.zeros(len(flat), np.int32)
-    _, label = np.unique(comp, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)))
+    sets = [code[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    mark = np.zeros(len(flat) + 1, np.int8)
+    parts = Parts(comp)
     two = not own.all()
     first = own if not two or 2 * own.sum() <= len(own) else ~own
-    out_a, out_b = [], []
-    for i in np.flatnonzero(first):
-        other = label != label[i]
-        other &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+    if two:
+        todo = iter(np.flatnonzero(first))
+    else:
+        todo = parts.open_rows()
+    for i in todo:
+        other = (parts.label != parts.label[i]) & _fits(n, n[i], percent)
         if two:
             other &= ~first
-        else:
-            other[:i] = False
-        if not other.any():
+        other = np.flatnonzero(other)
+        if not len(other):
             continue
-        mine = code[starts[i] : starts[i] + n[i]]
-        mark[mine] = 1
-        inter = np.add.reduceat(mark[code], starts)
-        mark[mine] = 0
-        for j in np.flatnonzero(other & (100 * inter >= percent * (n + n[i] - inter))):
-            if label[j] != label[i]:
-                out_a.append(ids[i])
-                out_b.append(ids[j])
-                label[label == label[j]] = label[i]
-    return np.array(out_a, np.int64), np.array(out_b, np.int64)
-
-
-def dense_links(docs: DataFrame, dense: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of found, as many as join all that a pair of one region joins. dense: tree, head, id, n of the large regions.
-
-    The members of a region's largest component need no comparison with each other: they are dealt to blocks of their own, which meet only the blocks of
-    the others. A row goes once to each block that its own block meets."""
-    rows = dense.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("tree", "head", "id", "n", F.coalesce("component", "id").alias("comp"))
-    region = ["tree", "head"]
-    sizes = rows.groupBy(*region, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    plan = sizes.groupBy(*region).agg(F.max(F.struct("m", "w", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = lambda m, w: F.greatest(F.ceil(m / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    plan = plan.select(*region, F.col("top.comp").alias("top"), blocks(F.col("top.m"), F.col("top.w")).alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("rest"))
-    rows = cut(rows.join(plan, region), "dense")
-    in_main = F.col("comp") == F.col("top")
+        mark[sets[i]] = 1
+        if 4 * n[other].sum() > starts[-1]:
+            inter = np.add.reduceat(mark[code], starts[:-1], dtype=np.int64)[other]
+        else:
+            inter = np.add.reduceat(mark[np.concatenate([sets[j] for j in other])], np.concatenate(([0], np.cumsum(n[other])[:-1])), dtype=np.int64)
+        mark[sets[i]] = 0
+        parts.unite(i, other[100 * inter >= percent * (n[other] + n[i] - inter)])
+    order = np.lexsort((ids, parts.label))
+    head = np.concatenate(([True], parts.label[order][1:] != parts.label[order][:-1]))
+    root = ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    at = ids[order] != root
+    return ids[order][at], root[at]
+
+
+def group_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) found on full sets in each (grp, x, y); rows: grp, x, y, own, id, comp, one for each group or pair of blocks a document goes to."""
+    texts = docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    dealt = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("grp", "x", "y", "own", "id", "comp", "text")
+    dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, 3):
+            grp, x, y, own, ids, comp = (table.column(k).to_numpy() for k in range(6))
+            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            out_a, out_b = [], []
+            for a, b in zip([0, *cuts], [*cuts, len(grp)], strict=True):
+                sets = shingle_sets(table.column(6).slice(a, b - a).to_pylist(), size)
+                some = np.array([len(s) > 0 for s in sets])  # an id may also have an empty text
+                sets = [s for s in sets if len(s)]
+                if len(sets) < 2:
+                    continue
+                found = block_links(ids[a:b][some], comp[a:b][some], own[a:b][some], np.array([len(s) for s in sets]), np.concatenate(sets), percent)
+                out_a.append(found[0])
+                out_b.append(found[1])
+            out = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b)]
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def exact_components(docs: DataFrame, reps: DataFrame, groups: DataFrame, size: int, percent: int, max_rows: int = GROUP_ROWS, max_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(node, component) of the linked ids. groups: node, component of the likely links."""
+    rows = groups.select(F.col("component").alias("grp"), F.col("node").alias("id")).join(reps.select("id", "n"), "id")
+    blocks = lambda m, w: F.greatest(F.ceil(m / max_rows), F.ceil(w / max_shingles), F.lit(1)).cast("int")
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w")).select("grp", blocks(F.col("m"), F.col("w")).alias("blocks"))
+    rows = cut(rows.join(sizes, "grp"), "groups")
     deal = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    whole = rows.where("blocks = 1").select("grp", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("own"), "id", F.col("id").alias("comp"))
+    large = rows.where("blocks > 1")
+    ring = large.withColumn("block", deal(F.col("blocks"))).withColumn("x", F.explode(F.array("block", F.pmod(F.col("block") - 1 + F.col("blocks"), "blocks"))))
+    # a block with the next one, all pairs of the two
+    ring = ring.select("grp", "x", F.pmod(F.col("x") + 1, "blocks").alias("y"), F.lit(True).alias("own"), "id", F.col("id").alias("comp")).distinct()
+    links = cut(group_links(docs, whole.union(ring), size, percent), "confirmed")
+    if large.isEmpty():
+        # each group gave its components as stars
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
+    found = cut(components(links), "components")
+    rows = large.select("grp", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").join(reps.select("id", "n"), "id").select("grp", "id", "n", F.coalesce("component", "id").alias("comp"))
+    per = rows.groupBy("grp", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    plan = per.groupBy("grp").agg(F.max(F.struct("m", "w", "comp")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    plan = plan.select("grp", F.col("top.comp").alias("top"), blocks(F.col("top.m"), F.col("top.w")).alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("rest"))
+    rows = cut(rows.join(plan, "grp"), "rest")
+    in_main = F.col("comp") == F.col("top")
     rows = rows.withColumn("block", F.when(in_main, F.col("rest") + deal(F.col("main"))).otherwise(deal(F.col("rest"))))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("main") - 1))))
-    rows = rows.select(*region, F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") <= F.col("with")).alias("own"), "id", "comp")
-    sets = full_sets(docs, rows.select(F.col("id").alias("doc_id")).distinct(), size)
-
-    def run(table: pa.Table) -> pa.Table:
-        s = table.column("s").combine_chunks()
-        col = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-        a, b = block_links(col("id"), col("comp"), col("own").astype(bool), np.diff(s.offsets.to_numpy()).astype(np.int64), s.flatten().to_numpy(), percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    rows = rows.withColumn("meets", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("main") - 1))))
+    rows = rows.select("grp", F.least("block", "meets").alias("x"), F.greatest("block", "meets").alias("y"), (F.col("block") <= F.col("meets")).alias("own"), "id", "comp")
+    more = group_links(docs, rows, size, percent)
+    return cut(components(links.union(more).union(found.select("node", "component").where("node <> component"))), "components")
 
-    return rows.join(sets, "id").groupBy(*region, "x", "y").applyInArrow(run, "a long, b long").distinct()
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, max_rows: int = GROUP_ROWS, max_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: documents linked, directly or through others, by a similarity of percent/100 or more.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents linked, directly or through others, by a similarity of percent/100 or more."""
+    max_rows, max_shingles: what one task holds of a group, in memory; the result doesn't depend on them."""
     base = id_text(docs, id_col, text_col)
     sketch = cut(sketches(base, size), "sketches")
-    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("digest", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("least"))
-    reps = classes.select(F.col("least.doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.col("least.sig").alias("sig"))
-    reps = cut(reps, "classes")
-    forest = entries(reps)
-    heads = cut(forest.groupBy("tree", region_head().alias("head")).agg(F.count("*").alias("members")).where(F.col("members") > DENSE), "heads")
-    pairs = cut(candidates(forest, heads, percent), "pairs")
-    links = None
-    left = pairs
-    for last in (False, False, True):
-        if last:
-            chosen = left
-        else:
-            ends = left.select(F.col("a").alias("v"), F.col("b").alias("u"), "share").union(left.select(F.col("b").alias("v"), F.col("a").alias("u"), "share"))
-            best = ends.groupBy("v").agg(F.max_by("u", F.struct("share", -F.col("u"))).alias("best"), F.min(F.when(F.col("share") >= int(1000 * SURE), F.col("u"))).alias("least"))
-            chosen = best.select("v", F.explode(F.array("best", "least")).alias("u")).where("u is not null")
-            chosen = chosen.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
-        chosen = cut(chosen.select("a", "b"), "chosen")
-        true = confirm(base, chosen, size, percent)
-        links = cut(true if links is None else links.union(true), "confirmed")
-        found = cut(components(links), "components")
-        if not last:
-            left = left.join(chosen, ["a", "b"], "left_anti")
-            left = left.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            left = cut(left.where(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))).select("a", "b", "share"), "pairs")
-            if left.isEmpty():
-                break
-    if not heads.isEmpty():
-        dense = cut(forest.select("tree", region_head().alias("head"), "id", "n").join(heads.select("tree", "head"), ["tree", "head"], "left_semi"), "regions")
-        for wave in (F.col("tree") < WAVE, F.col("tree") >= WAVE):  # what the first trees join, the others need not look at
-            more = cut(dense_links(base, dense.where(wave), found, size, percent), "links")
-            if not more.isEmpty():
-                links = cut(links.union(more), "confirmed")
-                found = cut(components(links), "components")
+    filled = sketch.where("n_shingles > 0 and doc_id is not null")
+    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("least"), F.count("*").alias("rows"))
+    classes = cut(classes.select(F.col("least.doc_id").alias("id"), F.col("least.n_shingles").cast("int").alias("n"), F.col("least.sig").alias("sig"), "digest", "rows"), "classes")
+    likely = cut(likely_links(classes, percent), "likely")
+    groups = cut(components(likely), "components")
+    found = exact_components(base, classes, groups, size, percent, max_rows, max_shingles)
     # class -> component: the smallest id of all classes of a component, as each class is named by its smallest id
-    own = classes.select("digest", "n_shingles", F.col("least.doc_id").alias("node")).join(found, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("class_component"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(own, ["digest", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id"))
+    own = classes.select("digest", "rows", F.col("id").alias("node")).join(found, "node", "left").select("digest", "rows", F.coalesce("component", "node").alias("component_id"))
+    # rows of the largest classes stay where they are: at most HOT_CLASSES classes can have so many
+    many = max(1024, filled.count() // HOT_CLASSES)
+    hot = F.broadcast(own.where(F.col("rows") > many).select("digest", "component_id"))
+    filled = filled.select("doc_id", "n_shingles", "digest")
+    empty = sketch.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = filled.join(hot, "digest").unionByName(filled.join(hot, "digest", "left_anti").join(own.where(F.col("rows") <= many).select("digest", "component_id"), "digest"))
+    out = out.select("doc_id", "n_shingles", "component_id").union(empty)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
