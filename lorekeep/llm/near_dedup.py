@@ -206,8 +206,8 @@ def likely_links(reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ids whose components hold every likely pair of every region."""
     forest = entries(reps)
     shared = forest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = cut(forest.join(shared, "key"), "members")
-    few = reps.join(members.select("id").distinct(), "id", "left_semi")
+    members = cut(forest.join(shared.hint("merge"), "key"), "members")
+    few = reps.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
     blocks = F.ceil(F.col("m") / REGION_ROWS).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.withColumn("meets", F.when(F.col("m") > REGION_ROWS, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))).withColumn("meets", F.explode("meets"))
@@ -219,7 +219,7 @@ def likely_links(reps: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in low], pa.binary()), batch.column(2)], ["id", "n", "low", "sig"])
 
     few = few.select("id", "n", "sig").mapInArrow(run_low, "id long, n int, low binary, sig binary")
-    rows = dealt.join(few, "id").select("key", "x", "y", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("path"), "id", "n", "low")
+    rows = dealt.join(few.hint("merge"), "id").select("key", "x", "y", F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("path"), "id", "n", "low")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "path", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +271,9 @@ def block_links(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, n: np.ndarra
 
 def group_links(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) found on full sets in each (grp, x, y); rows: grp, x, y, own, id, comp, one for each group or pair of blocks a document goes to."""
-    texts = docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    dealt = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("grp", "x", "y", "own", "id", "comp", "text")
+    # merge joins here and above: the same plan at every size, none that is cheap as long as a side happens to fit a broadcast
+    texts = docs.join(rows.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    dealt = rows.hint("merge").join(texts.withColumnRenamed("doc_id", "id"), "id").select("grp", "x", "y", "own", "id", "comp", "text")
     dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot = F.broadcast(own.where(F.col("rows") > many).select("digest", "component_id"))
     filled = filled.select("doc_id", "n_shingles", "digest")
     empty = sketch.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = filled.join(hot, "digest").unionByName(filled.join(hot, "digest", "left_anti").join(own.where(F.col("rows") <= many).select("digest", "component_id"), "digest"))
+    out = filled.join(hot, "digest").unionByName(filled.join(hot, "digest", "left_anti").join(own.where(F.col("rows") <= many).select("digest", "component_id").hint("merge"), "digest"))
     out = out.select("doc_id", "n_shingles", "component_id").union(empty)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
