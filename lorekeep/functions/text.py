@@ -123,3 +123,94 @@ def citations_in(text: Column) -> tuple[Column, Column]:
     numbers = F.transform(F.flatten(F.transform(good, lambda x: F.split(x, ","))), lambda x: F.trim(x).cast("int"))
     bad = F.exists(lists, lambda x: F.regexp_like(x, F.lit(r"\d")) & ~F.regexp_like(x, F.lit(r"^\s*\d+\s*(,\s*\d+\s*)*$")))
     return numbers, bad
+
+
+def parens(text: Column) -> Column:
+    """Contents of (…) groups, trimmed, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]*)\)"), F.lit(1)), F.trim)
+
+
+def plain_key(text: Column) -> tuple[Column, Column]:
+    """A stricter key (ASCII letters and digits, apostrophes closed up, the rest to single spaces), and whether a letter or digit could not be folded."""
+    closed = F.regexp_replace(folded(text), "['’‘ʼ]", "")
+    odd = F.regexp_like(closed, F.lit(r"[^\x00-\x7F&&[\p{L}\p{N}]]"))
+    return F.trim(F.regexp_replace(closed, "[^a-z0-9]+", " ")), odd
+
+
+def core_name(text: Column, forms: list[str]) -> Column:
+    """The normalised name without trailing form words, as often as they repeat, and without the population it is scoped to."""
+    n = normalise_title(strip_parens(text))
+    bare = F.regexp_replace(n, rf"(?: (?:{'|'.join(sorted(forms, key=lambda f: (-len(f), f)))}))+$", "")
+    return F.regexp_replace(bare, rf" (?:in|during|for) (?:{'|'.join(POPULATIONS)})$", "")
+
+
+def safe_query(text: Column) -> Column:
+    """Words of a query as quoted terms, so that none acts as an operator; quotes in them are doubled."""
+    words = F.filter(F.split(collapse_ws(text), " "), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " ")
+
+
+#: Escapes of a JSON string; other controls below U+0020 become \u00xx (fixed values).
+JSON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def json_string(text: Column) -> Column:
+    out = text
+    for raw, escaped in JSON_ESCAPES.items():
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    rest = out
+    for c in range(32):
+        if chr(c) not in JSON_ESCAPES:
+            rest = F.replace(rest, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    return F.concat(F.lit('"'), F.when(F.regexp_like(out, F.lit(r"[\x00-\x1F]")), rest).otherwise(out), F.lit('"'))
+
+
+def content_sha(*fields: Column) -> Column:
+    """sha256 of the fields as a compact JSON array."""
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *[json_string(f) for f in fields]), F.lit("]")), 256)
+
+
+def split_reasoning(text: Column) -> tuple[Column, Column, Column]:
+    """The reasoning between <think> tags, the rest, and the state: ok, thinking_only, empty or truncated (a tag that never closes)."""
+    t = F.coalesce(text, F.lit(""))
+    inner = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<think>(.*?)(?:</think>|$)"), F.lit(1)), F.trim), "\n")
+    cut = F.regexp_like(t, F.lit(r"(?is)<think>(?!.*</think>)"))
+    rest = F.trim(F.regexp_replace(t, r"(?is)<think>.*?(?:</think>|$)", " "))
+    state = F.when(cut, "truncated").when(rest != "", "ok").when(inner != "", "thinking_only").otherwise("empty")
+    return inner, rest, state
+
+
+def tool_calls(text: Column) -> Column:
+    """Names of the tools called in <tool_call> fences, in order; fences that hold no JSON object with a name count as "?"."""
+    bodies = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))
+    return F.transform(bodies, lambda b: F.coalesce(F.nullif(F.get_json_object(b, "$.name"), F.lit("")), F.lit("?")))
+
+
+def clean_segment(text: Column) -> Column:
+    """An account's folder name: the id itself if it is made of ASCII letters, digits, _ and - alone, else null."""
+    return F.when(F.regexp_like(text, F.lit("^[A-Za-z0-9_-]+$")), text)
+
+
+def clean_pack_id(text: Column) -> Column:
+    """A pack id that is a file name and never a path: 1 to 128 of ASCII letters, digits, . _ -, no leading point; else null."""
+    return F.when(F.regexp_like(text, F.lit("^[A-Za-z0-9_-][A-Za-z0-9._-]{0,127}$")), text)
+
+
+def clean_email(text: Column) -> Column:
+    return F.lower(F.trim(text))
+
+
+def count_words(text: Column) -> Column:
+    """Tokens by white space."""
+    return F.size(F.filter(F.split(collapse_ws(F.coalesce(text, F.lit(""))), " "), lambda w: w != ""))
+
+
+QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "  # fixed value: what embeddings of queries were made with
+
+
+def query_input(text: Column) -> Column:
+    return F.concat(F.lit(QUERY_INSTRUCTION), text)
+
+
+def passage_input(prefix: Column, text: Column) -> Column:
+    return F.when(F.coalesce(prefix, F.lit("")) == "", text).otherwise(F.concat(prefix, F.lit("\n"), text))
