@@ -127,7 +127,7 @@ def citations_in(text: Column) -> tuple[Column, Column]:
 
 def parens(text: Column) -> Column:
     """Contents of (…) groups, trimmed, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]*)\)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def plain_key(text: Column) -> tuple[Column, Column]:
@@ -173,7 +173,7 @@ def content_sha(*fields: Column) -> Column:
 def split_reasoning(text: Column) -> tuple[Column, Column, Column]:
     """The reasoning between <think> tags, the rest, and the state: ok, thinking_only, empty or truncated (a tag that never closes)."""
     t = F.coalesce(text, F.lit(""))
-    inner = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<think>(.*?)(?:</think>|$)"), F.lit(1)), F.trim), "\n")
+    inner = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<think>(.*?)(?:</think>|$)"), F.lit(1)), lambda x: F.trim(x)), "\n")
     cut = F.regexp_like(t, F.lit(r"(?is)<think>(?!.*</think>)"))
     rest = F.trim(F.regexp_replace(t, r"(?is)<think>.*?(?:</think>|$)", " "))
     state = F.when(cut, "truncated").when(rest != "", "ok").when(inner != "", "thinking_only").otherwise("empty")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.functions import vectors as V
 from lorekeep.operators import analytics, conversation, lookup, retrieval, tokens
-from lorekeep.plans import summaries
+from lorekeep.plans import messages, packs, replies, selection, summaries
 from lorekeep.session import table
 from lorekeep.sources import text as sources
 
@@ -461,5 +461,6 @@ ORACLE_SQL: dict[str, str] = {
     "cluster_entities": CLUSTERS_SQL,
 }
 
-QUERIES |= summaries.QUERIES
-ORACLE_SQL |= summaries.ORACLE_SQL
+for part in (summaries, packs, selection, messages, replies):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL

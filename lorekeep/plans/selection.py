@@ -9,13 +9,16 @@ from lorekeep.session import table
 
 NOW, NOW_S = "1996-01-01 00:00:00", 820_454_400
 ROUTES = ["EMERGENCY", "CLINICIAN", "SELF_CARE"]
-K = F.col("c_custkey")
+
+
+def key():
+    return F.col("c_custkey")
 
 
 def _devices(s, d):
-    ram, vram, silicon = K % 24, K % 11, K % 10 == 3
-    c = table(s, d, "customer").select("c_custkey", S.desktop_tier(ram, vram, silicon).alias("desktop"), S.mobile_tier(ram, K % 4 == 0, 2_000_000 + K % 9 * 100_000).alias("mobile"))
-    return c.withColumn("blocked", S.below_tier(F.col("mobile"), F.when(K % 3 == 0, "high").when(K % 3 == 1, "mid").otherwise("ultra")))
+    ram, vram, silicon = key() % 24, key() % 11, key() % 10 == 3
+    c = table(s, d, "customer").select("c_custkey", S.desktop_tier(ram, vram, silicon).alias("desktop"), S.mobile_tier(ram, key() % 4 == 0, 2_000_000 + key() % 9 * 100_000).alias("mobile"))
+    return c.withColumn("blocked", S.below_tier(F.col("mobile"), F.when(key() % 3 == 0, "high").when(key() % 3 == 1, "mid").otherwise("ultra")))
 
 
 def _grants(s, d):
@@ -75,8 +78,8 @@ def _catalogue(s, d):
 
 
 def _crisis(s, d):
-    rule, keep = S.crisis_rule(K % 5 != 0, F.when(K % 2 == 0, "replace").when(K % 3 == 0, "append").otherwise("other"), F.when(K % 7 == 0, F.array(F.lit("EMERGENCY"), F.lit("nowhere"))).when(K % 7 == 1, F.array().cast("array<string>")).when(K % 7 == 2, None).otherwise(F.array(F.lit("EMERGENCY"), F.lit("CLINICIAN"))), ROUTES, ["EMERGENCY"])
-    return table(s, d, "customer").select("c_custkey", rule.alias("rule"), F.array_join(keep, "|").alias("keep"), S.sampling(K % 5 != 0, F.when(K % 3 == 0, F.col("c_acctbal")).when(K % 3 == 1, F.lit(float("nan"))), F.lit(0.5)).alias("temperature"))
+    rule, keep = S.crisis_rule(key() % 5 != 0, F.when(key() % 2 == 0, "replace").when(key() % 3 == 0, "append").otherwise("other"), F.when(key() % 7 == 0, F.array(F.lit("EMERGENCY"), F.lit("nowhere"))).when(key() % 7 == 1, F.array().cast("array<string>")).when(key() % 7 == 2, None).otherwise(F.array(F.lit("EMERGENCY"), F.lit("CLINICIAN"))), ROUTES, ["EMERGENCY"])
+    return table(s, d, "customer").select("c_custkey", rule.alias("rule"), F.array_join(keep, "|").alias("keep"), S.sampling(key() % 5 != 0, F.when(key() % 3 == 0, F.col("c_acctbal")).when(key() % 3 == 1, F.lit(float("nan"))), F.lit(0.5)).alias("temperature"))
 
 
 def _modes(s, d):
@@ -89,8 +92,8 @@ def _modes(s, d):
 
 def _images(s, d):
     b = lambda kind, text, flag, edit: F.struct(F.lit(kind).alias("kind"), text.alias("content"), flag.alias("flagged"), edit.alias("edited"))
-    blocks = F.array(b("text", F.lit("x"), K % 2 == 0, F.lit(True)), b("latex", F.when(K % 5 == 0, " ").otherwise("y"), K % 3 == 0, K % 4 == 0))
-    mode, usable = S.image_confirm(F.when(K % 4 == 1, "accept").when(K % 4 == 2, "refuse").when(K % 4 == 3, "odd").otherwise("review"), blocks)
+    blocks = F.array(b("text", F.lit("x"), key() % 2 == 0, F.lit(True)), b("latex", F.when(key() % 5 == 0, " ").otherwise("y"), key() % 3 == 0, key() % 4 == 0))
+    mode, usable = S.image_confirm(F.when(key() % 4 == 1, "accept").when(key() % 4 == 2, "refuse").when(key() % 4 == 3, "odd").otherwise("review"), blocks)
     return table(s, d, "customer").select("c_custkey", mode.alias("mode"), usable.alias("usable"))
 
 
@@ -102,8 +105,8 @@ def _plan(s, d):
 QUERIES = {
     "hardware_tier": lambda s, d: _devices(s, d).select("c_custkey", "desktop", "mobile"),
     "sel_min_tier": lambda s, d: _devices(s, d).select("c_custkey", "blocked"),
-    "src_pdf_budget": lambda s, d: table(s, d, "customer").select("c_custkey", S.ocr_budget(K % 700).alias("budget")),
-    "st_offline_throttle": lambda s, d: table(s, d, "customer").select("c_custkey", S.throttle_seconds(K % 14, NOW_S - K % 40, F.lit(NOW_S)).alias("wait")),
+    "src_pdf_budget": lambda s, d: table(s, d, "customer").select("c_custkey", S.ocr_budget(key() % 700).alias("budget")),
+    "st_offline_throttle": lambda s, d: table(s, d, "customer").select("c_custkey", S.throttle_seconds(key() % 14, NOW_S - key() % 40, F.lit(NOW_S)).alias("wait")),
     "sel_grace": lambda s, d: table(s, d, "orders").select("o_orderkey", S.grace_expired(F.unix_seconds(F.col("o_orderdate").cast("timestamp")), F.lit(NOW_S)).alias("expired")),
     "entitlement_active": _active,
     "sel_entitlement_state": _states,
