@@ -1,7 +1,8 @@
 """Secret scan over a trigram inverted index.
 
-Each rule's pattern gives a Boolean query over trigrams: an OR of ANDs, one AND for each literal alternative that any match
-must contain. Per batch of documents the postings of the trigrams in use are built with one pass over the bytes; intersecting and
+Each rule's pattern is parsed, and a Boolean query over trigrams is derived from it: a run of a concatenation that can only be one of a few strings must
+hold the trigrams of one of them, an alternation one of its branches, a repeated part what one copy must hold; optional and open parts ask for
+nothing. Per batch of documents the postings of the trigrams in use are built with one pass over the bytes; intersecting and
 uniting them gives each rule's candidates, which are then verified with the pattern itself. A rule without mandatory
 trigrams scans every document. Candidate sets are supersets, so results equal a full scan.
 
@@ -9,6 +10,7 @@ Nulls count as empty texts; an empty text has no spans and the digest of the emp
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,10 +27,10 @@ from .common import id_text, runs, slices
 class Rule:
     kind: str
     pattern: str
-    literals: tuple[str, ...]  # every match contains one of these, letters in either case; empty: none is mandatory
     min_chars: int = 0  # of the group below
     group: int = 0
     base: bool = False
+    verify: str | None = None  # a pattern whose matches are those of `pattern` with min_chars, where that is faster
 
 
 def any_case(word: str) -> str:
@@ -43,24 +45,131 @@ _BREAK = r"(?:\r?\n|\\r\\n|\\n)"
 _KEY_REST = rf"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\t]*{_BREAK}[\x20\t>]*(?:(?:Proc-Type|DEK-Info|Comment|Version|Charset|Hash|MessageID):[^\r\n]*|[A-Za-z0-9+/]{{16,}}={{0,2}}|[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=[\x20\t]*(?:{_BREAK}|$))|(?=[\x20\t]*{_BREAK})))*)"
 
 RULES = (
-    Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "apikey", "api_key"), 6, 2, True),
-    Rule("access", r"AKIA[A-Z0-9]+", ("akia",), 20, 0, True),
-    Rule("hex", r"[0-9a-f]+", (), 24, 0, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_REST, ("private key-----",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("eyj",)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 20, 0, True),
+    # maximal runs of one class: a run that is too short is dropped, so asking for the length at once is the same
+    Rule("hex", r"[0-9a-f]+", 24, 0, True, r"[0-9a-f]{24,}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_REST),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 
+#: Bounds of the expansion: strings that a run may stand for, characters of a class, length of a run.
+STRINGS, CLASS, LENGTH = 64, 8, 48
+#: Letters that other characters match too when a pattern ignores case beyond ASCII.
+_WIDE = frozenset("iksIKS")
+
 
 def trigrams(literal: str) -> list[int]:
-    b = literal.lower().encode()
+    b = literal.encode("utf-8", "surrogatepass")
     return [b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)]
 
 
-def trigram_query(rule: Rule) -> list[list[int]] | None:
-    """An OR of ANDs, or None if the rule must scan fully."""
-    ands = [trigrams(x) for x in rule.literals]
-    return ands if ands and all(ands) else None
+def both(parts: list) -> tuple | int | None:
+    """AND of queries; None asks for nothing."""
+    some = list(dict.fromkeys(p for p in parts if p is not None))
+    return None if not some else some[0] if len(some) == 1 else ("and", *some)
+
+
+def either(parts: list) -> tuple | int | None:
+    """OR of queries; one that asks for nothing makes all of it ask for nothing."""
+    some = list(dict.fromkeys(parts))
+    return None if not some or None in some else some[0] if len(some) == 1 else ("or", *some)
+
+
+def strings_query(strings: frozenset[str]) -> tuple | int | None:
+    return either([both(trigrams(x)) for x in sorted(strings)])
+
+
+def fold(text: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def _item(op, arg, flags: int) -> tuple[frozenset[str] | None, tuple | int | None]:
+    """(strings, query) of one part of a parsed pattern: all folded strings it can be, or None, and what a text with a match must hold."""
+    name = str(op)
+    if name in ("AT", "ASSERT", "ASSERT_NOT"):
+        return frozenset([""]), None
+    if name == "LITERAL":
+        c = chr(arg)
+        if flags & re.IGNORECASE and not flags & re.ASCII and (c in _WIDE or not c.isascii()):
+            return None, None
+        if not c.isascii() and flags & re.IGNORECASE:
+            return None, None
+        return frozenset([fold(c)]), None
+    if name == "IN":
+        chars: set[str] = set()
+        for kind, value in arg:
+            if str(kind) == "LITERAL":
+                chars.add(chr(value))
+            elif str(kind) == "RANGE" and value[1] - value[0] < 4 * CLASS:
+                chars |= {chr(c) for c in range(value[0], value[1] + 1)}
+            else:
+                return None, None
+        wide = flags & re.IGNORECASE and any(c in _WIDE or not c.isascii() for c in chars)
+        folded = frozenset(map(fold, chars))
+        return (None, None) if wide or len(folded) > CLASS else (folded, None)
+    if name == "SUBPATTERN":
+        _, add, remove, inner = arg
+        return _concat(inner, (flags | add) & ~remove)
+    if name == "ATOMIC_GROUP":
+        return _concat(arg, flags)
+    if name == "BRANCH":
+        found = [_concat(x, flags) for x in arg[1]]
+        if all(strings is not None for strings, _ in found):
+            union = frozenset().union(*(strings for strings, _ in found))
+            if len(union) <= STRINGS:
+                return union, None
+        return None, either([query if strings is None else strings_query(strings) for strings, query in found])
+    if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        low, high, inner = arg
+        strings, query = _concat(inner, flags)
+        if high == 1 and low == 0:
+            return (None, None) if strings is None else (strings | {""}, None)
+        if low == 0:
+            return None, None
+        if strings is None:
+            return None, query
+        least = frozenset([""])
+        for _ in range(min(low, LENGTH)):
+            grown = frozenset(a + b for a in least for b in strings)
+            if len(grown) > STRINGS or max(map(len, grown)) > LENGTH:
+                return None, strings_query(least)
+            least = grown
+        return (least, None) if low == high and low <= LENGTH else (None, strings_query(least))
+    return None, None
+
+
+def _concat(items, flags: int) -> tuple[frozenset[str] | None, tuple | int | None]:
+    """Runs of parts with known strings are multiplied out; where one ends, what it has so far must hold."""
+    run, asked, whole = frozenset([""]), [], True
+    for op, arg in items:
+        strings, query = _item(op, arg, flags)
+        grown = None if strings is None else frozenset(a + b for a in run for b in strings)
+        if grown is not None and len(grown) <= STRINGS and max(map(len, grown)) <= LENGTH:
+            run = grown
+            continue
+        whole = False
+        asked.append(strings_query(run))
+        asked.append(query)
+        run = strings if strings is not None else frozenset([""])
+    if whole:
+        return run, None
+    return None, both([*asked, strings_query(run)])
+
+
+@functools.lru_cache(maxsize=256)
+def trigram_query(pattern: str) -> tuple | int | None:
+    """The query derived from a pattern: a trigram, ("and", ...), ("or", ...), or None if every text must be scanned."""
+    parsed = re._parser.parse(pattern)
+    strings, query = _concat(parsed, parsed.state.flags)
+    return query if strings is None else strings_query(strings)
+
+
+def asked_trigrams(query: tuple | int | None) -> set[int]:
+    if query is None:
+        return set()
+    return {query} if isinstance(query, int) else set().union(*map(asked_trigrams, query[1:]))
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -81,35 +190,28 @@ def postings(texts: list[str], wanted: np.ndarray) -> dict[int, np.ndarray]:
     return {int(g): np.unique(doc[gram == g]) for g in wanted}
 
 
-def candidates(rule: Rule, index: dict[int, np.ndarray], n: int) -> np.ndarray:
-    ands = trigram_query(rule)
-    if ands is None:
+def candidates(query: tuple | int | None, index: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Texts that may match, ascending: postings intersected and united as the query says."""
+    if query is None:
         return np.arange(n)
-    found = [np.empty(0, np.int64)]
-    for grams in ands:
-        own = index[grams[0]]
-        for g in grams[1:]:
-            own = own[np.isin(own, index[g], assume_unique=True)]
-        found.append(own)
-    return np.unique(np.concatenate(found))
-
-
-def _verifier(rule: Rule):
-    # leftmost maximal runs of one class: a run that is too short is dropped, so asking for the length at once is the same
-    if rule.kind == "hex":
-        return re.compile(r"[0-9a-f]{24,}")
-    return re.compile(rule.pattern)
+    if isinstance(query, int):
+        return index[query]
+    parts = [candidates(q, index, n) for q in query[1:]]
+    if query[0] == "and":
+        return functools.reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), parts)
+    return functools.reduce(np.union1d, parts)
 
 
 def scan(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, rule index, end), sorted."""
     texts = [t or "" for t in texts]
-    wanted = np.array(sorted({g for r in rules for grams in trigram_query(r) or [] for g in grams}), np.uint32)
+    queries = [trigram_query(r.pattern) for r in rules]
+    wanted = np.array(sorted(set().union(*map(asked_trigrams, queries))), np.uint32)
     index = postings(texts, wanted)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for k, rule in enumerate(rules):
-        pattern = _verifier(rule)
-        for i in candidates(rule, index, len(texts)):
+    for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
+        pattern = re.compile(rule.verify or rule.pattern)
+        for i in candidates(query, index, len(texts)):
             out[i] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.min_chars]
     for spans in out:
         spans.sort()
