@@ -18,6 +18,8 @@ Ties of place are broken by kind (message, call, result). Empty input gives no r
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,34 +54,41 @@ def schema_errors(given: Column, params: Column) -> Column:
 def ordered(units: DataFrame, edges: DataFrame) -> DataFrame:
     """conv_id, id, at (turn, part, depth), cyclic for every first call.
 
-    units: conv_id, id, turn, part, result_turn; edges: conv_id, id, dep, one row each, both ends known."""
+    units: conv_id, id, turn, part, result_turn; edges: conv_id, id, dep, one row each, both ends known. Calls of conversations in order keep their place. In the others, each round
+    places the calls whose dependencies are all placed: as many rounds as the longest chain of calls has steps. What no round can place waits for itself, or for such a call: one look settles
+    circles of any size. They are `cyclic` and keep their own place."""
     own = F.struct("turn", "part", F.lit(0).cast("long").alias("depth"))
 
     def done(at: Column, result_turn: Column) -> Column:
         answer = F.struct(result_turn.alias("turn"), F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("depth"))
         return F.when(result_turn.isNull(), at).otherwise(F.greatest(at, answer))
 
-    state = units.select("conv_id", "id", own.alias("own"), "result_turn", own.alias("at"), F.lit(False).alias("cyclic"))
-    waits = edges.join(state.select("conv_id", F.col("id").alias("dep"), done(F.col("at"), F.col("result_turn")).alias("free")), ["conv_id", "dep"]).join(state.select("conv_id", "id", "own"), ["conv_id", "id"])
-    forward = cut(waits.where("free >= own").select("conv_id").distinct(), "forward")
+    state = units.select("conv_id", "id", own.alias("own"), "result_turn")
+    ends = edges.join(state.select("conv_id", F.col("id").alias("dep"), done(F.col("own"), F.col("result_turn")).alias("free")).hint("shuffle_hash"), ["conv_id", "dep"])
+    forward = ends.join(state.select("conv_id", "id", "own").hint("shuffle_hash"), ["conv_id", "id"]).where("free >= own").select("conv_id").distinct()
+    forward = cut(forward, "forward")
     if forward.isEmpty():
-        return state.select("conv_id", "id", "at", "cyclic")
-    rest = state.join(forward, "conv_id", "left_anti").select("conv_id", "id", "at", "cyclic")
-    live = state.join(forward, "conv_id", "left_semi")
-    live = cut(live.join(live.groupBy("conv_id").agg(F.count("*").alias("calls")), "conv_id"), "order")
+        return state.select("conv_id", "id", F.col("own").alias("at"), F.lit(False).alias("cyclic"))
     links = cut(edges.join(forward, "conv_id", "left_semi"), "waits")
+    counts = links.groupBy("conv_id", "id").agg(F.count("*").alias("deps"))
+    live = state.join(forward, "conv_id", "left_semi").join(counts, ["conv_id", "id"], "left")
+    live = cut(live.select("*", F.lit(None).cast("struct<turn:long,part:long,depth:long>").alias("free"), F.lit(0).cast("long").alias("met"), F.coalesce("deps", F.lit(0)).alias("open")), "order")
+    waiting = live.where("open > 0")
+    placed = live.where("open = 0").select("conv_id", "id", F.col("own").alias("at"), "result_turn")
+    out = [state.join(forward, "conv_id", "left_anti").select("conv_id", "id", F.col("own").alias("at"), F.lit(False).alias("cyclic"))]
     while True:
-        free = live.select("conv_id", F.col("id").alias("dep"), done(F.col("at"), F.col("result_turn")).alias("free"), F.col("cyclic").alias("dep_cyclic"))
-        moved = links.join(free, ["conv_id", "dep"]).groupBy("conv_id", "id").agg(F.max("free").alias("free"), F.max("dep_cyclic").alias("dep_cyclic"))
+        out.append(placed.select("conv_id", "id", "at", F.lit(False).alias("cyclic")))
+        freed = links.join(placed.select("conv_id", F.col("id").alias("dep"), done(F.col("at"), F.col("result_turn")).alias("now")), ["conv_id", "dep"]).groupBy("conv_id", "id").agg(F.max("now").alias("now"), F.count("*").alias("more"))
+        new = waiting.join(freed, ["conv_id", "id"], "left")
+        new = new.withColumn("free", F.greatest("free", "now")).withColumn("met", F.col("met") + F.coalesce("more", F.lit(0))).drop("now", "more")
+        new = cut(new, "order")
         after = F.struct(F.col("free.turn").alias("turn"), F.col("free.part").alias("part"), (F.col("free.depth") + 1).alias("depth"))
-        new = live.join(moved, ["conv_id", "id"], "left").withColumn("next", F.when(F.col("cyclic") | F.col("free").isNull(), F.col("at")).otherwise(F.greatest("own", after)))
-        # a chain of waiting calls at one place is no longer than the conversation's calls, unless it runs in a circle
-        new = new.withColumn("circle", F.col("cyclic") | F.coalesce("dep_cyclic", F.lit(False)) | (F.col("next.depth") > F.col("calls")))
-        new = cut(new.select("conv_id", "id", "own", "result_turn", F.col("next").alias("at"), F.col("circle").alias("cyclic"), "calls", ((F.col("next") != F.col("at")) | (F.col("circle") != F.col("cyclic"))).alias("changed")), "order")
-        live = new.drop("changed")
-        if new.where("changed").isEmpty():
+        placed = new.where("met = open").select("conv_id", "id", F.greatest("own", after).alias("at"), "result_turn")
+        waiting = new.where("met < open")
+        if placed.isEmpty():
             break
-    return rest.union(live.select("conv_id", "id", "at", "cyclic"))
+    out.append(waiting.select("conv_id", "id", F.col("own").alias("at"), F.lit(True).alias("cyclic")))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def format_chats(messages: DataFrame, tools: DataFrame) -> DataFrame:
@@ -93,56 +102,68 @@ def format_chats(messages: DataFrame, tools: DataFrame) -> DataFrame:
     plain = m.where((F.col("role") != "tool") & (F.col("content").isNotNull() | (F.coalesce(F.size("tool_calls"), F.lit(0)) <= 0)))
     plain = plain.select("conv_id", "turn", zero.alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"), F.lit("").alias("errors"), F.struct("turn", zero.alias("part"), zero.alias("depth")).alias("at"), canonical(content=F.coalesce("content", F.lit("")), role=F.col("role")).alias("json"))
 
-    calls = m.select("conv_id", "turn", F.posexplode("tool_calls").alias("pos", "call")).select("conv_id", "turn", (F.col("pos") + 1).cast("long").alias("part"), "call.*")
-    results = m.where("role = 'tool'").select("conv_id", "turn", F.col("tool_call_id").alias("id"), "content")
+    # calls and results of a message as rows of one table: one pass, one aggregation by identifier
+    unit = F.struct(F.lit("call").alias("kind"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("array<string>").alias("after"))
+    asked = F.transform("tool_calls", lambda x, i: F.struct(F.lit("call").alias("kind"), (i + 1).cast("long").alias("part"), x["id"].alias("id"), x["name"].alias("name"), x["arguments"].alias("arguments"), x["after"].alias("after")))
+    reply = F.array(F.struct(F.lit("result").alias("kind"), zero.alias("part"), F.col("tool_call_id").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("array<string>").alias("after")))
+    none = F.filter(F.array(unit), lambda x: F.lit(False))
+    units = m.select("conv_id", "turn", "content", F.explode(F.concat(F.coalesce(asked, none), F.when(F.col("role") == "tool", reply).otherwise(none))).alias("u")).select("conv_id", "turn", "content", "u.*")
     known = "conv_id is not null and id is not null"
-    first_call = calls.where(known).groupBy("conv_id", "id").agg(F.min(F.struct("turn", "part")).alias("first"))
-    first_result = results.where(known).groupBy("conv_id", "id").agg(F.min("turn").alias("result_turn"), F.lit(True).alias("answered"))
-    units = first_call.join(first_result, ["conv_id", "id"], "left").select("conv_id", "id", "first.turn", "first.part", "result_turn", F.coalesce("answered", F.lit(False)).alias("answered"))
-    edges = calls.where(known).select("conv_id", "id", F.explode("after").alias("dep")).where("dep is not null").distinct()
-    edges = edges.join(first_call.select("conv_id", F.col("id").alias("dep")), ["conv_id", "dep"], "left_semi")
-    place = ordered(units, edges).join(units.select("conv_id", "id", F.col("turn").alias("first_turn"), F.col("part").alias("first_part"), "result_turn", "answered"), ["conv_id", "id"])
+    is_call = F.col("kind") == "call"
+    by_id = units.where(known).groupBy("conv_id", "id").agg(F.min(F.when(is_call, F.struct("turn", "part"))).alias("first"), F.min(F.when(~is_call, F.col("turn"))).alias("result_turn"), F.bool_or(~is_call).alias("answered"))
+    by_id = cut(by_id.where("first is not null").select("conv_id", "id", F.col("first.turn").alias("turn"), F.col("first.part").alias("part"), "result_turn", "answered"), "units")
+    edges = units.where(known).where(is_call).select("conv_id", "id", F.explode("after").alias("dep")).where("dep is not null").distinct()
+    edges = cut(edges.join(by_id.select("conv_id", F.col("id").alias("dep")).hint("shuffle_hash"), ["conv_id", "dep"], "left_semi"), "edges")
+    place = ordered(by_id, edges).join(by_id.select("conv_id", "id", F.col("turn").alias("first_turn"), F.col("part").alias("first_part"), "result_turn", "answered").hint("shuffle_hash"), ["conv_id", "id"])
     place = cut(place, "linked")
 
-    c = calls.join(place, ["conv_id", "id"], "left").join(registry(tools), F.col("name") == F.col("tool"), "left")
+    # the link itself: a hash join by (conversation, identifier); the registry is a small table of tools
+    c = units.join(place.hint("shuffle_hash"), ["conv_id", "id"], "left").join(registry(tools), is_call & (F.col("name") == F.col("tool")), "left")
     c = c.withColumn("parsed", F.try_parse_json("arguments")).withColumn("given", F.expr("try_cast(parsed as map<string,variant>)"))
     c = c.withColumn("given", F.when(F.schema_of_variant("parsed").startswith("OBJECT"), F.col("given")))
-    c = c.withColumn("found", F.coalesce(schema_errors(F.col("given"), F.col("params")), F.array().cast("array<string>")))
+    c = c.withColumn("found", F.when(is_call, F.coalesce(schema_errors(F.col("given"), F.col("params")), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
     later = (F.col("turn") != F.col("first_turn")) | (F.col("part") != F.col("first_part"))
-    status = (
-        F.when(F.col("first_part").isNull(), "no_id").when(later, "duplicate").when(F.col("given").isNull(), "malformed").when(F.col("params").isNull(), "unknown_tool")
+    call_status = (
+        F.when(F.col("conv_id").isNull() | F.col("id").isNull(), "no_id").when(later, "duplicate").when(F.col("given").isNull(), "malformed").when(F.col("params").isNull(), "unknown_tool")
         .when(F.size("found") > 0, "invalid").when(F.col("cyclic"), "cyclic").when(~F.col("answered"), "unanswered").otherwise("ok")
     )
-    here = F.struct("turn", "part", zero.alias("depth"))
-    text = canonical(arguments=F.coalesce("parsed", F.to_variant_object(F.struct(F.col("arguments").alias("malformed")))), id=F.col("id"), name=F.col("name"))
-    c = c.select("conv_id", "turn", "part", F.lit("call").alias("kind"), F.col("id").alias("call_id"), status.alias("status"), F.array_join("found", "; ").alias("errors"), F.when(later | F.col("at").isNull(), here).otherwise(F.col("at")).alias("at"), text.alias("json"))
-
-    r = results.join(place, ["conv_id", "id"], "left")
-    status = (
-        F.when(F.col("conv_id").isNull() | F.col("id").isNull(), "no_id").when(F.col("first_turn").isNull() & F.col("at").isNull(), "orphan")
+    result_status = (
+        F.when(F.col("conv_id").isNull() | F.col("id").isNull(), "no_id").when(F.col("at").isNull(), "orphan")
         .when(F.col("turn") != F.col("result_turn"), "duplicate").when(F.col("turn") < F.col("first_turn"), "early").otherwise("ok")
     )
-    here = F.struct("turn", zero.alias("part"), zero.alias("depth"))
-    r = r.select("conv_id", "turn", zero.alias("part"), F.lit("result").alias("kind"), F.col("id").alias("call_id"), status.alias("status"), F.lit("").alias("errors"), F.when(F.col("at").isNull(), here).otherwise(F.greatest(here, "at")).alias("at"), canonical(content=F.coalesce("content", F.lit("")), role=F.lit("tool"), tool_call_id=F.col("id")).alias("json"))
-    out = plain.unionByName(c).unionByName(r)
+    here = F.struct("turn", "part", zero.alias("depth"))
+    at = F.when(F.col("at").isNull() | (is_call & later), here).when(is_call, F.col("at")).otherwise(F.greatest(here, "at"))
+    call_text = canonical(arguments=F.coalesce("parsed", F.to_variant_object(F.struct(F.col("arguments").alias("malformed")))), id=F.col("id"), name=F.col("name"))
+    result_text = canonical(content=F.coalesce("content", F.lit("")), role=F.lit("tool"), tool_call_id=F.col("id"))
+    c = c.select("conv_id", "turn", "part", "kind", F.col("id").alias("call_id"), F.when(is_call, call_status).otherwise(result_status).alias("status"), F.array_join("found", "; ").alias("errors"), at.alias("at"), F.when(is_call, call_text).otherwise(result_text).alias("json"))
+    out = plain.unionByName(c)
     kind = F.create_map(*[x for k, v in RANK.items() for x in (F.lit(k), F.lit(v))])
     return out.select("conv_id", "turn", "part", "kind", "call_id", "status", "errors", F.col("at.turn").alias("order_turn"), F.col("at.part").alias("order_part"), F.col("at.depth").alias("order_depth"), kind[F.col("kind")].alias("order_kind"), "json")
 
 
 def exchanges(conversations: DataFrame) -> DataFrame:
     """The messages of a table of plain turns (conv_id, turn, role, text), which knows no tools: each assistant turn is read as a call of the tool `reply`
-    with the user's turn before it as request, and its text as that call's result; a reply waits for the one two turns earlier."""
+    with the user's turn before it as request, and its text as that call's result.
+
+    A reply waits for the one two turns earlier; at turns 1, 7, 13 ... for the one two turns later instead, and turn 3 of every 17th conversation for turn 1, a circle. The logs have
+    the faults of real ones: broken arguments (conversations 3 mod 11), an unregistered tool (5 mod 13), a wrong type (6 mod 19), results of no call (2 mod 7), repeated
+    results one turn later (1 mod 5), calls never answered (8 mod 23)."""
     c = conversations.select("conv_id", "turn", "role", "text")
+    k, t = F.col("conv_id"), F.col("turn")
     asked = c.where("role = 'user'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("request"))
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     none = F.lit(None)
     said = c.where("role <> 'assistant' or role is null").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("content"), none.cast(CALLS).alias("tool_calls"), none.cast("string").alias("tool_call_id"))
     reply = c.where("role = 'assistant'")
-    arguments = F.to_json(F.struct(F.col("turn"), F.col("request")))
-    after = F.when(F.col("turn") >= 3, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>"))
-    call = F.array(F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after")))
+    whole = F.to_json(F.struct(F.when(k % 19 != 6, t.cast("string")).otherwise("x").alias("turn"), F.col("request")))
+    arguments = F.when(k % 11 == 3, F.lit('{"turn":')).otherwise(F.when(k % 19 == 6, whole).otherwise(F.to_json(F.struct(F.col("turn"), F.col("request")))))
+    after = F.when((k % 17 == 4) & (t == 3), F.array(name(t - 2))).when(t % 6 == 1, F.array(name(t + 2))).when(t >= 3, F.array(name(t - 2))).otherwise(F.array().cast("array<string>"))
+    call = F.array(F.struct(name(t).alias("id"), F.when(k % 13 == 5, "other").otherwise("reply").alias("name"), arguments.alias("arguments"), after.alias("after")))
     called = reply.join(asked, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", none.cast("string").alias("content"), call.cast(CALLS).alias("tool_calls"), none.cast("string").alias("tool_call_id"))
-    answered = reply.select("conv_id", "turn", F.lit("tool").alias("role"), F.col("text").alias("content"), none.cast(CALLS).alias("tool_calls"), name(F.col("turn")).alias("tool_call_id"))
+    results = F.array(
+        F.when(k % 23 != 8, F.struct(t.alias("turn"), name(t).alias("id"))), F.when((k % 5 == 1) & (k % 23 != 8), F.struct((t + 1).alias("turn"), name(t).alias("id"))), F.when(k % 7 == 2, F.struct(t.alias("turn"), F.concat(F.lit("x-"), name(t)).alias("id")))
+    )
+    answered = reply.select("conv_id", "text", F.explode(F.array_compact(results)).alias("r")).select("conv_id", F.col("r.turn").alias("turn"), F.lit("tool").alias("role"), F.col("text").alias("content"), none.cast(CALLS).alias("tool_calls"), F.col("r.id").alias("tool_call_id"))
     return said.unionByName(called).unionByName(answered)
 
 
@@ -155,12 +176,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, text FROM conversations),
-asked AS (SELECT conv_id, turn + 1 AS turn, min(text) AS request FROM c WHERE role = 'user' GROUP BY ALL),
-calls AS (SELECT c.conv_id, c.turn, 'c' || c.conv_id || '-' || c.turn AS id, request FROM c LEFT JOIN asked USING (conv_id, turn) WHERE role = 'assistant'),
-r AS (SELECT conv_id, turn, 0::BIGINT AS part, 'message' AS kind, NULL::VARCHAR AS call_id, 'ok' AS status, '' AS errors, 0::INTEGER AS order_kind, json_object('content', coalesce(text, ''), 'role', role)::VARCHAR AS json FROM c WHERE role <> 'assistant'
-UNION ALL SELECT conv_id, turn, 1, 'call', id, CASE WHEN request IS NULL THEN 'invalid' ELSE 'ok' END, CASE WHEN request IS NULL THEN 'missing request' ELSE '' END, 1,
-  json_object('arguments', CASE WHEN request IS NULL THEN json_object('turn', turn) ELSE json_object('request', request, 'turn', turn) END, 'id', id, 'name', 'reply')::VARCHAR FROM calls
-UNION ALL SELECT conv_id, turn, 0, 'result', 'c' || conv_id || '-' || turn, 'ok', '', 2, json_object('content', coalesce(text, ''), 'role', 'tool', 'tool_call_id', 'c' || conv_id || '-' || turn)::VARCHAR FROM c WHERE role = 'assistant')
-SELECT conv_id, turn, part, kind, call_id, status, errors, turn AS order_turn, CASE WHEN kind = 'message' THEN 0 ELSE 1 END::BIGINT AS order_part, 0::BIGINT AS order_depth, order_kind, json FROM r
+WITH RECURSIVE c AS (SELECT conv_id AS k, turn AS t, coalesce(role, 'unknown') AS role, text FROM conversations),
+asked AS (SELECT k, t + 1 AS t, min(text) AS request FROM c WHERE role = 'user' GROUP BY ALL),
+calls AS (SELECT c.k, c.t, 'c' || c.k || '-' || c.t AS id, request, text, CASE WHEN k % 17 = 4 AND t = 3 THEN t - 2 WHEN t % 6 = 1 THEN t + 2 WHEN t >= 3 THEN t - 2 END AS dep FROM c LEFT JOIN asked USING (k, t) WHERE role = 'assistant'),
+u AS (SELECT a.*, b.t AS d, CASE WHEN a.k % 23 <> 8 THEN 1 END AS answered FROM calls a LEFT JOIN calls b ON b.k = a.k AND b.t = a.dep),
+w AS (SELECT k, t, answered, t AS ot, 1::BIGINT AS op, 0::BIGINT AS od FROM u WHERE d IS NULL
+  UNION ALL SELECT u.k, u.t, u.answered, CASE WHEN f THEN w.ot ELSE u.t END, CASE WHEN f THEN w.op ELSE 1 END, CASE WHEN f THEN w.od + 1 ELSE 0 END FROM (SELECT *, 0 AS z FROM u) u JOIN w ON w.k = u.k AND w.t = u.d, LATERAL (SELECT (w.ot, w.op, w.od + 1) > (u.t, 1, 0) AS f)),
+pl AS (SELECT u.*, coalesce(ot, u.t) AS ot, coalesce(op, 1) AS op, coalesce(od, 0) AS od, w.k IS NULL AS cyclic FROM u LEFT JOIN w ON w.k = u.k AND w.t = u.t),
+rs AS (SELECT *, t AS rt, id AS rid, 'ok' AS st FROM pl WHERE k % 23 <> 8 UNION ALL SELECT *, t + 1, id, 'duplicate' FROM pl WHERE k % 5 = 1 AND k % 23 <> 8 UNION ALL SELECT *, t, 'x-' || id, 'orphan' FROM pl WHERE k % 7 = 2),
+r AS (SELECT k, t, 0::BIGINT AS part, 'message' AS kind, NULL::VARCHAR AS call_id, 'ok' AS status, '' AS errors, t AS ot, 0::BIGINT AS op, 0::BIGINT AS od, 0::INTEGER AS order_kind, json_object('content', coalesce(text, ''), 'role', role)::VARCHAR AS json FROM c WHERE role <> 'assistant'
+UNION ALL SELECT k, t, 1, 'call', id,
+  CASE WHEN k % 11 = 3 THEN 'malformed' WHEN k % 13 = 5 THEN 'unknown_tool' WHEN k % 19 = 6 OR request IS NULL THEN 'invalid' WHEN cyclic THEN 'cyclic' WHEN answered IS NULL THEN 'unanswered' ELSE 'ok' END,
+  CASE WHEN k % 11 = 3 OR k % 13 = 5 THEN '' ELSE concat_ws('; ', CASE WHEN request IS NULL THEN 'missing request' END, CASE WHEN k % 19 = 6 THEN 'type turn' END) END, ot, op, od, 1,
+  json_object('arguments', CASE WHEN k % 11 = 3 THEN json_object('malformed', '{"turn":') WHEN k % 19 = 6 THEN CASE WHEN request IS NULL THEN json_object('turn', 'x') ELSE json_object('request', request, 'turn', 'x') END
+    WHEN request IS NULL THEN json_object('turn', t) ELSE json_object('request', request, 'turn', t) END, 'id', id, 'name', CASE WHEN k % 13 = 5 THEN 'other' ELSE 'reply' END)::VARCHAR FROM pl
+UNION ALL SELECT k, rt, 0, 'result', rid, st, '', CASE WHEN g THEN ot ELSE rt END, CASE WHEN g THEN op ELSE 0 END, CASE WHEN g THEN od ELSE 0 END, 2, json_object('content', coalesce(text, ''), 'role', 'tool', 'tool_call_id', rid)::VARCHAR FROM (SELECT *, st <> 'orphan' AND (ot, op, od) > (rt, 0, 0) AS g FROM rs))
+SELECT k AS conv_id, t AS turn, part, kind, call_id, status, errors, ot AS order_turn, op AS order_part, od AS order_depth, order_kind, json FROM r
 """
