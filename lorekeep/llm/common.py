@@ -96,6 +96,13 @@ def runs(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def parts(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs() of the texts in a column."""
+    for batch in batches:
+        for start, stop in runs(batch.column(column)):
+            yield batch.slice(start, stop - start)
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list]]:
     """Ids and texts of Arrow batches, cut into runs()."""
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, id_text, slices
+from .common import crc_bucket, id_text, parts, slices
 from .quality_rules import STOP_WORDS
 from .toxicity import labelled
 
@@ -176,9 +176,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, pair_bins: int = 8, rounds
 
 def train(docs: DataFrame, labels: DataFrame, learn, max_rows: int = 20_000) -> Gam:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+        for part in parts(batches):
+            x = [features(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     sample = labelled(docs, labels, "quality", learn, max_rows).select("doc_id", "text", "y")
     got = sample.mapInArrow(run, "doc_id long, y int, x array<double>").toArrow()

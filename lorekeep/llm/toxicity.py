@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, id_text, slices
+from .common import crc_bucket, id_text, parts, slices
 
 BITS = 18
 SIZE = 1 << BITS
@@ -140,19 +140,21 @@ def evidence(x: Sparse, labels: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: int) -> DataFrame:
-    """At most max_rows (doc_id, text, y) rows that the condition `learn` on doc_id admits, those with the least hash of the id."""
+    """At most max_rows (doc_id, text, y) rows, one an id, that the condition `learn` on doc_id admits, those with the least hash of the id. Repeated ids: the least label, the least text.
+
+    The ids are broadcast: max_rows bounds their number, and no text that isn't in the sample is shuffled."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn(F.col("doc_id")))
-    y = y.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "y").limit(max_rows)
-    return id_text(docs).join(y, "doc_id")
+    y = y.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(max_rows)
+    return id_text(docs).join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: int = 12_000, swaps: int = 2) -> tuple[np.ndarray, float]:
     """Fits on the hashed features of a bounded sample of labelled rows."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ys, own, gone, come = batch.column(2).to_pylist(), [], [], []
-            for text in batch.column(1).to_pylist():
+        for part in parts(batches):
+            ys, own, gone, come = part.column(2).to_pylist(), [], [], []
+            for text in part.column(1).to_pylist():
                 words = words_of(text)
                 f = hashed(words)
                 own.append(sorted(f))
