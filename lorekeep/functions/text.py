@@ -133,7 +133,7 @@ def parens(text: Column) -> Column:
 def plain_key(text: Column) -> tuple[Column, Column]:
     """A stricter key (ASCII letters and digits, apostrophes closed up, the rest to single spaces), and whether a letter or digit could not be folded."""
     closed = F.regexp_replace(folded(text), "['’‘ʼ]", "")
-    odd = F.regexp_like(closed, F.lit(r"[^\x00-\x7F&&[\p{L}\p{N}]]"))
+    odd = F.regexp_like(closed, F.lit(r"[[^\x00-\x7F]&&[\p{L}\p{N}]]"))
     return F.trim(F.regexp_replace(closed, "[^a-z0-9]+", " ")), odd
 
 

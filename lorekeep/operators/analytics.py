@@ -56,9 +56,11 @@ def index_check(index: DataFrame, disk: DataFrame, key: str) -> DataFrame:
 
 
 def shared_dir(df: DataFrame) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder. Where the session names none, a local session gets a temporary one and a cluster an error."""
     path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
         df.sparkSession.conf.set("spark.checkpoint.dir", path)
     return path

@@ -89,8 +89,8 @@ def deletions(df: DataFrame, text: str, most: str) -> DataFrame:
 
 def close(queries: DataFrame, k: DataFrame) -> DataFrame:
     q = queries.withColumn("budget", T.max_edits(F.char_length("q"))).where("budget > 0")
-    longest = q.agg(F.max(F.char_length("q"))).first()[0] or 0  # one number; longer keys cannot be within two edits
-    few = k.where(F.char_length("key") <= longest + 2).select("key").distinct().withColumn("most", F.lit(2))
+    bounds = F.broadcast(q.agg(F.min(F.char_length("q")).alias("least"), F.max(F.char_length("q")).alias("longest")))  # one row: keys of other lengths cannot be within two edits
+    few = k.join(bounds, F.char_length("key").between(F.col("least") - 2, F.col("longest") + 2)).select("key").distinct().withColumn("most", F.lit(2))
     pairs = deletions(q, "q", "budget").join(deletions(few, "key", "most"), "near").select("query", "q", "budget", "key").distinct()
     near = pairs.where(F.abs(F.char_length("key") - F.char_length("q")) <= F.col("budget")).withColumn("d", osa_distance("q", "key")).where("d <= budget")
     pages = near.join(k.select("doc_id", "title", "key").distinct(), "key").groupBy("query", "doc_id", "title").agg(F.min("d").alias("r1"))

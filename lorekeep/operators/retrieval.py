@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +18,58 @@ def quantized(df: DataFrame, id_col: str, out: str) -> DataFrame:
     return df.select(F.col(id_col).alias(out), V.quantize_int8(V.l2_normalize(F.col("embedding"))).alias("q"), *[c for c in df.columns if c not in (id_col, "embedding", "q", out)])
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = LANE_K, blocks: int = 32) -> DataFrame:
+#: Rows of a block of queries and of vectors in one task; queries of one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK, STEP = 4096, 1 << 16, 256
+
+
+def _nearest(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """query_id, pack_id, chunk_id, distance, dot: of one block of each side, the k nearest of every query and pack."""
+    out: list[tuple[np.ndarray, ...]] = []
+    packs, pack = np.unique(np.array(vectors["pack_id"].to_pylist(), object).astype(str), return_inverse=True) if vectors.num_rows else ([], None)
+    sizes = [np.array([len(x or []) for x in t["q"].to_pylist()]) for t in (vectors, queries)]
+    for width in np.intersect1d(*sizes):  # vectors of different widths don't compare
+        if not width:
+            continue
+        vi, qi = (np.flatnonzero(n == width) for n in sizes)
+        v, q = (np.array(t["q"].take(at).combine_chunks().flatten(), float).reshape(-1, width) for t, at in ((vectors, vi), (queries, qi)))
+        ids, vn = vectors["chunk_id"].to_numpy()[vi], (v * v).sum(axis=1)
+        groups = [np.flatnonzero(pack[vi] == g) for g in range(len(packs))]
+        for at in range(0, len(qi), STEP):
+            dots = q[at : at + STEP] @ v.T
+            for row, i in zip(dots, qi[at : at + STEP], strict=True):
+                qn = float((np.array(queries["q"][int(i)].as_py(), float) ** 2).sum())
+                distance = vn + qn - 2 * row
+                for g, own in enumerate(groups):
+                    if not len(own):
+                        continue
+                    d = distance[own]
+                    near = own[d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]]
+                    near = near[np.lexsort((ids[near], distance[near]))][:k]
+                    out.append((np.full(len(near), int(i)), np.full(len(near), g), ids[near], distance[near], row[near]))
+    i, g, chunk, distance, dot = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 5
+    names = queries["query_id"].to_numpy()[i] if len(i) else np.zeros(0, np.int64)
+    return pa.table([pa.array(names, pa.int64()), pa.array([packs[x] for x in g], pa.string()), pa.array(chunk, pa.int64()), pa.array(distance.astype(np.int64)), pa.array(dot.astype(np.int64))], ["query_id", "pack_id", "chunk_id", "distance", "dot"])
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = LANE_K) -> DataFrame:
     """query_id, pack_id, chunk_id, distance, dense_cosine, rank: the k nearest of every pack by squared L2 of int8 vectors, ties by id.
 
-    queries: query_id, q; vectors: chunk_id, pack_id, q. All rows are compared with the query set, block by block: vectors are dealt to `blocks`
-    by their id and each block gets the queries, so neither side is broadcast; the rank limit runs before the shuffle too."""
-    norm = lambda q: V.dot_int8(F.col(q), F.col(q))
-    left = vectors.select("chunk_id", "pack_id", F.col("q").alias("vq"), norm("q").alias("vn"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"))
-    right = queries.select("query_id", F.col("q").alias("qq"), norm("q").alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    same = left.join(right, "block").where(F.size("vq") == F.size("qq")).select("query_id", "pack_id", "chunk_id", "vn", "qn", V.dot_int8(F.col("vq"), F.col("qq")).alias("dot"))
-    pairs = same.select("query_id", "pack_id", "chunk_id", V.squared_l2(F.col("dot"), F.col("vn"), F.col("qn")).alias("distance"), V.cosine_int8(F.col("dot")).alias("dense_cosine"))
+    queries: query_id, q; vectors: chunk_id, pack_id (text), q. All rows are compared with the query set, block by block: as many blocks of each side as its size asks for, each pair of them one
+    matrix product in one task. Neither side is broadcast, and a pair of blocks gives k rows a query and pack, not one for each pair of rows."""
+    nv, nq = (max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+    left = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("pack_id").cast("string").alias("pack_id"), "q", F.pmod(F.xxhash64("chunk_id"), F.lit(nv)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    right = queries.select(F.col("query_id").cast("long").alias("query_id"), "q", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"))
+    pairs = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(lambda a, b: _nearest(a, b, k), "query_id long, pack_id string, chunk_id long, distance long, dot long")
     order = Window.partitionBy("query_id", "pack_id").orderBy("distance", "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("query_id", "pack_id", "chunk_id", "distance", V.cosine_int8(F.col("dot")).alias("dense_cosine"), "rank")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """pack_id, chunk_id, term, tf, len. chunks: pack_id, chunk_id, text."""
-    t = chunks.select("pack_id", "chunk_id", T.terms(F.col("text")).alias("ts")).select("pack_id", "chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    return t.groupBy("pack_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pack_id, chunk_id, term, tf, len for the terms of `wanted`. chunks: pack_id, chunk_id, text. A chunk is one row, so its terms are counted where it is, without a shuffle."""
+    t = chunks.select("pack_id", "chunk_id", T.terms(F.col("text")).alias("ts"))
+    p = t.select("pack_id", "chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    return p.groupBy("pack_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def pack_stats(chunks: DataFrame) -> DataFrame:
@@ -43,7 +79,7 @@ def pack_stats(chunks: DataFrame) -> DataFrame:
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = LANE_K, all_terms: bool = True) -> DataFrame:
     """query_id, pack_id, chunk_id, score, rank. queries: query_id, terms (array). All terms must occur unless all_terms is False. Ties by id."""
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n_terms"))
-    p = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
+    p = postings(chunks, wanted)
     df = p.groupBy("pack_id", "term").agg(F.count("*").alias("df"))
     idf = df.join(pack_stats(chunks), "pack_id").select("pack_id", "term", "avgdl", F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
     s = p.join(idf, ["pack_id", "term"]).withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))

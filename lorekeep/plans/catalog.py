@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.functions import vectors as V
 from lorekeep.operators import analytics, conversation, lookup, retrieval, tokens
-from lorekeep.plans import messages, packs, replies, selection, summaries
+from lorekeep.plans import functions, messages, packs, replies, selection, summaries
+from lorekeep.plans import sources as documents
 from lorekeep.session import table
 from lorekeep.sources import text as sources
 
@@ -84,10 +85,10 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every 50th vector is a query, the others are chunks in packs by label."""
+    """Every 100th vector is a query; all are chunks in packs by label."""
     e = table(spark, sf_dir, "embeddings")
-    q = retrieval.quantized(e.where("vec_id % 50 = 0").select("vec_id", "embedding"), "vec_id", "query_id")
-    v = retrieval.quantized(e.where("vec_id % 50 <> 0").select("vec_id", "embedding", F.col("label").cast("string").alias("pack_id")), "vec_id", "chunk_id")
+    q = retrieval.quantized(e.where("vec_id % 100 = 0").select("vec_id", "embedding"), "vec_id", "query_id")
+    v = retrieval.quantized(e.select("vec_id", "embedding", F.col("label").cast("string").alias("pack_id")), "vec_id", "chunk_id")
     return q, v
 
 
@@ -114,7 +115,7 @@ _DENSE = (
     _QUANT
     + """,
 p AS (SELECT q.vec_id AS query_id, c.label::VARCHAR AS pack_id, c.vec_id AS chunk_id, list_sum(list_transform(list_zip(c.v, q.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS distance,
-  greatest(-1.0, least(1.0, list_sum(list_transform(list_zip(c.v, q.v), lambda x: x[1] * x[2])) / 16129.0))::FLOAT::DOUBLE AS cos FROM z q, z c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0),
+  greatest(-1.0, least(1.0, list_sum(list_transform(list_zip(c.v, q.v), lambda x: x[1] * x[2])) / 16129.0))::FLOAT::DOUBLE AS cos FROM z q, z c WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, pack_id ORDER BY distance, chunk_id)::INTEGER AS rank FROM p),
 top AS (SELECT * FROM r WHERE rank <= 20)"""
 )
@@ -136,9 +137,9 @@ GATES_SQL = _GATES.replace("{src}", "top") + " SELECT query_id, pack_id, n, roun
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two distinct terms of five letters or more of each benchmark item."""
+    """The distinct terms of five letters or more of each benchmark item."""
     t = F.array_distinct(F.filter(T.terms(F.coalesce("text", F.lit(""))), lambda w: F.char_length(w) >= 5))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(t, 1, 2).alias("terms"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), t.alias("terms"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,11 +151,11 @@ def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_search(_asked(spark, sf_dir), _chunks(spark, sf_dir), k=5, all_terms=False)
+    return retrieval.bm25_search(_asked(spark, sf_dir), _chunks(spark, sf_dir), all_terms=False)
 
 
 _BM25 = f"""
-asked AS (SELECT item_id AS query_id, unnest(t[1:2]) AS term, len(t[1:2]) AS n_terms FROM (SELECT item_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(ts) AS w, unnest(range(len(ts))) AS i) WHERE length(w) >= 5 GROUP BY w)) AS t FROM (SELECT item_id, {_sql_terms('text')} AS ts FROM benchmark))),
+asked AS (SELECT item_id AS query_id, unnest(t) AS term, len(t) AS n_terms FROM (SELECT item_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(ts) AS w, unnest(range(len(ts))) AS i) WHERE length(w) >= 5 GROUP BY w)) AS t FROM (SELECT item_id, {_sql_terms('text')} AS ts FROM benchmark))),
 c AS (SELECT source AS pack_id, doc_id AS chunk_id, {_sql_terms('text')} AS ts FROM documents),
 st AS (SELECT pack_id, count(*) AS n, avg(len(ts)) AS avgdl FROM c WHERE ts IS NOT NULL GROUP BY pack_id),
 po AS (SELECT pack_id, chunk_id, len, term, count(*) AS tf FROM (SELECT pack_id, chunk_id, len(ts) AS len, unnest(ts) AS term FROM c) GROUP BY ALL),
@@ -164,15 +165,15 @@ sc AS (SELECT query_id, po.pack_id, chunk_id, round(sum(greatest(1e-6, ln((n - d
 """
 _RANKED = "SELECT query_id, pack_id, chunk_id, score, row_number() OVER (PARTITION BY query_id, pack_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sc"
 BM25_ALL_SQL = f"WITH {_BM25} lx AS ({_RANKED} WHERE n_hit = n_terms) SELECT * FROM lx WHERE rank <= 20"
-BM25_ANY_SQL = f"WITH {_BM25} lx AS ({_RANKED}) SELECT * FROM lx WHERE rank <= 5"
+BM25_ANY_SQL = f"WITH {_BM25} lx AS ({_RANKED}) SELECT * FROM lx WHERE rank <= 20"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid retrieval: chunks are documents in packs by source, with the vector of the same id if there is one; the query k has the terms of
-    benchmark item k and the vector 50 k."""
+    benchmark item k and the vector 100 k."""
     e = table(spark, sf_dir, "embeddings")
     asked = _asked(spark, sf_dir)
-    q = retrieval.quantized(e.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), "embedding"), "query_id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
+    q = retrieval.quantized(e.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("query_id"), "embedding"), "query_id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
     chunks = _chunks(spark, sf_dir)
     v = retrieval.quantized(e.select("vec_id", "embedding"), "vec_id", "chunk_id").join(chunks.select("chunk_id", "pack_id"), "chunk_id")
     dense = retrieval.dense_topk(q, v)
@@ -185,7 +186,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAGSHIP_SQL = (
     _QUANT
     + f""", {_BM25}
-qs AS (SELECT vec_id // 50 AS query_id, v FROM z WHERE vec_id % 50 = 0 AND vec_id // 50 IN (SELECT item_id FROM benchmark)),
+qs AS (SELECT vec_id // 100 AS query_id, v FROM z WHERE vec_id % 100 = 0 AND vec_id // 100 IN (SELECT item_id FROM benchmark)),
 vs AS (SELECT vec_id AS chunk_id, v, pack_id FROM z JOIN c ON vec_id = chunk_id),
 dl AS (SELECT query_id, pack_id, chunk_id, row_number() OVER (PARTITION BY query_id, pack_id ORDER BY list_sum(list_transform(list_zip(vs.v, qs.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), chunk_id) AS rank FROM qs, vs),
 lx AS ({_RANKED} WHERE n_hit = n_terms AND query_id IN (SELECT query_id FROM qs)),
@@ -212,7 +213,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact titles in other spelling, variants, names that many titles contain, and nonsense."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    p = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
     key = F.col("p_partkey").cast("string")
     asked = [F.upper(F.concat_ws("-", "p_name", key)), F.concat_ws("  ", "p_brand", "p_type", key), F.col("p_name"), F.concat(F.lit("zq"), F.repeat(key, 9))]
     return lookup.lookup(p.select(F.explode(F.array(*asked)).alias("query")), _parts(spark, sf_dir))
@@ -221,7 +222,7 @@ def lookup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOKUP_SQL = f"""
 WITH pk AS (SELECT p_partkey AS doc_id, p_name || ' ' || p_partkey AS title, 0 AS tier, {_sql_norm("p_name || ' ' || p_partkey")} AS key FROM part
   UNION ALL SELECT p_partkey, p_name || ' ' || p_partkey, 2, {_sql_norm("p_brand || ' ' || p_type || ' ' || p_partkey")} FROM part),
-q AS (SELECT DISTINCT query, {_sql_norm('query')} AS q FROM (SELECT unnest([upper(p_name || '-' || p_partkey), p_brand || '  ' || p_type || '  ' || p_partkey, p_name, 'zq' || repeat(p_partkey::VARCHAR, 9)]) AS query FROM part WHERE p_partkey % 50 = 0)),
+q AS (SELECT DISTINCT query, {_sql_norm('query')} AS q FROM (SELECT unnest([upper(p_name || '-' || p_partkey), p_brand || '  ' || p_type || '  ' || p_partkey, p_name, 'zq' || repeat(p_partkey::VARCHAR, 9)]) AS query FROM part WHERE p_partkey % 100 = 0)),
 ex AS (SELECT query, 'exact' AS how, doc_id, title, 0 AS r1, 0 AS r2 FROM q JOIN pk ON q = key),
 co AS (SELECT query, 'contained' AS how, doc_id, title, min(tier) AS r1, length(title) AS r2 FROM q JOIN pk ON contains(' ' || key || ' ', ' ' || q || ' ') WHERE query NOT IN (SELECT query FROM ex) GROUP BY ALL),
 al AS (SELECT *, count(*) OVER (PARTITION BY query) AS pages, row_number() OVER (PARTITION BY query ORDER BY r1, r2, {_sql_norm('title')}, doc_id) AS rn FROM (SELECT * FROM ex UNION ALL SELECT * FROM co)),
@@ -232,7 +233,7 @@ SELECT query, CASE WHEN pages IS NULL THEN 'not_found' WHEN pages = 1 THEN 'foun
 
 def lookup_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles with two neighbouring letters swapped."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 50 = 7")
+    p = table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
     name = F.concat(F.substring("p_name", 2, 1), F.substring("p_name", 1, 1), F.substring("p_name", 3, 99))
     return lookup.lookup(p.select(F.concat_ws(" ", name, F.col("p_partkey").cast("string")).alias("query")), _parts(spark, sf_dir))
 
@@ -461,6 +462,6 @@ ORACLE_SQL: dict[str, str] = {
     "cluster_entities": CLUSTERS_SQL,
 }
 
-for part in (summaries, packs, selection, messages, replies):
+for part in (summaries, packs, selection, messages, replies, functions, documents):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

@@ -47,8 +47,10 @@ def _hits(s, d):
 
 
 def _disjoint(s, d):
+    """Whether the two halves of an item's words share none."""
     w = F.split(F.coalesce("text", F.lit("")), " ")
-    return table(s, d, "benchmark").select("item_id", (~F.arrays_overlap(F.slice(w, 1, 5), F.slice(F.reverse(w), 1, 5))).alias("disjoint"))
+    half = F.floor(F.size(w) / 2).cast("int")
+    return table(s, d, "benchmark").select("item_id", (~F.arrays_overlap(F.slice(w, F.lit(1), half), F.slice(w, half + 1, F.size(w)))).alias("disjoint"))
 
 
 def _variants(s, d):
@@ -72,9 +74,9 @@ QUERIES = {
     "win_lead_in": lambda s, d: S.lead_ins(_turns(s, d), "conv_id", "turn", F.col("role") == "user", F.col("role") == "assistant").drop("text"),
     "win_running_condition": lambda s, d: S.running_condition(_turns(s, d), "conv_id", "turn", F.contains("text", F.lit("?"))).drop("text"),
     "sort_chats": lambda s, d: S.in_list_order(table(s, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal", (F.col("c_mktsegment") == "BUILDING").alias("pinned")), "c_nationkey", [F.desc("pinned"), F.desc("c_acctbal"), F.desc("c_custkey")]),
-    "set_cover_check": lambda s, d: S.cover_gaps(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "orders").select(F.col("o_custkey").alias("k")), "k"),
+    "set_cover_check": lambda s, d: S.cover_gaps(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "orders").select((F.col("o_custkey") * 2).alias("k")), "k"),
     "set_carry_forward": lambda s, d: S.carry_forward(table(s, d, "part").where("p_size <= 25"), table(s, d, "part").where("p_size > 25"), "p_name"),
-    "set_keep_sweep": lambda s, d: S.sweep(table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), table(s, d, "orders").select(F.col("o_custkey").alias("k")), "k"),
+    "set_keep_sweep": lambda s, d: S.sweep(table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), table(s, d, "orders").select((F.col("o_custkey") * 2).alias("k")), "k"),
     "set_variants": _variants,
     "set_expect_disjoint": _disjoint,
 }
@@ -106,9 +108,9 @@ SELECT i.conv_id, i.turn, i.role, CASE WHEN i.role = 'assistant' AND s.role = 'u
     "sort_chats": """SELECT c_nationkey, c_custkey, c_acctbal, c_mktsegment = 'BUILDING' AS pinned,
   row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment = 'BUILDING' DESC, c_acctbal DESC, c_custkey DESC)::INTEGER AS position FROM customer""",
     "set_cover_check": """SELECT coalesce(c_custkey, o_custkey) AS k, CASE WHEN o_custkey IS NULL THEN 'left' ELSE 'right' END AS only_in
-FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL""",
+FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey * 2 AS o_custkey FROM orders) ON c_custkey = o_custkey WHERE c_custkey IS NULL OR o_custkey IS NULL""",
     "set_carry_forward": "SELECT p_name, count(*) FILTER (p_size <= 25) AS carried, count(*) FILTER (p_size > 25) AS new, count(*) > 1 AS conflict FROM part GROUP BY 1",
-    "set_keep_sweep": "SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "set_keep_sweep": "SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders WHERE o_custkey IS NOT NULL)",
     "set_variants": "WITH n AS (SELECT p_partkey, [p_name, lower(p_name), p_type, lower(p_type)] AS l FROM part) SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: length(x) > 0 AND list_position(l, x) = i), '|') AS variants FROM n",
-    "set_expect_disjoint": "WITH w AS (SELECT item_id, str_split(coalesce(text, ''), ' ') AS w FROM benchmark) SELECT item_id, NOT list_has_any(w[1:5], list_reverse(w)[1:5]) AS disjoint FROM w",
+    "set_expect_disjoint": "WITH w AS (SELECT item_id, str_split(coalesce(text, ''), ' ') AS w FROM benchmark) SELECT item_id, NOT list_has_any(w[1:len(w) // 2], w[len(w) // 2 + 1:]) AS disjoint FROM w",
 }
