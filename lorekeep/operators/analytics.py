@@ -89,3 +89,55 @@ def clusters(members: DataFrame, entry: str, key: str, rounds: int = 50) -> Data
     else:
         raise RuntimeError("clusters did not settle")
     return labels.select(F.col("e").alias("entry"), F.col("c").alias("cluster"))
+
+
+def phrase_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
+    """entry, other: entries whose title holds another entry's name as whole words. names: entry, name; titles: entry, title; both normalised. A name meets only titles with its rarest word."""
+    from lorekeep.functions import text as T
+
+    words = titles.select(F.col("entry").alias("entry"), "title", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).where("word <> ''")
+    count = words.groupBy("word").agg(F.count("*").alias("n"))
+    asked = names.where("name <> ''").select(F.col("entry").alias("other"), "name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    rare = asked.join(count, "word").groupBy("other", "name").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    hits = rare.join(words, "word").where((F.col("entry") != F.col("other")) & T.contains_words(F.col("title"), F.col("name")))
+    return hits.select("entry", "other").distinct()
+
+
+def cluster_splits(members: DataFrame, entries: DataFrame, pairs: DataFrame, seed: str, held_out: DataFrame) -> DataFrame:
+    """entry, cluster, split, held_out: clusters by shared keys and by titles that hold a name; a whole cluster goes to one split, and is held out if any of its entries is.
+
+    members: entry, key; entries: entry; pairs: entry, other; held_out: entry."""
+    from lorekeep.functions import text as T
+
+    own = entries.select("entry", F.concat(F.lit("e"), F.col("entry").cast("string")).alias("key"))
+    link = pairs.select(F.col("entry"), F.concat(F.lit("e"), F.col("other").cast("string")).alias("key"))
+    every = members.select("entry", F.concat(F.lit("k"), F.col("key")).alias("key")).unionByName(own).unionByName(link)
+    c = clusters(every, "entry", "key")
+    out = c.join(held_out.select("entry").distinct().withColumn("_h", F.lit(True)), "entry", "left")
+    g = out.groupBy("cluster").agg(F.coalesce(F.bool_or("_h"), F.lit(False)).alias("held_out"))
+    return c.join(g, "cluster").select("entry", "cluster", T.hash_split(seed, F.col("cluster").cast("string")).alias("split"), "held_out")
+
+
+def cap_violations(new: DataFrame, existing: DataFrame, user: str, key: str, source: str, cap: int, counted: list[str]) -> DataFrame:
+    """Rows of new that a cap refuses: of counted sources, for a key the user has not yet, while the user holds `cap` rows of counted sources or more."""
+    held = existing.where(F.col(source).isin(counted)).groupBy(user).agg(F.count("*").alias("_n"))
+    fresh = new.where(F.col(source).isin(counted)).join(existing.select(user, key).distinct(), [user, key], "left_anti")
+    return fresh.join(held.where(F.col("_n") >= cap).select(user), user, "left_semi").select(user, key)
+
+
+UNCLEAR = "UNCLEAR"
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """item, outcome, clauses: both arms by one measure. pairs: item, target, control (values, null: no transcript), target_expect, control_expect (arrays that share nothing).
+
+    FAIL over UNDECIDED over PASS; a missing or unclear arm is undecided, and never hides the other arm's failure. Overlapping expectations are `invalid`."""
+
+    def arm(name: str):
+        v, want = F.col(name), F.col(f"{name}_expect")
+        return F.when(v.isNull(), "missing").when(v == UNCLEAR, "unclear").when(F.array_contains(want, v), "as-expected").otherwise("wrong")
+
+    p = pairs.withColumn("_t", arm("target")).withColumn("_c", arm("control"))
+    has = lambda *x: F.col("_t").isin(*x) | F.col("_c").isin(*x)
+    outcome = F.when(F.arrays_overlap("target_expect", "control_expect"), "invalid").when(has("wrong"), "FAIL").when(has("missing", "unclear"), "UNDECIDED").otherwise("PASS")
+    return p.select("item", outcome.alias("outcome"), F.concat_ws("|", F.concat(F.lit("target-"), "_t"), F.concat(F.lit("control-"), "_c")).alias("clauses"))

@@ -58,3 +58,22 @@ def sessions(messages: DataFrame, key) -> DataFrame:
     m = messages.withColumn("_key", key)
     new = (~F.col("_key").eqNullSafe(F.lag("_key").over(by_turn())) | (F.row_number().over(by_turn()) == 1)).cast("long")
     return m.withColumn("_new", new).withColumn("session", F.sum("_new").over(by_turn())).groupBy("conv_id", "session").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"))
+
+
+def export_markdown(messages: DataFrame) -> DataFrame:
+    """conv_id, document: date headings where the date changes, bold role labels, texts, and the sources of a message as numbered footnotes at the end. messages: conv_id, turn, date, role, text, source (null: none)."""
+    w = by_turn()
+    cited = F.count("source").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    m = messages.withColumn("_n", cited).withColumn("_new", ~F.col("date").eqNullSafe(F.lag("date").over(w)) | (F.row_number().over(w) == 1))
+    label = F.create_map(*[F.lit(x) for x in ("user", "You", "assistant", "Assistant", "system", "System")])
+    body = F.concat(F.when(F.col("_new"), F.concat(F.lit("## "), "date", F.lit("\n\n"))).otherwise(""), F.lit("**"), F.coalesce(F.try_element_at(label, F.col("role")), F.lit("Other")), F.lit("**: "), F.coalesce("text", F.lit("")), F.when(F.col("source").isNotNull(), F.concat(F.lit("[^"), F.col("_n").cast("string"), F.lit("]"))).otherwise(""))
+    note = F.when(F.col("source").isNotNull(), F.concat(F.lit("[^"), F.col("_n").cast("string"), F.lit("]: "), "source"))
+    rows = m.select("conv_id", F.struct("turn", body.alias("body"), note.alias("note")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    notes = F.array_compact(F.transform("x", lambda x: x["note"]))
+    return rows.select("conv_id", F.concat_ws("\n\n", F.array_join(F.transform("x", lambda x: x["body"]), "\n\n"), F.nullif(F.array_join(notes, "\n"), F.lit(""))).alias("document"))
+
+
+def export_json(messages: DataFrame) -> DataFrame:
+    """conv_id, document: the messages of a conversation as one JSON array of role and text."""
+    rows = messages.select("conv_id", F.struct("turn", F.struct("role", F.coalesce("text", F.lit("")).alias("text")).alias("m")).alias("x"))
+    return rows.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"])).alias("document"))

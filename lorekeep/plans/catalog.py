@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.functions import vectors as V
 from lorekeep.operators import analytics, conversation, lookup, retrieval, tokens
-from lorekeep.plans import functions, messages, packs, replies, selection, summaries
+from lorekeep.plans import entities, functions, messages, packs, replies, selection, summaries
 from lorekeep.plans import sources as documents
 from lorekeep.session import table
 from lorekeep.sources import text as sources
@@ -462,6 +462,6 @@ ORACLE_SQL: dict[str, str] = {
     "cluster_entities": CLUSTERS_SQL,
 }
 
-for part in (summaries, packs, selection, messages, replies, functions, documents):
+for part in (summaries, packs, selection, messages, replies, functions, documents, entities):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
