@@ -82,7 +82,11 @@ def crc_bucket(id_col: Column, mod: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(mod)
 
 
-def runs(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+#: Characters that a task looks at together: hashing them takes some 50 bytes for each.
+RUN = 1 << 20
+
+
+def runs(texts: pa.Array, limit: int = RUN) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of rows with about `limit` characters, which bounds what a task holds."""
     if not pa.types.is_string(texts.type) or not len(texts):
         yield 0, len(texts)
@@ -103,7 +107,7 @@ def parts(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.Rec
             yield batch.slice(start, stop - start)
 
 
-def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list]]:
+def slices(batches: Iterable[pa.RecordBatch], limit: int = RUN) -> Iterator[tuple[list, list]]:
     """Ids and texts of Arrow batches, cut into runs()."""
     for batch in batches:
         for start, stop in runs(batch.column(1), limit):

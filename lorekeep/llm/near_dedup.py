@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, mix64, slices, whole_keys, word_hashes
+from .common import RUN, cut, id_text, mix64, slices, whole_keys, word_hashes
 from .components import components, roots_of
 
 TREES, DEPTH, START = 20, 6, 3
@@ -50,7 +50,18 @@ _C = np.uint64(0x9FB21C651E98DF25)
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
-    """Sorted distinct digests of each text's shingles."""
+    """Sorted distinct digests of each text's shingles; about RUN characters are hashed together."""
+    out: list[np.ndarray] = []
+    start = held = 0
+    for i, text in enumerate(texts, 1):
+        held += len(text or "")
+        if held >= RUN or i == len(texts):
+            out += _shingle_sets(texts[start:i], size)
+            start, held = i, 0
+    return out
+
+
+def _shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     h, counts = word_hashes(texts, lower=True)
     out, at = [], 0
     if len(h):
