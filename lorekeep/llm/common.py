@@ -156,8 +156,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in order, and the number of words of each text.
+def word_table(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, hashes, counts): all words of the texts in order as places in their joined bytes, with 64-bit hashes, and the number of words of each text.
 
     Words are the maximal runs of bytes other than the six white-space characters; null has none. With lower, A-Z are
     folded. A word's hash depends on its bytes and its length only."""
@@ -172,7 +172,13 @@ def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarra
     bounds = np.cumsum([len(r) + 1 for r in raw])
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, bounds, "left"))))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return data, starts, ends, np.zeros(0, np.uint64), counts
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), dtype=np.uint64)))
     h = (total[ends] - total[starts]) * ipowers(len(data))[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), counts
+    return data, starts, ends, mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48))), counts
+
+
+def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of word_table()."""
+    _, _, _, h, counts = word_table(texts, lower)
+    return h, counts

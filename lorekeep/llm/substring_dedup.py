@@ -1,16 +1,20 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-Every word position starts a suffix. Suffixes are dealt to groups by variable-length prefixes: by the first word where few suffixes
-share it, else by the first 2, 3, 5, 8 or 13 words, whichever is the first with at most `budget` suffixes; small prefixes are packed
-together, so a group fits in memory. A group's subtree is built by sorting: only nodes at least `window` words deep matter, and below
-such a node lie exactly the positions where one word sequence of that length starts. The node keeps the smallest id of its
-documents; positions in other documents are repeats. Neighbouring repeats join to maximal repeated spans.
+Which suffixes. A window of `window` words is told by its anchor, the word in it where the hash of the next ANCHOR words is least: equal windows have
+it at the same place. So the suffixes that start at anchors, about one word in six, are enough, if each carries the words to its left that
+windows around its anchor reach. That ships three words a window, not a window's length, and real words, not digests.
 
-A node that by itself exceeds the budget (a passage in a large share of all documents) is not gathered: its smallest id is aggregated
-before and after a shuffle and joined back to the positions.
+Groups. Suffixes are dealt by variable-length prefixes: by the first word where at most `budget` suffixes share it (by bins of its hash), else by the first two, then by ANCHOR
+words; each level counts only what the ones before left open. Small bins share a group, so a group fits in memory.
 
-In a group, a path is compared by a 56-bit digest; as differing paths also have to meet in the same group, the chance
-of a wrong match is rows x budget / 2^57 over the whole input. The prefix table has a size set by the input's, not by its content.
+Subtrees. A group's suffixes are sorted word by word, on exact words; the lengths of the common prefixes of neighbours make the tree: a node of depth d is a maximal run of suffixes with
+at least d common words. The words to the left, read backwards, make a second tree. Suffixes that meet in a node of the one at depth d and of the other at depth
+window - d hold the same window: these are the deep internal nodes, each keeps the smallest id of its documents, and windows in
+other documents are repeats. Neighbouring repeats join to maximal repeated spans.
+
+A prefix that is too large at full length (a passage in a large share of all documents) is not gathered: its windows are compared by 64-bit digests,
+the smallest id of each is aggregated before and after a shuffle and joined back (odds of a wrong match: windows there squared / 2^65). The prefix table has a size set by
+the input's, not by its content: up to some 10^12 words groups keep to the budget; beyond, `bins` and `budget` must grow with memory.
 
 Null texts have no words; texts shorter than the window lose none. Rows with a null id are neither compared nor cut. Repeated
 rows (same id, same text) are no repeats of each other, as neither id is smaller."""
@@ -21,66 +25,91 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, mix64, slices, word_hashes
+from .common import cut, id_text, mix64, slices, word_table
 
-LEVELS = (1, 2, 3, 5, 8, 13)
+ANCHOR = 3
+#: Characters hashed together, and bytes of suffixes that a task holds before it writes them out by group.
+SLICE, FLUSH = 1 << 20, 48 << 20
 _C = np.uint64(0xD6E8FEB86659FD93)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def suffixes(ids: list, texts: list, window: int, levels: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Document, position, digest of the prefix at each level, and of the window, of every suffix of at least `window` words."""
-    h, counts = word_hashes([t if k is not None else None for k, t in zip(ids, texts, strict=True)])
-    n = max(len(h) - window + 1, 0)
-    starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
-    doc = np.repeat(np.arange(len(ids)), counts)
-    pos = np.arange(len(h)) - starts[doc] if len(h) else np.zeros(0, np.int64)
-    inside = np.flatnonzero(pos + window <= counts[doc]) if len(h) else np.zeros(0, np.int64)
-    p, out = np.zeros(n, np.uint64), []
-    for k in range(window):
+class Suffixes(NamedTuple):
+    """Anchored suffixes of some documents: document, word position of the anchor, words to the left, windows (one more than words that follow the first), digests of the prefix at each level, and the first
+    and last word of the context in `data`."""
+
+    doc: np.ndarray
+    pos: np.ndarray
+    left: np.ndarray
+    windows: np.ndarray
+    digests: list[np.ndarray]
+    first: np.ndarray
+    last: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    data: np.ndarray
+    node: np.ndarray  # digests of all windows, by the place of their first word
+
+
+def rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """Digest of each run of `size` words."""
+    n = max(len(h) - size + 1, 0)
+    p = np.zeros(n, np.uint64)
+    for k in range(size):
         p = p * _C + h[k : k + n]
-        if k + 1 in levels:
-            out.append(mix64(p)[inside])
-    keys = np.array([-1 if k is None else k for k in ids], np.int64)
-    return keys[doc[inside]], pos[inside].astype(np.int64), out, mix64(p[inside] ^ _SALT)
-
-
-def plan_groups(counts: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
-    """For each (level, bin) the group of its suffixes: -1 to go deeper, -2 too large at full depth. Small bins share groups."""
-    total = max(int(counts[0].sum()), 1)
-    groups = np.full(counts.shape, -1, np.int32)
-    size, last = 0.0, 0
-    reach = 1.0  # share of the suffixes that come to this level
-    for level in range(len(counts)):
-        fits = counts[level] <= budget
-        if level == len(counts) - 1:
-            groups[level][~fits] = -2
-        expected = np.where(fits, counts[level] * reach, 0)
-        for b in np.flatnonzero(expected):
-            if size + expected[b] > budget:
-                size, last = 0.0, last + 1
-            size += expected[b]
-            groups[level][b] = last
-        groups[level][fits & (expected == 0)] = last
-        reach = min(reach, float(counts[level][~fits].sum()) / total)
-        if not reach:
-            break
-    return groups, last + 1
+    return mix64(p)
+
+
+def suffixes(ids: list, texts: list, window: int, with_nodes: bool = False) -> Suffixes:
+    data, starts, ends, h, counts = word_table([t if k is not None else None for k, t in zip(ids, texts, strict=True)])
+    k = min(ANCHOR, window)
+    doc_of = np.repeat(np.arange(len(ids)), counts)
+    base = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    keys = np.array([-1 if i is None else i for i in ids], np.int64)
+    n = max(len(h) - window + 1, 0)
+    if n:
+        grams = mix64(rolling(h, k) ^ _SALT)
+        at = np.lib.stride_tricks.sliding_window_view(grams, window - k + 1).argmin(axis=1)[:n] + np.arange(n)
+        inside = np.arange(n) + window <= (base + counts)[doc_of[:n]]
+        p = np.flatnonzero(inside)
+        head = np.flatnonzero(np.concatenate(([True], at[p][1:] != at[p][:-1]))) if len(p) else np.zeros(0, int)  # windows of one anchor follow each other
+        first, anchor = p[head], at[p][head]
+        windows = np.diff(np.append(head, len(p)))
+    else:
+        first = anchor = windows = np.zeros(0, np.int64)
+    digests = [rolling(h, size)[anchor] if len(anchor) else np.zeros(0, np.uint64) for size in range(1, k + 1)]
+    d = doc_of[anchor] if len(anchor) else np.zeros(0, np.int64)
+    return Suffixes(keys[d], anchor - base[d] if len(d) else anchor, anchor - first, windows, digests, first, first + windows + window - 2, starts, ends, data, rolling(h, window) if with_nodes else np.zeros(0, np.uint64))
+
+
+def pack_groups(counts: np.ndarray, budget: int, last: int) -> np.ndarray:
+    """The group of each bin, numbered from `last`, bins in order filling groups up to the budget; -1 for a bin that alone exceeds it."""
+    out = np.full(len(counts), -1, np.int32)
+    size = budget
+    last -= 1
+    for b in np.flatnonzero((counts > 0) & (counts <= budget)):
+        if size + counts[b] > budget:
+            size, last = 0, last + 1
+        size += counts[b]
+        out[b] = last
+    return out
 
 
 def assign(digests: list[np.ndarray], groups: np.ndarray, bins: int) -> np.ndarray:
+    """The group of each suffix: of the first level whose bin has one, -1 where none has."""
     out = np.full(len(digests[0]), -1, np.int32)
-    for level, d in enumerate(digests):
+    for level in range(len(groups)):
         open_ = np.flatnonzero(out == -1)
         if not len(open_):
             break
-        out[open_] = groups[level][d[open_] & np.uint64(bins - 1)]
+        out[open_] = groups[level][digests[level][open_] & np.uint64(bins - 1)]
     return out
 
 
@@ -105,17 +134,6 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return doc, run
 
 
-def repeats_of(node: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in documents other than the first one of their node, sorted."""
-    order = np.argsort(node, kind="stable")
-    sorted_ = node[order]
-    starts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-    least = np.minimum.reduceat(doc[order], starts)
-    later = order[doc[order] > np.repeat(least, np.diff(np.append(starts, len(order))))]
-    later = later[np.lexsort((pos[later], doc[later]))]
-    return doc[later], pos[later]
-
-
 def by_bucket(doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     b = (mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
@@ -131,59 +149,155 @@ def input_bytes(df: DataFrame) -> int:
     return min(size, 1 << 50)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, budget: int = 1 << 20, bins: int | None = None, with_text: bool = False) -> DataFrame:
+def contexts(s: Suffixes, order: np.ndarray) -> bytes:
+    """The words of the suffixes' contexts, one context after the other, as they stand in the texts (white space between words is any)."""
+    a, b = s.starts[s.first[order]], s.ends[s.last[order]] + 1  # each text is followed by white space
+    sizes = b - a
+    at = np.repeat(a - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
+    return s.data[at].tobytes()
+
+
+def lcp_sorted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in lexicographic order, and for each the number of leading words it has in common with the row before."""
+    order = np.lexsort(words.T[::-1])
+    w = words[order]
+    same = w[1:] == w[:-1]
+    common = np.where(same.all(axis=1), words.shape[1], same.argmin(axis=1)) if len(w) > 1 else np.zeros(0, np.int64)
+    return order, np.concatenate(([0], common))[: len(w)]
+
+
+class Tree:
+    """The suffix tree of the rows of a matrix of words (-1 beyond a row's end), cut at the matrix' width: sorted rows and common prefixes."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.order, self.common = lcp_sorted(words)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each row the number of its node at a depth: a maximal run of sorted rows with at least `depth` common words."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.common < depth) if depth else 0
+        return out
+
+
+def deep_repeats(doc: np.ndarray, pos: np.ndarray, left: np.ndarray, windows: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, position) of windows whose words also start in a document with a smaller id, among the suffixes of whole prefixes.
+
+    words: numbers of the words of all contexts, one after the other; equal words have equal numbers."""
+    sizes = windows + window - 1
+    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    reach = window - min(ANCHOR, window)  # at most that many words stand to the left
+
+    def matrix(width: int, at: np.ndarray, step: int, room: np.ndarray) -> np.ndarray:
+        cols = np.arange(width)
+        idx = at[:, None] + step * cols[None, :]
+        return np.where(cols[None, :] < room[:, None], words[np.clip(idx, 0, len(words) - 1)], -1).astype(np.int32)
+
+    right = Tree(matrix(window, base + left, 1, sizes - left))
+    back = Tree(matrix(reach, base + left - 1, -1, left)) if reach else None
+    out_doc, out_pos = [], []
+    for a in range(reach + 1):
+        # windows that start a words before the anchor: the suffix tree at depth window - a, the backward tree at depth a
+        has = np.flatnonzero((left >= a) & (left - a < windows))
+        if len(has) < 2:
+            continue
+        node = right.nodes(window - a)[has]
+        if a:
+            node = node * (len(doc) + 1) + back.nodes(a)[has]
+        order = np.argsort(node, kind="stable")
+        run = np.flatnonzero(np.concatenate(([True], node[order][1:] != node[order][:-1])))
+        size = np.diff(np.append(run, len(order)))
+        own = doc[has][order]
+        later = own > np.repeat(np.minimum.reduceat(own, run), size)
+        at = has[order][later]
+        out_doc.append(doc[at])
+        out_pos.append(pos[at] - a)
+    d, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_doc, out_pos))
+    order = np.lexsort((p, d))
+    return d[order], p[order]
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, budget: int = 1 << 17, bins: int | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with with_text, the kept text and the removed spans of words.
 
-    A word is removed if a window over it also starts in a document with a smaller id."""
+    A word is removed if a window over it also starts in a document with a smaller id. budget: suffixes of a group."""
     base = id_text(docs, id_col, text_col)
-    levels = (*[x for x in LEVELS if x < window], window)
+    levels = min(ANCHOR, window)
     size = input_bytes(base)
-    # about 4 bins to a group; the table is at most 2^20 bins a level
-    bins = bins or 1 << int(np.clip(math.ceil(math.log2(max(size, 1) / 4 / budget * 4)), 12, 20))
+    # about 4 bins to a group of a level; the table is at most 2^20 bins a level
+    bins = bins or 1 << int(np.clip(math.ceil(math.log2(max(size, 1) / 36 / budget * 4)), 12, 20))
     buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (8 << 20) + 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(levels), bins), np.int64)
-        for ids, texts in slices(batches):
-            for level, d in enumerate(suffixes(ids, texts, window, levels)[2]):
-                total[level] += np.bincount((d & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
-        level, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[level, b])], ["level", "bin", "n"])
-
-    counted = base.mapInArrow(count, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).toPandas()  # levels x bins rows at most
-    counts = np.zeros((len(levels), bins), np.int64)
-    counts[counted.level, counted.bin] = counted.n
-    groups, _ = plan_groups(counts, budget)
-    shared = base.sparkSession.sparkContext.broadcast(groups)
+    groups = np.full((0, bins), -1, np.int32)
+    context = base.sparkSession.sparkContext
+    for level in range(levels):
+        above = context.broadcast(groups)
+
+        def count(batches: Iterator[pa.RecordBatch], level: int = level, above=above) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(bins, np.int64)
+            for ids, texts in slices(batches, SLICE):
+                s = suffixes(ids, texts, window)
+                if len(s.doc):
+                    d = s.digests[level][assign(s.digests, above.value, bins) == -1]
+                    total += np.bincount((d & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+            b = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(total[b])], ["bin", "n"])
+
+        counted = base.mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # `bins` rows at most
+        counts = np.zeros(bins, np.int64)
+        counts[counted.bin] = counted.n
+        groups = np.vstack([groups, pack_groups(counts, budget, int(groups.max(initial=-1)) + 1)])
+        if not (counts > budget).any():
+            break
+    hot = bool((counts > budget).any())
+    shared = context.broadcast(groups)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
-            doc, pos, digests, node = suffixes(ids, texts, window, levels)
-            g = assign(digests, shared.value, bins) if len(doc) else np.zeros(0, np.int32)
-            del digests
-            order = np.lexsort((pos, doc, g))
-            order = order[g[order] >= 0]
-            doc, pos, node, g = doc[order], pos[order], node[order], g[order]
-            cuts = np.flatnonzero(np.diff(g)) + 1
-            rows = [(int(g[a]), node[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), pack(doc[a:b], pos[a:b])) for a, b in zip([0, *cuts], [*cuts, len(g)], strict=True) if b > a]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["grp", "nodes", "at"])
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            group, doc, pos, left, windows, size = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
+            text = b"".join(h[6] for h in held)
+            at = np.concatenate(([0], np.cumsum(size)))
+            held.clear()
+            order = np.lexsort((pos, doc, group))
+            rows = []
+            for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                words = b"".join([text[at[i] : at[i + 1]] for i in part])
+                spans = np.stack([left[part], windows[part]]).astype(np.uint8 if window < 200 else np.uint32)
+                rows.append((int(group[part[0]]), pack(doc[part], pos[part]), spans.tobytes(), pa.compress(words, "zstd", asbytes=True), len(words)))
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["grp", "at", "spans", "words", "size"])
+
+        for ids, texts in slices(batches, SLICE):
+            s = suffixes(ids, texts, window)
+            order = np.flatnonzero(assign(s.digests, shared.value, bins) >= 0) if len(s.doc) else np.zeros(0, int)
+            if not len(order):
+                continue
+            group = assign(s.digests, shared.value, bins)[order]
+            size = s.ends[s.last[order]] + 1 - s.starts[s.first[order]]
+            held.append((group, s.doc[order], s.pos[order], s.left[order], s.windows[order], size, contexts(s, order)))
+            if sum(len(h[6]) for h in held) >= FLUSH:
+                yield flush()
+        if held:
+            yield flush()
 
     def subtree(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.uint8).reshape(-1, 7)
-        node = np.zeros((len(raw), 8), np.uint8)
-        node[:, :7] = raw
-        node = node.view("<u8").reshape(-1)
-        parts = [unpack(x) for x in table.column("at").to_pylist()]
-        doc, pos = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        found = list(by_bucket(*repeats_of(node, doc, pos), buckets))
+        at = [unpack(x) for x in table.column("at").to_pylist()]
+        doc, pos = (np.concatenate([p[i] for p in at]) for i in (0, 1))
+        kind = np.uint8 if window < 200 else np.uint32
+        spans = np.concatenate([np.frombuffer(x, kind).reshape(2, -1) for x in table.column("spans").to_pylist()], axis=1).astype(np.int64)
+        raw = zip(table.column("words").to_pylist(), table.column("size").to_pylist(), strict=True)
+        words = [w for x, n in raw for w in pa.decompress(x, n, "zstd", asbytes=True).split()]
+        codes = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int32)
+        del words
+        found = list(by_bucket(*deep_repeats(doc, pos, spans[0], spans[1], codes, window), buckets))
         return pa.table([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "at"])
 
-    repeats = base.mapInArrow(deal, "grp int, nodes binary, at binary").groupBy("grp").applyInArrow(subtree, "bucket int, at binary")
-    if (groups[-1] == -2).any():
-        repeats = repeats.union(hot_repeats(base, shared, window, levels, bins, buckets))
+    repeats = base.mapInArrow(deal, "grp int, at binary, spans binary, words binary, size long").groupBy("grp").applyInArrow(subtree, "bucket int, at binary")
+    if hot:
+        repeats = repeats.union(hot_repeats(base, shared, window, bins, buckets))
 
-    keys = base.withColumn("bucket", bucket_of("doc_id", buckets))
+    own = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(buckets)).cast("int")).otherwise(bucket_of("doc_id", buckets))
+    keys = base.withColumn("bucket", own)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept", "removed_spans"] * with_text
 
     def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -226,18 +340,21 @@ def bucket_of(id_col: str, buckets: int):
     return bucket(F.col(id_col))
 
 
-def hot_repeats(base: DataFrame, shared, window: int, levels: tuple[int, ...], bins: int, buckets: int) -> DataFrame:
-    """Repeats below nodes that are too large to gather: (node, positions) rows by task, the least id by node, joined back."""
+def hot_repeats(base: DataFrame, shared, window: int, bins: int, buckets: int) -> DataFrame:
+    """Repeats among windows whose anchor's prefix is too large to gather: (node, positions) rows by task, the least id by node, joined back."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
-            doc, pos, digests, node = suffixes(ids, texts, window, levels)
-            at = np.flatnonzero(assign(digests, shared.value, bins) == -2) if len(doc) else np.zeros(0, np.int64)
-            order = at[np.lexsort((pos[at], doc[at], node[at]))]
+        for ids, texts in slices(batches, SLICE):
+            s = suffixes(ids, texts, window, with_nodes=True)
+            open_ = np.flatnonzero(assign(s.digests, shared.value, bins) == -1) if len(s.doc) else np.zeros(0, int)
+            n = s.windows[open_]
+            step = np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
+            doc, pos, node = np.repeat(s.doc[open_], n), np.repeat(s.pos[open_] - s.left[open_], n) + step, s.node[np.repeat(s.first[open_], n) + step]
+            order = np.lexsort((pos, doc, node))
             cuts = np.flatnonzero(np.diff(node[order])) + 1
             spans = [order[a:b] for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True) if b > a]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(node[s[0]].view(np.int64)) for s in spans], pa.int64()), pa.array([int(doc[s[0]]) for s in spans], pa.int64()), pa.array([pack(doc[s], pos[s]) for s in spans], pa.binary())],
+                [pa.array([int(node[x[0]].view(np.int64)) for x in spans], pa.int64()), pa.array([int(doc[x[0]]) for x in spans], pa.int64()), pa.array([pack(doc[x], pos[x]) for x in spans], pa.binary())],
                 ["node", "least", "at"],
             )
 
