@@ -51,7 +51,7 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("budget", [1 << 20, 8])
+@pytest.mark.parametrize("budget", [1 << 17, 4])
 def test_substring_dedup(rows, docs, budget):
     first = {}
     for i, t in rows:
