@@ -66,6 +66,13 @@ def shared_dir(df: DataFrame) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what several later steps read is made once."""
+    path = f"{shared_dir(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clusters(members: DataFrame, entry: str, key: str, rounds: int = 50) -> DataFrame:
     """entry, cluster (its smallest entry): entries that share a key, directly or through others.
 

@@ -6,13 +6,13 @@ neighbourhoods. An ambiguous match is offered, never picked; a lone page scoped
 
 from __future__ import annotations
 
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lorekeep.functions import text as T
+from lorekeep.operators.analytics import written
 
 OFFERED = 5
 
@@ -26,13 +26,17 @@ def keys(titles: DataFrame) -> DataFrame:
 
 
 def outcome(hits: DataFrame, how: str) -> DataFrame:
-    """One row per query from hits (query, doc_id, title, rank columns, offer): found for one page that need not be offered, else did_you_mean."""
-    w = Window.partitionBy("query")
-    one = hits.withColumn("pages", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy("r1", "r2", "r3", "doc_id")))
-    # the first pages of distinct titles; at most OFFERED are gathered
-    one = one.withColumn("again", F.row_number().over(Window.partitionBy("query", "title").orderBy("rn"))).where("again = 1")
-    one = one.withColumn("place", F.row_number().over(w.orderBy("rn"))).where(F.col("place") <= OFFERED)
-    g = one.groupBy("query").agg(F.max("pages").alias("pages"), F.max("offer").alias("offer"), F.min_by("doc_id", "rn").alias("doc_id"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "title"))), lambda x: x["title"]).alias("titles"))
+    """One row per query from hits (query, doc_id, title, rank columns, offer): found for one page that need not be offered, else did_you_mean.
+
+    Pages are counted, and the first of each title found, before a shuffle as well as after; the first titles are ranked in parts of a query's hits, then over all parts, so a query with
+    any number of hits needs no task of its own."""
+    counts = hits.groupBy("query").agg(F.count("*").alias("pages"), F.max("offer").alias("offer"))
+    place = F.struct("r1", "r2", "r3", "doc_id")
+    titles = hits.groupBy("query", "title").agg(F.min(place).alias("place")).withColumn("part", F.pmod(F.xxhash64("title"), F.lit(32)))
+    for keys in (["query", "part"], ["query"]):
+        titles = titles.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("place"))).where(F.col("rn") <= OFFERED)
+    first = titles.groupBy("query").agg(F.min_by("place.doc_id", "place").alias("doc_id"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "title"))), lambda x: x["title"]).alias("titles"))
+    g = first.join(counts, "query")
     found = (F.col("pages") == 1) & ~F.col("offer")
     return g.select("query", F.when(found, "found").otherwise("did_you_mean").alias("outcome"), F.lit(how).alias("how"), F.when(found, F.col("doc_id")).alias("doc_id"), F.array_join("titles", "|").alias("titles"))
 
@@ -87,24 +91,51 @@ def deletions(df: DataFrame, text: str, most: str) -> DataFrame:
     return d.withColumn("near", F.explode(F.array_distinct(F.concat(F.array(text), "_one", two)))).drop("_one")
 
 
+#: From this length on keys meet by segments; shorter ones by what deletions leave.
+LONG, PARTS = 15, 5
+
+
+def segments(df: DataFrame, text: str) -> DataFrame:
+    """df with len, part, segment: the text cut into PARTS. Two edits touch at most four parts, a swap across a cut two, so one part is left as it was."""
+    n = F.char_length(text)
+    start = lambda i: F.floor(i * n / PARTS).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.struct(n.alias("len"), i.alias("part"), F.substring(F.col(text), start(i) + 1, start(i + 1) - start(i)).alias("segment")))
+    return df.select("*", F.explode(rows).alias("_s")).select(*df.columns, "_s.*")
+
+
+def probes(df: DataFrame, text: str, edits: int = 2) -> DataFrame:
+    """df with len, part, segment: all parts that a text of a length within `edits` can have in common with this one, shifted by as much at most."""
+    ways = F.sequence(F.lit(-edits), F.lit(edits))
+    d = df.select("*", F.explode(ways).alias("_d")).select("*", (F.char_length(text) + F.col("_d")).alias("len"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).where(F.col("len") >= LONG)
+    start = lambda i: F.floor(i * F.col("len") / PARTS).cast("int")
+    d = d.select("*", F.explode(ways).alias("_shift")).withColumn("_a", start(F.col("part")) + F.col("_shift")).withColumn("_n", start(F.col("part") + 1) - start(F.col("part")))
+    d = d.where((F.col("_a") >= 0) & (F.col("_a") + F.col("_n") <= F.char_length(text)))
+    return d.select(*df.columns, "len", "part", F.substring(F.col(text), F.col("_a") + 1, F.col("_n")).alias("segment"))
+
+
 def close(queries: DataFrame, k: DataFrame) -> DataFrame:
     q = queries.withColumn("budget", T.max_edits(F.char_length("q"))).where("budget > 0")
     bounds = F.broadcast(q.agg(F.min(F.char_length("q")).alias("least"), F.max(F.char_length("q")).alias("longest")))  # one row: keys of other lengths cannot be within two edits
-    few = k.join(bounds, F.char_length("key").between(F.col("least") - 2, F.col("longest") + 2)).select("key").distinct().withColumn("most", F.lit(2))
-    pairs = deletions(q, "q", "budget").join(deletions(few, "key", "most"), "near").select("query", "q", "budget", "key").distinct()
-    near = pairs.where(F.abs(F.char_length("key") - F.char_length("q")) <= F.col("budget")).withColumn("d", osa_distance("q", "key")).where("d <= budget")
+    few = k.join(bounds, F.char_length("key").between(F.col("least") - 2, F.col("longest") + 2)).select("key").distinct()
+    short = deletions(q.where(F.char_length("q") <= LONG + 1), "q", "budget").join(deletions(few.where(F.char_length("key") < LONG).withColumn("most", F.lit(2)), "key", "most"), "near")
+    long = probes(q, "q").join(segments(few.where(F.char_length("key") >= LONG), "key"), ["len", "part", "segment"])
+    pairs = short.select("query", "q", "budget", "key").unionByName(long.select("query", "q", "budget", "key")).distinct()
+    # a swap is two edits to the built-in distance: what is beyond twice the budget there is beyond it here
+    near = pairs.where((F.abs(F.char_length("key") - F.char_length("q")) <= F.col("budget")) & (F.levenshtein("q", "key") <= 2 * F.col("budget")))
+    near = near.withColumn("d", osa_distance("q", "key")).where("d <= budget")
     pages = near.join(k.select("doc_id", "title", "key").distinct(), "key").groupBy("query", "doc_id", "title").agg(F.min("d").alias("r1"))
     pages = pages.withColumn("r2", F.lit(0)).withColumn("r3", T.normalise_title(F.col("title"))).withColumn("offer", F.lit(True))
     return outcome(pages, "close")
 
 
 def lookup(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """query, outcome (found, did_you_mean, not_found), how, doc_id, titles (joined by |). queries: query (repeats are answered once)."""
-    k = keys(titles)
-    q = queries.select("query").distinct().withColumn("q", T.normalise_title(F.col("query")))
-    done = exact(q.where("q <> ''"), k)
-    left = q.where("q <> ''").join(done, "query", "left_anti")
-    inside = contained(left, k)
-    left = left.join(inside, "query", "left_anti")
+    """query, outcome (found, did_you_mean, not_found), how, doc_id, titles (joined by |). queries: query (repeats are answered once).
+
+    The keys and the answers of each tier are written once; a tier reads only the queries that are left."""
+    k = written(keys(titles), "keys")
+    q = written(queries.select("query").distinct().withColumn("q", T.normalise_title(F.col("query"))), "queries")
+    done = written(exact(q.where("q <> ''"), k), "exact")
+    inside = written(contained(q.where("q <> ''").join(done, "query", "left_anti"), k), "contained")
+    left = written(q.where("q <> ''").join(done.select("query").union(inside.select("query")), "query", "left_anti"), "left")
     out = done.unionByName(inside).unionByName(close(left, k))
     return q.select("query").join(out, "query", "left").select("query", F.coalesce("outcome", F.lit("not_found")).alias("outcome"), "how", "doc_id", "titles")

@@ -5,8 +5,13 @@ grouped minimum instead: partial results are combined before the shuffle, so a g
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from lorekeep.operators.analytics import shared_dir
 
 
 def section_counts(entries: DataFrame, section: str, size: str) -> DataFrame:
@@ -106,8 +111,20 @@ def running_condition(clauses: DataFrame, group: str, order: str, condition: Col
 
 
 def in_list_order(chats: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """position of each chat in its list."""
-    return chats.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """position of each chat in its list; `order` must settle ties.
+
+    Rows are dealt by range of (group, order) and written to the shared folder, so a list of any length is spread over tasks; a small table of how many rows of a list each range holds says
+    where its positions start."""
+    spark = chats.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path = f"{shared_dir(chats)}/list-order-{uuid.uuid4().hex}"
+    chats.repartitionByRange(parts, F.asc(group), *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(StructType([*chats.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    totals = dealt.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    starts = totals.select("_g", "_p", (F.sum("_n").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_n")).alias("_before"))
+    here = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    placed = here.join(starts, here[group].eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return placed.select(*chats.columns, (F.col("_at") + F.col("_before")).cast("int").alias("position"))
 
 
 def cover_gaps(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -203,3 +203,45 @@ def test_page_chunks(spark):
     for r in packs.page_chunks(asked, chunks).orderBy("query", "place").collect():
         got.setdefault(r.query, []).append(r.chunk_id)
     assert got == {"q": [12, 10, 11], "none": [10, 12, 11]}
+
+
+def test_close_titles(spark):
+    """Close spellings of short and long keys are those of a brute force over all pairs."""
+    from lorekeep.operators import lookup
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcde", k=n))
+    keys = sorted({word(n) for n in [*range(3, 32)] * 8})
+
+    def edit(x):
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(x))
+            x = rng.choice([x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[:i] + "y" + x[i + 1 :], x[:i] + x[i + 1 : i + 2] + x[i] + x[i + 2 :]]) or "q"
+        return x
+
+    asked = sorted({edit(k) for k in keys} - set(keys))
+    titles = spark.createDataFrame([(i, k, None, None) for i, k in enumerate(keys)], "doc_id long, title string, slug string, variants array<string>")
+    q = spark.createDataFrame([(x, x) for x in asked], "query string, q string")
+    got = {r["query"]: r.titles for r in lookup.close(q, lookup.keys(titles)).collect()}
+    want = {}
+    for x in asked:
+        budget = 0 if len(x) <= 2 else 1 if len(x) <= 5 else 2
+        near = sorted((d, k) for k in keys if abs(len(k) - len(x)) <= budget and (d := lookup.osa(x, k)) <= budget)
+        if budget and near:
+            want[x] = "|".join(k for _, k in near[:5])
+    assert got == want and len(want) > 100
+    assert any(len(x) > 20 for x in want) and any(len(x) < 8 for x in want)
+
+
+def test_list_positions(spark):
+    """Positions over ranges are those of one window, with a list that fills several ranges, nulls and descending order."""
+    from lorekeep.operators.summaries import in_list_order
+
+    rng = random.Random(1)
+    rows = [(None if i % 50 == 0 else i % 3 % 2, rng.random() < 0.5, rng.choice([None, 1, 2, 3]), i) for i in range(400)]
+    order = [F.desc("pinned"), F.desc("at"), F.desc("id")]
+    got = in_list_order(spark.createDataFrame(rows, "list int, pinned boolean, at int, id int"), "list", order).collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[1], -1 if r[2] is None else r[2], r[3]), reverse=True):
+        want.setdefault(r[0], []).append(r[3])
+    assert {(r.list, r.id): r.position for r in got} == {(g, i): p for g, ids in want.items() for p, i in enumerate(ids, 1)}
