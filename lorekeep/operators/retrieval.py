@@ -95,13 +95,27 @@ def rrf(lanes: DataFrame, keys: list[str], k: int = RRF_K) -> DataFrame:
     return lanes.groupBy(*keys).agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12).alias("fused_score"))
 
 
+#: What a person's own packs are held to, and what is said where nothing passed.
+PERSONAL_FLOOR, PERSONAL_MARGIN = 0.30, 0.0
+NO_EVIDENCE, REFUSAL = "NO_EVIDENCE", "The packs hold nothing on this. Ask about something they cover, or add a pack."
+
+
+def answers(queries: DataFrame, prompts: DataFrame) -> DataFrame:
+    """query_id, prompt, reply: the grounded prompt of each query, or the marker and the fixed refusal for one without sources. prompts: query_id, sources."""
+    q = queries.select("query_id").distinct().join(prompts, "query_id", "left")
+    none = F.coalesce(F.col("sources"), F.lit("")) == ""
+    return q.select("query_id", F.when(none, NO_EVIDENCE).otherwise(F.col("sources")).alias("prompt"), F.when(none, REFUSAL).alias("reply"))
+
+
 def pack_gate(candidates: DataFrame, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
     """query_id, pack_id, n, top1, at10, passed. No candidates: no row. A cosine that is not a number fails the pack, before any comparison.
-    A lone candidate needs the floor alone; otherwise the best must lead the one at rank min(10, n) by the margin. Bounds are inclusive."""
+    A lone candidate needs the floor alone; otherwise the best must lead the one at rank min(10, n) by the margin. Bounds are inclusive. With a column `personal`, packs that have it true are held to PERSONAL_FLOOR and PERSONAL_MARGIN."""
+    own = F.coalesce(F.col("personal"), F.lit(False)) if "personal" in candidates.columns else F.lit(False)
+    candidates = candidates.withColumn("_floor", F.when(own, PERSONAL_FLOOR).otherwise(floor)).withColumn("_margin", F.when(own, PERSONAL_MARGIN).otherwise(margin))
     w = Window.partitionBy("query_id", "pack_id")
     c = candidates.withColumn("cos", F.col("dense_cosine").cast("double")).withColumn("n", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("cos"), "chunk_id")))
-    g = c.groupBy("query_id", "pack_id").agg(F.max("n").alias("n"), F.max("cos").alias("top1"), F.max(F.when(F.col("rn") == F.least(F.lit(10), "n"), F.col("cos"))).alias("at10"), F.bool_or(F.isnan("cos") | F.col("cos").isNull()).alias("odd"))
-    ok = ~F.col("odd") & (F.col("top1") >= floor) & ((F.col("n") == 1) | (F.col("top1") - F.col("at10") >= margin))
+    g = c.groupBy("query_id", "pack_id").agg(F.max("n").alias("n"), F.max("cos").alias("top1"), F.max(F.when(F.col("rn") == F.least(F.lit(10), "n"), F.col("cos"))).alias("at10"), F.bool_or(F.isnan("cos") | F.col("cos").isNull()).alias("odd"), F.max("_floor").alias("_floor"), F.max("_margin").alias("_margin"))
+    ok = ~F.col("odd") & (F.col("top1") >= F.col("_floor")) & ((F.col("n") == 1) | (F.col("top1") - F.col("at10") >= F.col("_margin")))
     return g.select("query_id", "pack_id", "n", F.round("top1", 6).alias("top1"), F.round("at10", 6).alias("at10"), ok.alias("passed"))
 
 

@@ -21,9 +21,11 @@ class Watch:
 
 def rates(tokens: DataFrame, w: Watch = Watch()) -> DataFrame:
     """stream_id, at_ms, token_id, baseline, recent for each gap after the baseline with a full window. Longer gaps than max_gap_ms are stalls and don't
-    count, but the clock goes on; the order within a stream is (at_ms, token_id)."""
+    count, but the clock goes on; the order within a stream is (at_ms, token_id). With a column `turn`, the time between the last token of one turn and the first of the next is no gap."""
     order = Window.partitionBy("stream_id").orderBy("at_ms", "token_id")
-    g = tokens.select("stream_id", "at_ms", "token_id").withColumn("gap", F.col("at_ms") - F.lag("at_ms").over(order))
+    turn = F.col("turn") if "turn" in tokens.columns else F.lit(0)
+    g = tokens.select("stream_id", "at_ms", "token_id", turn.alias("turn"))
+    g = g.withColumn("gap", F.when(F.col("turn").eqNullSafe(F.lag("turn").over(order)), F.col("at_ms") - F.lag("at_ms").over(order)))
     g = g.where(F.col("gap") <= w.max_gap_ms).withColumn("rn", F.row_number().over(order))
     first = (F.col("rn") > w.skip) & (F.col("rn") <= w.skip + w.baseline)
     whole = Window.partitionBy("stream_id")

@@ -407,11 +407,44 @@ SELECT v AS entry, min(c) AS cluster FROM r GROUP BY v
 """
 
 
+def own_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of even labels are a person's own."""
+    q, v = _vectors(spark, sf_dir)
+    return retrieval.pack_gate(retrieval.dense_topk(q, v).withColumn("personal", F.col("pack_id").cast("int") % 2 == 0))
+
+
+OWN_GATES_SQL = _GATES.replace("{src}", "top") + " SELECT query_id, pack_id, n, round(top1, 6) AS top1, round(at10, 6) AS at10, top1 >= 0.3 AND (n = 1 OR top1 - at10 >= CASE WHEN pack_id::INTEGER % 2 = 0 THEN 0.0 ELSE 0.1 END) AS passed FROM g"
+
+
+def notices_by_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six hundred events make a turn."""
+    t = _tokens(spark, sf_dir).withColumn("turn", F.floor(F.col("token_id") / 600))
+    return tokens.notices(t, WATCH)
+
+
+TURN_NOTICES_SQL = NOTICES_SQL.replace("event_id AS token_id FROM events", "event_id AS token_id, event_id // 600 AS turn FROM events").replace(
+    "at_ms - lag(at_ms) OVER (PARTITION BY stream_id ORDER BY at_ms, token_id) AS gap", "CASE WHEN turn = lag(turn) OVER (PARTITION BY stream_id ORDER BY at_ms, token_id) THEN at_ms - lag(at_ms) OVER (PARTITION BY stream_id ORDER BY at_ms, token_id) END AS gap"
+)
+
+
+def no_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as queries; those of even ids have sources."""
+    c = table(spark, sf_dir, "conversations")
+    prompts = c.where("conv_id % 2 = 0").groupBy(F.col("conv_id").alias("query_id")).agg(F.min("role").alias("sources"))
+    return retrieval.answers(c.select(F.col("conv_id").alias("query_id")), prompts)
+
+
+NO_EVIDENCE_SQL = f"SELECT conv_id AS query_id, CASE WHEN conv_id % 2 = 0 THEN min(role) ELSE '{retrieval.NO_EVIDENCE}' END AS prompt, CASE WHEN conv_id % 2 <> 0 THEN '{retrieval.REFUSAL}' END AS reply FROM conversations GROUP BY conv_id"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retrieve": flagship,
     "topk_vec": dense_topk,
     "fn_quantize_int8": quantize,
     "pack_gate": gates,
+    "pack_gate_personal": own_gates,
+    "no_evidence": no_evidence,
+    "st_thermal_turns": notices_by_turn,
     "fts_search_all": bm25_all,
     "fts_search_any": bm25_any,
     "fn_normalise_title": titles,
@@ -440,6 +473,9 @@ ORACLE_SQL: dict[str, str] = {
     "topk_vec": DENSE_SQL,
     "fn_quantize_int8": QUANTIZE_SQL,
     "pack_gate": GATES_SQL,
+    "pack_gate_personal": OWN_GATES_SQL,
+    "no_evidence": NO_EVIDENCE_SQL,
+    "st_thermal_turns": TURN_NOTICES_SQL,
     "fts_search_all": BM25_ALL_SQL,
     "fts_search_any": BM25_ANY_SQL,
     "fn_normalise_title": TITLES_SQL,

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lorekeep.operators.tokens import Watch
 
 OUT = "stream_id long, at_ms long, token_id long, throttled boolean, baseline double, recent double"
-STATE = "last_at long, seen int, base_ms long, recent array<long>, slow int, throttled boolean"
+STATE = "turn long, last_at long, seen int, base_ms long, recent array<long>, slow int, throttled boolean"
 
 
 def step(state: tuple, at: int, w: Watch) -> tuple[tuple, tuple | None]:
@@ -36,17 +36,22 @@ def step(state: tuple, at: int, w: Watch) -> tuple[tuple, tuple | None]:
 
 
 def notices(tokens: DataFrame, w: Watch = Watch()) -> DataFrame:
-    """tokens: a streaming DataFrame (stream_id, at_ms, token_id), in order within each stream and batch by (at_ms, token_id)."""
+    """tokens: a streaming DataFrame (stream_id, at_ms, token_id and, if there is one, turn), in order within each stream and batch by (at_ms, token_id).
+
+    A new turn clears the clock, nothing else. A token that comes in a later batch than its successor counts as a gap of 0; the batch form would sort it."""
+    with_turns = "turn" in tokens.columns
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (None, 0, 0, [], 0, False)
-        now = (now[0], now[1], now[2], list(now[3]), now[4], now[5])
+        turn, *now = state.get if state.exists else (None, None, 0, 0, [], 0, False)
+        now = (*now[:3], list(now[3]), *now[4:])
         out = []
-        for at, token in sorted((int(a), int(t)) for b in batches for a, t in zip(b.at_ms, b.token_id, strict=True)):
+        for at, token, new in sorted((int(a), int(t), int(n)) for b in batches for a, t, n in zip(b.at_ms, b.token_id, b.turn if with_turns else [0] * len(b), strict=True)):
+            if new != turn:
+                turn, now = new, (None, *now[1:])
             now, said = step(now, at, w)
             if said:
                 out.append((int(key[0]), at, token, *said))
-        state.update(now)
+        state.update((turn, *now))
         yield pd.DataFrame(out, columns=["stream_id", "at_ms", "token_id", "throttled", "baseline", "recent"])
 
     return tokens.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
