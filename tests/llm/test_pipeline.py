@@ -49,3 +49,24 @@ def test_null_ids(spark):
     for _, stage in corpus_pipeline.STAGES:
         kept = cut(stage(spark, kept, DATA), "test")
     assert sorted((r.doc_id for r in kept.collect()), key=lambda i: i is None) == [clean.doc_id, None]
+
+
+def test_extra_columns_and_empty_table(spark):
+    """Columns named like those the operators make pass through all stages that return documents; an empty table gives none."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, DATA, "documents").orderBy("doc_id").limit(30)
+    extra = {c: F.lit(7) for c in ("id", "n", "kept", "grp", "x", "digest", "component_id", "contaminated", "spans", "bucket")}
+    kept = cut(docs.withColumns(extra), "test")
+    columns = kept.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = cut(stage(spark, kept, DATA), "test")
+        assert kept.columns == columns and kept.where("grp <> 7").count() == 0
+    plain = cut(docs, "test")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain = cut(stage(spark, plain, DATA), "test")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in plain.collect())
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = cut(stage(spark, none, DATA), "test")
+    assert none.count() == 0
