@@ -245,3 +245,29 @@ def test_list_positions(spark):
     for r in sorted(rows, key=lambda r: (r[1], -1 if r[2] is None else r[2], r[3]), reverse=True):
         want.setdefault(r[0], []).append(r[3])
     assert {(r.list, r.id): r.position for r in got} == {(g, i): p for g, ids in want.items() for p, i in enumerate(ids, 1)}
+
+
+def test_prompt_sources(spark):
+    """Heads are found one after the other; if one is missing, none counts."""
+    from lorekeep.operators import messages
+
+    rows = [("x [1] a [1] b [2] c", ["[1]", "[1]", "[2]"]), ("x [2] a [1]", ["[1]", "[2]"]), ("x", []), ("[1][1]", ["[1]", "[1]"])]
+    d = spark.createDataFrame(rows, "p string, h array<string>")
+    got = [r.s for r in d.select(messages.sources_from_prompt(F.col("p"), F.col("h")).alias("s")).collect()]
+    assert got == [[6, 12, 18], None, [], [4, 7]]
+
+
+def test_reply_sentences(spark):
+    text = "# Head\n- one. two\n2) second item\nwrapped line no. 5 ends. Cited. [1, 2] Next one"
+    d = spark.createDataFrame([(text,), (None,)], "t string")
+    got = [r.s for r in d.select(L.split_lines_and_sentences(F.col("t")).alias("s")).collect()]
+    assert got == [["Head", "one.", "two", "second item wrapped line no. 5 ends.", "Cited [1, 2] .", "Next one"], []]
+
+
+def test_score_weights(spark):
+    """A swapped sign or look-alike weighs five, other edits one, a refused item nothing."""
+    from lorekeep.operators import scoring
+
+    rows = [(1, "a+b", "a-b", "accept"), (2, "abc", "axc", "review"), (3, "a+1", "a-l", "accept"), (4, None, "x", "refuse"), (5, None, "x", "accept"), (6, "ab", None, None)]
+    got = {r.item: (r.weighted, r.cer, r.exact, r.verdict_ok) for r in scoring.score_items(spark.createDataFrame(rows, "item int, expected string, got string, verdict string")).collect()}
+    assert got == {1: (5, 0.333333, False, True), 2: (1, 0.333333, False, True), 3: (10, 0.666667, False, True), 4: (0, 0.0, True, True), 5: (0, 1.0, False, False), 6: (2, 1.0, False, False)}
