@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, license_scan, near_dedup, quality_model, quality_rules, secrets, substring_dedup, toxicity
+from . import bpe, chat_format, decontaminate, license_scan, near_dedup, prefix_trie, quality_model, quality_rules, resample, secrets, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan.query,
     "op9_quality_classifier": quality_model.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_prefix_trie": prefix_trie.query,
+    "op12_resample": resample.query,
+    "op13_warc": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_near_dedup": near_dedup.SQL,
     "op8_license_scan": license_scan.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op12_resample": resample.SQL,
+    "op13_warc": warc.SQL,
 }
