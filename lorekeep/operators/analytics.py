@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.storage import discard, shared_dir, written
+
 
 def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
     """Nearest-rank p50 and p95, and the largest.
@@ -55,47 +58,71 @@ def index_check(index: DataFrame, disk: DataFrame, key: str) -> DataFrame:
     return both.select(key, problem.alias("problem")).where("problem is not null")
 
 
-def shared_dir(df: DataFrame) -> str:
-    """The cluster's shared folder. Where the session names none, a local session gets a temporary one and a cluster an error."""
-    path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not df.sparkSession.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", path)
-    return path
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of one task, a run at a time, as links of every node to the smallest one it reaches among them: the same clusters, fewer steps between."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in held:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+        pairs = [(x, root(x)) for x in list(up)]
+        kind = held[0].schema.field(0).type
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs if p[0] != p[1]], kind) for k in (0, 1)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CONTRACT:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: what several later steps read is made once."""
-    path = f"{shared_dir(df)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Links that one step of contracted() holds.
+CONTRACT = 1 << 18
 
 
-def clusters(members: DataFrame, entry: str, key: str, rounds: int = 50) -> DataFrame:
+def clusters(members: DataFrame, entry: str, key: str, rounds: int = 100) -> DataFrame:
     """entry, cluster (its smallest entry): entries that share a key, directly or through others.
 
-    A key with any number of entries gives one link for each entry, to the key's smallest; labels then spread by minimum over entries and keys, written to the shared
-    folder each round. Two steps a round (entry to key to entry) halve the rounds; the number of rounds is that of the longest chain."""
+    A key gives one link for each of its entries, to the key's smallest, however many there are. Tasks contract their own links; then every node passes its smallest neighbour on to its larger neighbours, and after
+    that to its smaller ones, until all links end at a smallest entry. Rounds grow with the logarithm of the longest chain. Each round's table is removed when the next is written."""
     m = members.select(F.col(entry).alias("e"), F.col(key).alias("k")).where("e is not null and k is not null").distinct()
-    labels = m.select("e").distinct().withColumn("c", F.col("e"))
-    folder = shared_dir(members)
+    kind = m.schema["e"].dataType.simpleString()
+    low = m.groupBy("k").agg(F.min("e").alias("b"))
+    links = m.join(low, "k").select(F.col("e").alias("a"), "b").where("a <> b")
+
+    def settle(df: DataFrame) -> DataFrame:
+        return written(df.distinct().mapInArrow(contracted, f"a {kind}, b {kind}").distinct(), "links")
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    links = settle(links)
+    seen = mark(links)
     for _ in range(rounds):
-        by_key = m.join(labels, "e").groupBy("k").agg(F.min("c").alias("kc"))
-        near = m.join(by_key, "k").groupBy("e").agg(F.min("kc").alias("c"))
-        # pointer jumping: take the label of one's label
-        jumped = near.join(labels.select(F.col("e").alias("c"), F.col("c").alias("cc")), "c").select("e", F.least("c", "cc").alias("c"))
-        new = jumped.join(labels.withColumnRenamed("c", "old"), "e").select("e", "c", (F.col("c") != F.col("old")).alias("changed"))
-        path = f"{folder}/clusters-{uuid.uuid4().hex}"
-        new.write.parquet(path)
-        state = members.sparkSession.read.parquet(path)
-        labels = state.select("e", "c")
-        if state.where("changed").isEmpty():
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        new = settle(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b"))
+        discard(links)
+        links, now = new, mark(new)
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError("clusters did not settle")
-    return labels.select(F.col("e").alias("entry"), F.col("c").alias("cluster"))
+    return m.select("e").distinct().join(links, F.col("e") == F.col("a"), "left").select(F.col("e").alias("entry"), F.coalesce("b", "e").alias("cluster"))
 
 
 def phrase_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
@@ -110,12 +137,15 @@ def phrase_pairs(names: DataFrame, titles: DataFrame) -> DataFrame:
     return hits.select("entry", "other").distinct()
 
 
-def cluster_splits(members: DataFrame, entries: DataFrame, pairs: DataFrame, seed: str, held_out: DataFrame) -> DataFrame:
+def cluster_splits(members: DataFrame, entries: DataFrame, pairs: DataFrame, seed: str, held_out: DataFrame, fakes: DataFrame | None = None) -> DataFrame:
     """entry, cluster, split, held_out: clusters by shared keys and by titles that hold a name; a whole cluster goes to one split, and is held out if any of its entries is.
 
-    members: entry, key; entries: entry; pairs: entry, other; held_out: entry."""
+    members: entry, key; entries: entry; pairs: entry, other (see phrase_pairs); held_out: entry; fakes: name, chunk_id of invented names that texts hold, which is an error."""
     from lorekeep.functions import text as T
 
+    if fakes is not None and (found := fakes.orderBy("name", "chunk_id").first()):
+        raise ValueError(f"an invented name is in the texts: {found['name']!r} in {found['chunk_id']}")
+
     own = entries.select("entry", F.concat(F.lit("e"), F.col("entry").cast("string")).alias("key"))
     link = pairs.select(F.col("entry"), F.concat(F.lit("e"), F.col("other").cast("string")).alias("key"))
     every = members.select("entry", F.concat(F.lit("k"), F.col("key")).alias("key")).unionByName(own).unionByName(link)

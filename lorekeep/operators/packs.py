@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions import stem as S
 from lorekeep.functions import text as T
+from lorekeep.storage import written
 
 OLDEST, NEWEST, VECTOR_FORMAT = 1, 2, "v1"
 #: Keys that every manifest has, with their type (fixed values).
@@ -131,21 +133,26 @@ def differences(built: DataFrame, rebuilt: DataFrame, key: str) -> DataFrame:
 
 
 def fakes_present(names: DataFrame, chunks: DataFrame) -> DataFrame:
-    """name, chunk_id where a name that must not occur does, as whole words. Names meet only chunks with their first word. names: name."""
+    """name, chunk_id where a name that must not occur does, as whole words. names: name.
+
+    Words and chunk ids alone are exploded and joined with the names' first words; a text joins back once for each name that it may hold."""
     n = names.select("name", T.normalise_title(F.col("name")).alias("_n")).where("_n <> ''").withColumn("_w", F.split_part("_n", F.lit(" "), F.lit(1)))
     c = chunks.select("chunk_id", T.normalise_title(F.col("text")).alias("_t"))
-    c = c.withColumn("_w", F.explode(F.array_distinct(F.split("_t", " ")))).join(n.select("_w").distinct(), "_w", "left_semi")
-    return c.join(n, "_w").where(T.contains_words(F.col("_t"), F.col("_n"))).select("name", "chunk_id").distinct()
+    maybe = c.select("chunk_id", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w")).join(n, "_w").select("chunk_id", "name", "_n").distinct()
+    return maybe.join(c, "chunk_id").where(T.contains_words(F.col("_t"), F.col("_n"))).select("name", "chunk_id").distinct()
 
 
 def ranked_in_docs(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query, doc_id, chunk_id, score, rank: the chunks of the query's own document with any of its terms, best first, ties by id, without a limit. asked: query, doc_id, terms.
+    """query, doc_id, chunk_id, score, rank: the chunks of the query's own document with a stem of any of its terms, best first, ties by id, without a limit. asked: query, doc_id, terms.
 
     BM25 with the statistics of the documents asked for, each by itself."""
     c = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_id", T.terms(F.col("text")).alias("ts"))
+    wanted = asked.select("query", "doc_id", F.explode(F.array_distinct("terms")).alias("word"))
+    words = c.select("doc_id", "chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("word"))
+    stems = written(S.stems(words.select("word").union(wanted.select("word")), "word", "term"), "stems")
     sizes = c.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl"))
-    p = c.select("doc_id", "chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("doc_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    wanted = asked.select("query", "doc_id", F.explode(F.array_distinct("terms")).alias("term"))
+    p = words.join(stems, "word").groupBy("doc_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    wanted = wanted.join(stems, "word").select("query", "doc_id", "term").distinct()
     p = p.join(wanted.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_semi")
     df = p.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(sizes, "doc_id")
     idf = df.select("doc_id", "term", "avgdl", F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))

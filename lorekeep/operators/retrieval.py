@@ -7,11 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text as T
 from lorekeep.functions import vectors as V
 
 RRF_K, LANE_K, FLOOR, MARGIN = 60, 20, 0.30, 0.10
-K1, B = 1.2, 0.75
 
 
 def quantized(df: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -65,31 +63,6 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = LANE_K) -> DataF
     return top.select("query_id", "pack_id", "chunk_id", "distance", V.cosine_int8(F.col("dot")).alias("dense_cosine"), "rank")
 
 
-def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """pack_id, chunk_id, term, tf, len for the terms of `wanted`. chunks: pack_id, chunk_id, text. A chunk is one row, so its terms are counted where it is, without a shuffle."""
-    t = chunks.select("pack_id", "chunk_id", T.terms(F.col("text")).alias("ts"))
-    p = t.select("pack_id", "chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    return p.groupBy("pack_id", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-
-
-def pack_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks and mean length of each pack. Terms are counted, not made: folding letters changes no border between them."""
-    return chunks.select("pack_id", F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")).alias("len")).where("len >= 0").groupBy("pack_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-
-
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = LANE_K, all_terms: bool = True) -> DataFrame:
-    """query_id, pack_id, chunk_id, score, rank. queries: query_id, terms (array). All terms must occur unless all_terms is False. Ties by id."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n_terms"))
-    p = postings(chunks, wanted)
-    df = p.groupBy("pack_id", "term").agg(F.count("*").alias("df"))
-    idf = df.join(pack_stats(chunks), "pack_id").select("pack_id", "term", "avgdl", F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
-    s = p.join(idf, ["pack_id", "term"]).withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
-    hits = s.join(wanted, "term").groupBy("query_id", "pack_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score"), F.count("*").alias("n_hit"), F.max("n_terms").alias("n_terms"))
-    hits = hits.where("n_hit = n_terms") if all_terms else hits
-    order = Window.partitionBy("query_id", "pack_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.select("query_id", "pack_id", "chunk_id", "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
-
-
 def rrf(lanes: DataFrame, keys: list[str], k: int = RRF_K) -> DataFrame:
     """Sum of 1 / (k + rank) over the lanes of each key."""
     return lanes.groupBy(*keys).agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12).alias("fused_score"))

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions import stem
 from lorekeep.functions import text as T
 from lorekeep.functions import vectors as V
 from lorekeep.operators import analytics, conversation, lookup, retrieval, tokens
+from lorekeep.operators.textindex import TextIndex
 from lorekeep.plans import entities, functions, messages, packs, replies, selection, summaries
 from lorekeep.plans import sources as documents
 from lorekeep.session import table
@@ -146,19 +148,35 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("pack_id"), F.col("doc_id").alias("chunk_id"), "text")
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index over the documents in packs by source, built by the first query of a session that asks and opened by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.build(_chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_search(_asked(spark, sf_dir), _chunks(spark, sf_dir))
+    return _index(spark, sf_dir).search(_asked(spark, sf_dir), retrieval.LANE_K)
 
 
 def bm25_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_search(_asked(spark, sf_dir), _chunks(spark, sf_dir), all_terms=False)
+    return _index(spark, sf_dir).search(_asked(spark, sf_dir), retrieval.LANE_K, all_terms=False)
 
 
 _BM25 = f"""
-asked AS (SELECT item_id AS query_id, unnest(t) AS term, len(t) AS n_terms FROM (SELECT item_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(ts) AS w, unnest(range(len(ts))) AS i) WHERE length(w) >= 5 GROUP BY w)) AS t FROM (SELECT item_id, {_sql_terms('text')} AS ts FROM benchmark))),
+asked0 AS (SELECT item_id AS query_id, unnest(ts) AS word FROM (SELECT item_id, {_sql_terms('text')} AS ts FROM benchmark)),
 c AS (SELECT source AS pack_id, doc_id AS chunk_id, {_sql_terms('text')} AS ts FROM documents),
+words AS (SELECT pack_id, chunk_id, len(ts) AS len, unnest(ts) AS word FROM c),
+vocabulary AS (SELECT word FROM words UNION SELECT word FROM asked0),
+{stem.stems_sql('stems', 'vocabulary')},
+asked1 AS (SELECT DISTINCT query_id, w AS term FROM asked0 JOIN stems USING (word) WHERE length(word) >= 5),
+asked AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM asked1),
 st AS (SELECT pack_id, count(*) AS n, avg(len(ts)) AS avgdl FROM c WHERE ts IS NOT NULL GROUP BY pack_id),
-po AS (SELECT pack_id, chunk_id, len, term, count(*) AS tf FROM (SELECT pack_id, chunk_id, len(ts) AS len, unnest(ts) AS term FROM c) GROUP BY ALL),
+po AS (SELECT pack_id, chunk_id, len, w AS term, count(*) AS tf FROM words JOIN stems USING (word) GROUP BY ALL),
 dfs AS (SELECT pack_id, term, count(*) AS df FROM po GROUP BY ALL),
 sc AS (SELECT query_id, po.pack_id, chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score, count(*) AS n_hit, max(n_terms) AS n_terms
   FROM asked JOIN po USING (term) JOIN dfs ON dfs.pack_id = po.pack_id AND dfs.term = po.term JOIN st ON st.pack_id = po.pack_id GROUP BY ALL),
@@ -177,7 +195,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     v = retrieval.quantized(e.select("vec_id", "embedding"), "vec_id", "chunk_id").join(chunks.select("chunk_id", "pack_id"), "chunk_id")
     dense = retrieval.dense_topk(q, v)
-    lexical = retrieval.bm25_search(asked.join(q.select("query_id"), "query_id", "left_semi"), chunks)
+    lexical = _index(spark, sf_dir).search(asked.join(q.select("query_id"), "query_id", "left_semi"), retrieval.LANE_K)
     both = retrieval.fuse(dense, lexical, v, q)
     sections = chunks.select("chunk_id", F.col("chunk_id").alias("doc_id"), F.lit("").alias("section_path"))
     return retrieval.assemble(q, both, retrieval.pack_gate(both, margin=0.05), sections)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.operators import analytics, conversation, display, lookup, retrieval
+from lorekeep.operators import packs as PK
 from lorekeep.operators import replies as R
 from lorekeep.plans import replies as RP
 from lorekeep.plans.packs import norm_sql
@@ -47,12 +48,12 @@ def _states(s, d):
 
 def _named(s, d):
     p = table(s, d, "part")
-    names = p.select(F.col("p_partkey").alias("entry"), T.normalise_title(F.concat_ws(" ", F.element_at(F.split("p_name", " "), 1), (F.col("p_partkey") % 40).cast("string"))).alias("name"))
+    names = p.select(F.col("p_partkey").alias("entry"), T.normalise_title(F.concat_ws(" ", F.element_at(F.split("p_name", " "), -1), (F.col("p_partkey") % 40).cast("string"))).alias("name"))
     titles = p.select(F.col("p_partkey").alias("entry"), T.normalise_title(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 40).cast("string"), "p_type")).alias("title"))
     return names, titles
 
 
-_FIRST = "string_split(p_name, ' ')[1] || ' ' || p_partkey % 40"
+_FIRST = "string_split(p_name, ' ')[-1] || ' ' || p_partkey % 40"
 _PAIRS = f"""SELECT DISTINCT t.entry, n.entry AS other FROM (SELECT p_partkey AS entry, {norm_sql(_FIRST)} AS name FROM part) n, (SELECT p_partkey AS entry, {norm_sql("p_name || ' ' || p_partkey % 40 || ' ' || p_type")} AS title FROM part) t WHERE contains(' ' || title || ' ', ' ' || name || ' ') AND n.entry <> t.entry"""
 
 
@@ -60,8 +61,9 @@ def _splits(s, d):
     p = table(s, d, "part")
     members = p.select(F.col("p_partkey").alias("entry"), F.concat_ws("/", "p_brand", "p_name", F.col("p_size").cast("string")).alias("key"))
     e = F.col("p_partkey")
-    pairs = p.where("p_partkey % 5 = 0").select(e.alias("entry"), (e - 1).alias("other"))
-    return analytics.cluster_splits(members, p.select(e.alias("entry")), pairs, "seed", p.where("p_partkey % 17 = 0").select(e.alias("entry")))
+    pairs = analytics.phrase_pairs(*_named(s, d))
+    fakes = PK.fakes_present(p.select(F.concat(F.lit("no such "), "p_name").alias("name")), _named(s, d)[1].select(F.col("entry").alias("chunk_id"), F.col("title").alias("text")))
+    return analytics.cluster_splits(members, p.select(e.alias("entry")), pairs, "seed", p.where("p_partkey % 17 = 0").select(e.alias("entry")), fakes)
 
 
 def _export_rows(s, d):
@@ -147,8 +149,8 @@ ORACLE_SQL = {
     "st_think_strip": _strip_sql(spans.THINK),
     "st_tool_stream": _strip_sql(spans.TOOL),
     "join_self_title_phrase": _PAIRS,
-    "cluster_splits": """WITH RECURSIVE l AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey
-  UNION SELECT p_partkey, p_partkey - 1 FROM part WHERE p_partkey % 5 = 0 UNION SELECT p_partkey - 1, p_partkey FROM part WHERE p_partkey % 5 = 0),
+    "cluster_splits": f"""WITH RECURSIVE pairs AS ({_PAIRS}), l AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey
+  UNION SELECT entry, other FROM pairs UNION SELECT other, entry FROM pairs),
 r(v, c) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b), m AS (SELECT v AS entry, min(c) AS cluster FROM r GROUP BY v),
 h AS (SELECT cluster, bool_or(entry % 17 = 0) AS held_out, ('0x' || substr(sha256('seed' || chr(0) || cluster), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM m GROUP BY cluster)
 SELECT entry, cluster, CASE WHEN u < 0.7 THEN 'rows' WHEN u < 0.85 THEN 'probe' ELSE 'calibration' END AS split, held_out FROM m JOIN h USING (cluster)""",

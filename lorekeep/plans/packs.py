@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions import stem
 from lorekeep.functions import text as T
 from lorekeep.operators import packs as P
 from lorekeep.session import table
@@ -142,8 +143,10 @@ def _asked(s, d):
 _ASKED = f"SELECT doc_id || ' ' || q AS query, doc_id, {terms_sql('q')} AS terms FROM (SELECT doc_id, substr(list_last(string_split(coalesce(text, ''), chr(10))), 1, 80) AS q FROM documents)"
 _IN_DOC = f"""ck AS ({_CHUNKS}), a AS ({_ASKED}),
 c AS (SELECT doc_id, chunk_id, {terms_sql('text')} AS ts FROM ck), sz AS (SELECT doc_id, count(*) AS n, avg(len(ts)) AS avgdl FROM c GROUP BY doc_id),
-po AS (SELECT doc_id, chunk_id, len, term, count(*) AS tf FROM (SELECT doc_id, chunk_id, len(ts) AS len, unnest(ts) AS term FROM c) GROUP BY ALL),
-w AS (SELECT DISTINCT query, doc_id, unnest(terms) AS term FROM a), dfs AS (SELECT doc_id, term, count(*) AS df FROM po GROUP BY ALL),
+ws AS (SELECT doc_id, chunk_id, len(ts) AS len, unnest(ts) AS word FROM c), aw AS (SELECT query, doc_id, unnest(terms) AS word FROM a), voc AS (SELECT word FROM ws UNION SELECT word FROM aw),
+{stem.stems_sql('stems', 'voc')},
+po AS (SELECT doc_id, chunk_id, len, w AS term, count(*) AS tf FROM ws JOIN stems USING (word) GROUP BY ALL),
+w AS (SELECT DISTINCT query, doc_id, stems.w AS term FROM aw JOIN stems USING (word)), dfs AS (SELECT doc_id, term, count(*) AS df FROM po GROUP BY ALL),
 h AS (SELECT query, doc_id, chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score
   FROM w JOIN po USING (doc_id, term) JOIN dfs USING (doc_id, term) JOIN sz USING (doc_id) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query, doc_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM h)"""

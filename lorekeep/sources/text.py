@@ -7,18 +7,22 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first_line, last_line, text: blocks between blank lines, by gaps and islands; locators are 1-based lines."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    blank = F.trim(F.regexp_replace("line", r"\s+", " ")) == ""
-    kept = rows.withColumn("island", F.sum(blank.cast("int")).over(w)).where(~blank)
-    g = kept.groupBy("doc_id", "island").agg((F.min("pos") + 1).alias("first_line"), (F.max("pos") + 1).alias("last_line"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    return g.select("doc_id", "first_line", "last_line", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+    """doc_id, first_line, last_line, text: blocks between blank lines; locators are 1-based lines.
+
+    A paragraph starts at a line with text after none, and ends at one before none: both are found in the array of a document's own lines, so texts are never shuffled."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("_lines"))
+    d = d.withColumn("_full", F.transform("_lines", lambda x: F.regexp_like(x, F.lit(r"[^\s]"))))
+    at = lambda i: F.coalesce(F.get("_full", i), F.lit(False))
+    borders = lambda step: F.filter(F.transform("_full", lambda x, i: F.when(x & ~at(i + step), i)), lambda i: i.isNotNull())
+    d = d.withColumn("_first", borders(-1)).withColumn("_last", borders(1))
+    d = d.select("doc_id", "_lines", F.explode(F.arrays_zip("_first", "_last")).alias("_p"))
+    first, last = F.col("_p._first"), F.col("_p._last")
+    return d.select("doc_id", (first + 1).alias("first_line"), (last + 1).alias("last_line"), F.array_join(F.slice("_lines", first + 1, last - first + 1), "\n").alias("text"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

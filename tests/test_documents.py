@@ -54,7 +54,7 @@ def test_markdown(spark):
     d = spark.createDataFrame([(1, MARKDOWN, 9), (2, None, 9), (3, "", 9)], "doc_id long, text string, block int")
     assert MD.markdown_blocks(d).count() == 5
     chunks = C.chunk_blocks(MD.markdown_blocks(d)).collect()
-    assert [(r.kind, r.tokens) for r in chunks] == [("paragraph", 9), ("list", 8), ("table", 10), ("code", 5), ("paragraph", 1)] and chunks[2].text == "a | b\na: 1 | b: 2\na: 3" and chunks[2].locator == "L13-L16"
+    assert [(r.kind, r.tokens) for r in chunks] == [("paragraph", 9), ("list", 8), ("table", 10), ("code", 6), ("paragraph", 1)] and chunks[2].text == "a | b\na: 1 | b: 2\na: 3" and chunks[2].locator == "L13-L16"
 
 
 def test_sentences(spark):
