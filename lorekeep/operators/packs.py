@@ -4,6 +4,10 @@ docs: pack_id, doc_id, title, ...; chunks: doc_id, chunk_id, section_path, locat
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,11 +106,12 @@ def title_entries(pages: DataFrame) -> DataFrame:
 
 
 def build_problems(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, problem of what a pack must not hold: an empty title, a slug that is empty or taken, a page without a chunk."""
+    """doc_id, problem of what a pack must not hold: an empty title, a slug that is empty or taken in its pack, a page without a chunk."""
     t = pages.withColumn("_slug", F.coalesce(F.nullif(T.slugify(F.col("slug")), F.lit("")), T.slugify(F.col("title"))))
-    taken = t.groupBy("_slug").agg(F.count("*").alias("_same"))
+    own = [*["pack_id"] * ("pack_id" in pages.columns), "_slug"]
+    taken = t.groupBy(*own).agg(F.count("*").alias("_same"))
     some = chunks.select("doc_id").distinct().withColumn("_some", F.lit(True))
-    t = t.join(taken, "_slug", "left").join(some, "doc_id", "left")
+    t = t.join(taken, own, "left").join(some, "doc_id", "left")
     empty = F.trim(F.coalesce("title", F.lit(""))) == ""
     problem = F.when(empty, "empty title").when(F.coalesce("_slug", F.lit("")) == "", "empty slug").when(F.col("_same") > 1, "repeated slug").when(F.col("_some").isNull(), "no chunk")
     return t.select("doc_id", problem.alias("problem")).where("problem is not null")
@@ -119,10 +124,31 @@ def chunk_shas(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def pack_shas(hashed: DataFrame, pack: str, order: str = "chunk_id") -> DataFrame:
-    """pack, chunks, content_sha256: one digest over the shas of a pack's chunks in order. The digest is sequential by definition: 65 bytes a chunk in one task."""
-    rows = hashed.groupBy(pack).agg(F.array_sort(F.collect_list(F.struct(order, "content_sha"))).alias("_l"))
-    text = F.concat(F.array_join(F.transform("_l", lambda x: x["content_sha"]), "\n"), F.lit("\n"))
-    return rows.select(pack, F.size("_l").cast("long").alias("chunks"), F.sha2(text, 256).alias("content_sha256"))
+    """pack, chunks, content_sha256: one digest over the shas of a pack's chunks in order, a line each.
+
+    The digest is sequential by definition: a pack's shas, 65 bytes a chunk, pass through one task, sorted and as a stream."""
+    kind = hashed.schema[pack].dataType
+    names = hashed.select(F.col(pack).cast("string").alias("pack"), F.col(order).alias("at"), "content_sha")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, sha = None, 0, None
+        for batch in batches:
+            done = []
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if sha is None or name != now:
+                    if sha is not None:
+                        done.append((now, n, sha.hexdigest()))
+                    now, n, sha = name, 0, hashlib.sha256()
+                sha.update(f"{line}\n".encode())
+                n += 1
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(("pack", "chunks", "content_sha256"), r, strict=True)) for r in done], schema)
+        if sha is not None:
+            yield pa.RecordBatch.from_pylist([{"pack": now, "chunks": n, "content_sha256": sha.hexdigest()}], schema)
+
+    schema = pa.schema([("pack", pa.string()), ("chunks", pa.int64()), ("content_sha256", pa.string())])
+    out = names.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(digest, "pack string, chunks long, content_sha256 string")
+    return out.select(F.col("pack").cast(kind).alias(pack), "chunks", "content_sha256")
 
 
 def differences(built: DataFrame, rebuilt: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,8 @@ from lorekeep.functions import text as T
 from lorekeep.operators import packs as P
 from lorekeep.session import table
 from lorekeep.sources import text as sources
+from lorekeep.sources.packstore import BuildError, PackStore
+from lorekeep.storage import new_path
 
 WEB, TRUSTED = "web", "https://docs.example.org/"
 
@@ -97,10 +99,59 @@ def _load(s, d):
     return P.load_checks(m, ["abcd"])
 
 
+def _good_manifests(s, d):
+    """A whole manifest for each pack: the keys of all manifests, with values that load."""
+    values = {"pack_version": "1.0", "pack_tier": "personal", "embedder_name": "encoder", "embedder_sha256": "abcd", "embedding_dims": "64", "embedding_quant": "int8", "chunk_target_tokens": "400", "chunk_overlap_pct": "18",
+              "gate_abs_floor": "0.30", "gate_rel_margin": "0.10", "gate_calibrated": "true", "prefixes_present": "false", "built_by": "lorekeep", "schema_version": "2", "vec_format_version": "v1"}
+    rows = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("k"), F.lit(v).alias("v")) for n, v in values.items()])))
+    return table(s, d, "documents").select(F.col("source").alias("pack_id")).distinct().select("pack_id", rows.alias("key", "value"))
+
+
+def _good(s, d):
+    """Pages with slugs of their own, without those that no pack takes, and their chunks."""
+    every, c = docs(s, d).withColumn("slug", F.concat(F.lit("Page "), F.col("doc_id").cast("string"))), chunks(s, d)
+    good = every.join(P.build_problems(every, c).select("doc_id"), "doc_id", "left_anti")
+    return good, c.join(good.select("doc_id"), "doc_id", "left_semi")
+
+
+def _store(s, d) -> PackStore:
+    """A store with every pack of the documents by source, built by the first query of a session that asks."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _STORES:
+        store = PackStore(s, new_path(s, "packs"))
+        store.build(*_good(s, d), _good_manifests(s, d))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+_STORES: dict[tuple[str, str], PackStore] = {}
+
+
 def _mounted(s, d):
-    """Packs that load, with what their supplier's parts count."""
-    ok = _load(s, d).where("problem is null").select(F.col("pack").alias("l_suppkey"))
-    return table(s, d, "lineitem").join(ok, "l_suppkey", "left_semi").groupBy("l_suppkey").agg(F.count("*").alias("chunks"))
+    """Chunks of mounted packs in a range of documents, read through the data source."""
+    return _store(s, d).read("chunks", embedders=["ABCD"]).where("doc_id >= 50 and pack_id is not null").select("pack_id", "chunk_id", "section_path", "content_sha")
+
+
+def _sink(s, d):
+    """A store is built; a build with an empty title fails and changes nothing; then every tenth document comes back in one chunk. What is read afterwards."""
+    store = PackStore(s, new_path(s, "packs"))
+    good, c = _good(s, d)
+    store.build(good, c, _good_manifests(s, d))
+    try:
+        store.build(good.withColumn("title", F.when(F.col("doc_id") % 3 != 0, F.col("title")).otherwise("")), c, _good_manifests(s, d))
+        raise AssertionError("a build with empty titles was published")
+    except BuildError:
+        pass
+    again = good.where("doc_id % 10 = 0").withColumn("title", F.concat(F.lit("New "), "title"))
+    one = again.select("doc_id", (F.col("doc_id") * 1_000_000).alias("chunk_id"), F.lit("S0").alias("section_path"), F.lit("L1").alias("locator"), F.col("slug").alias("text"))
+    store.upsert(again, one, _good_manifests(s, d))
+    store.vacuum()
+    return store.read("chunks").join(store.read("docs").select("pack_id", "doc_id", "title"), ["pack_id", "doc_id"]).select("pack_id", "doc_id", "title", "chunk_id", "content_sha")
+
+
+def _built(s, d):
+    tokens = _store(s, d).read("chunks").groupBy("pack_id").agg(F.sum(T.count_words(F.col("text"))).alias("tokens"))
+    return _store(s, d).catalog().join(tokens, "pack_id").select("pack_id", "docs", "chunks", "tokens", "content_sha256")
 
 
 def _titles(s, d):
@@ -211,16 +262,17 @@ QUERIES = {
     "src_chunks_for_doc": lambda s, d: P.chunks_of(_keys(s, d), chunks(s, d)).select("doc_id", "chunk_id", "position", "section_path"),
     "src_titles": _titles,
     "src_pack": _mounted,
-    "sink_pack": _upsert,
+    "sink_pack": _sink,
+    "upsert_latest": _upsert,
     "chk_manifest_typed": lambda s, d: _manifests(s, d).select("pack", "error"),
     "chk_load": _load,
     "chk_fake_absent": _fakes,
     "build_title_entry": _entries,
     "build_lexical_pack": lambda s, d: P.build_problems(docs(s, d), chunks(s, d)),
-    "build_pack": lambda s, d: docs(s, d).join(chunks(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(T.count_words(F.col("text"))).alias("w")), "doc_id", "left").groupBy("pack_id").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("w"), F.lit(0)).alias("tokens")),
+    "build_pack": _built,
     "build_reference": _rebuilt,
     "fn_content_sha": lambda s, d: _hashed(s, d).select("chunk_id", "content_sha"),
-    "fn_pack_sha": lambda s, d: P.pack_shas(_hashed(s, d), "doc_id"),
+    "fn_pack_sha": lambda s, d: P.pack_shas(_hashed(s, d).join(docs(s, d).select("doc_id", "pack_id"), "doc_id"), "pack_id"),
     "topk_fts_in_doc": lambda s, d: P.ranked_in_docs(_asked(s, d), chunks(s, d)),
     "select_page_chunks": lambda s, d: P.page_chunks(_asked(s, d), chunks(s, d)),
     "found_empty_is_notfound": lambda s, d: P.found_or_not(_outcomes(s, d), chunks(s, d).where("doc_id % 6 <> 3")).select("query", "outcome", "doc_id"),
@@ -237,28 +289,33 @@ _ENTRY_V = "[upper(title), ' the ' || title, 'The  ' || title, ' ', pack_id || '
 _ENTRIES = f"""e AS (SELECT *, {norm_sql('title')} AS normalised_title, {_SLUG} AS slug2, {_ENTRY_V} AS v FROM ({_DOCS})),
 n AS (SELECT *, list_transform(v, lambda x: {norm_sql('x')}) AS n FROM e)"""
 
+_GOOD = f"""ck AS ({_CHUNKS}), gd AS (SELECT * FROM ({_DOCS}) WHERE trim(title) <> '' AND doc_id IN (SELECT doc_id FROM ck)),
+gc AS (SELECT pack_id, doc_id, title, chunk_id, section_path, text, {_SHA} AS sha FROM ck JOIN gd USING (doc_id))"""
+
 ORACLE_SQL = {
     "src_point_doc": f"SELECT k.doc_id, title FROM ({_KEYS}) k LEFT JOIN ({_DOCS}) USING (doc_id)",
     "src_point_chunk": f"SELECT k.doc_id * 1000000 + 1 AS chunk_id, locator FROM ({_KEYS}) k LEFT JOIN ({_CHUNKS}) c ON c.chunk_id = k.doc_id * 1000000 + 1",
     "src_point_vec": f"SELECT k.doc_id AS vec_id, len(embedding)::INTEGER AS dims FROM ({_KEYS}) k LEFT JOIN embeddings ON vec_id = k.doc_id",
     "src_chunks_for_doc": f"SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id)::INTEGER AS position, section_path FROM ({_CHUNKS}) WHERE doc_id IN ({_KEYS})",
     "src_titles": "SELECT p_partkey, p_name, p_partkey % 7 < 2 AS malformed, CASE WHEN p_partkey % 7 > 2 THEN p_type || '|' || p_brand END AS variants FROM part",
-    "src_pack": f"SELECT l_suppkey, count(*) AS chunks FROM lineitem WHERE l_suppkey IN (SELECT k FROM (SELECT s_suppkey AS k FROM supplier) WHERE {_PROBLEM} IS NULL) GROUP BY 1",
-    "sink_pack": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
+    "src_pack": f"WITH {_GOOD} SELECT pack_id, chunk_id, section_path, sha AS content_sha FROM gc WHERE doc_id >= 50",
+    "sink_pack": f"""WITH {_GOOD}, up AS (SELECT pack_id, doc_id, 'New ' || title AS title, doc_id * 1000000 AS chunk_id, 'S0' AS section_path, 'L1' AS locator, 'Page ' || doc_id AS text FROM gd WHERE doc_id % 10 = 0)
+SELECT pack_id, doc_id, title, chunk_id, sha AS content_sha FROM gc WHERE doc_id % 10 <> 0 UNION ALL SELECT pack_id, doc_id, title, chunk_id, {_SHA} FROM up""",
+    "upsert_latest": "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2",
     "chk_manifest_typed": f"SELECT k AS pack, {_ERROR} AS error FROM (SELECT s_suppkey AS k FROM supplier)",
     "chk_load": f"SELECT k AS pack, {_PROBLEM} AS problem FROM (SELECT s_suppkey AS k FROM supplier)",
     "chk_fake_absent": f"""WITH n AS (SELECT DISTINCT name, {norm_sql('name')} AS n FROM (SELECT unnest(string_split(text, ' ')[2:4]) AS name FROM benchmark UNION SELECT p_name FROM part)),
 t AS (SELECT conv_id * 1000 + turn AS chunk_id, {norm_sql('text')} AS t FROM conversations)
 SELECT DISTINCT name, chunk_id FROM n JOIN t ON contains(' ' || t || ' ', ' ' || n || ' ') WHERE n <> ''""",
     "build_title_entry": f"""WITH {_ENTRIES} SELECT doc_id, title, normalised_title, slug2 AS slug, coalesce(array_to_string(list_filter(list_transform(v, lambda x: trim(x)), lambda x, i: n[i] <> '' AND n[i] <> normalised_title AND list_position(n, n[i]) = i), '|'), '') AS variants FROM n""",
-    "build_lexical_pack": f"""WITH t AS (SELECT *, {_SLUG} AS s FROM ({_DOCS})), m AS (SELECT *, count(*) OVER (PARTITION BY s) AS same FROM t)
+    "build_lexical_pack": f"""WITH t AS (SELECT *, {_SLUG} AS s FROM ({_DOCS})), m AS (SELECT *, count(*) OVER (PARTITION BY pack_id, s) AS same FROM t)
 SELECT * FROM (SELECT doc_id, CASE WHEN trim(title) = '' THEN 'empty title' WHEN coalesce(s, '') = '' THEN 'empty slug' WHEN same > 1 THEN 'repeated slug' WHEN doc_id NOT IN (SELECT doc_id FROM ({_CHUNKS})) THEN 'no chunk' END AS problem FROM m) WHERE problem IS NOT NULL""",
-    "build_pack": f"""WITH c AS (SELECT doc_id, count(*) AS n, sum(len(list_filter(string_split(regexp_replace(text, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g'), ' '), lambda x: x <> '')))::BIGINT AS w FROM ({_CHUNKS}) GROUP BY 1)
-SELECT pack_id, count(*) AS docs, coalesce(sum(n), 0)::BIGINT AS chunks, coalesce(sum(w), 0)::BIGINT AS tokens FROM ({_DOCS}) LEFT JOIN c USING (doc_id) GROUP BY 1""",
+    "build_pack": f"""WITH {_GOOD}, h AS (SELECT pack_id, count(*) AS chunks, sum(len(list_filter(string_split(regexp_replace(text, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g'), ' '), lambda x: x <> '')))::BIGINT AS tokens, sha256(string_agg(sha || chr(10), '' ORDER BY chunk_id)) AS content_sha256 FROM gc GROUP BY 1)
+SELECT pack_id, (SELECT count(*) FROM gd WHERE gd.pack_id = h.pack_id) AS docs, chunks, tokens, content_sha256 FROM h""",
     "build_reference": f"""SELECT chunk_id, CASE WHEN doc_id % 7 = 3 THEN 'missing' WHEN doc_id % 13 = 1 THEN 'added' ELSE 'changed' END AS problem FROM ({_CHUNKS})
 WHERE (doc_id % 7 = 3) <> (doc_id % 13 = 1) OR (doc_id % 11 = 5 AND doc_id % 7 <> 3 AND doc_id % 13 <> 1)""",
     "fn_content_sha": f"SELECT chunk_id, {_SHA} AS content_sha FROM ({_CHUNKS}) JOIN ({_DOCS}) USING (doc_id)",
-    "fn_pack_sha": f"SELECT doc_id, count(*) AS chunks, sha256(string_agg(sha || chr(10), '' ORDER BY chunk_id)) AS content_sha256 FROM (SELECT doc_id, chunk_id, {_SHA} AS sha FROM ({_CHUNKS}) JOIN ({_DOCS}) USING (doc_id)) GROUP BY 1",
+    "fn_pack_sha": f"SELECT pack_id, count(*) AS chunks, sha256(string_agg(sha || chr(10), '' ORDER BY chunk_id)) AS content_sha256 FROM (SELECT pack_id, chunk_id, {_SHA} AS sha FROM ({_CHUNKS}) JOIN ({_DOCS}) USING (doc_id)) GROUP BY 1",
     "topk_fts_in_doc": f"WITH {_IN_DOC} SELECT * FROM rk",
     "select_page_chunks": f"WITH {_PLACES} SELECT query, doc_id, place, chunk_id FROM pl WHERE place <= 3",
     "found_empty_is_notfound": f"""SELECT query, CASE WHEN outcome = 'found' AND doc_id NOT IN (SELECT doc_id FROM ({_CHUNKS}) WHERE doc_id % 6 <> 3) THEN 'not_found' ELSE outcome END AS outcome,

@@ -42,3 +42,12 @@ def discard(*tables: DataFrame) -> None:
     """Removes tables of written() that nothing later reads."""
     for df in tables:
         remove(df.sparkSession, df._written_path)
+
+
+def folder(path: str):
+    """File system and path for tasks that read or write files themselves."""
+    import re
+
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path if re.match(r"[a-z0-9]+:", path) else f"file://{path}")
