@@ -1,7 +1,7 @@
 """Chunks of documents: windows of whole sentences with an overlap, tables by rows under their header, code whole, and small neighbours merged.
 
 Sentences, counts and texts are JVM expressions; only where a window ends depends on the windows before it, and that one number run is found on Arrow batches. Tokens are words by
-white space; the count of a joined text is then the sum of its parts."""
+white space or pieces of a vocabulary; the count of a joined text is the sum of its parts, and what frames it."""
 
 from __future__ import annotations
 
@@ -106,33 +106,55 @@ def pieces(text: Column, ceiling: int = CEILING) -> Column:
     return F.when(F.size(words) <= ceiling, F.array(text)).otherwise(cut)
 
 
-def paragraph_chunks(text: Column, target: int = TARGET, overlap: int = OVERLAP, ceiling: int = CEILING) -> Column:
+class Words:
+    """The counter that needs no vocabulary: words by white space, in the JVM. Others have the same three members (see functions.wordpiece)."""
+
+    extra = 0
+
+    def counts(self, texts: Column) -> Column:
+        return F.transform(texts, lambda x: T.count_words(x))
+
+    def pieces(self, texts: Column, ceiling: int) -> Column:
+        return F.transform(texts, lambda t: F.transform(pieces(t, ceiling), lambda p: F.struct(p.alias("text"), T.count_words(p).alias("tokens"))))
+
+
+WORDS = Words()
+
+
+def drafts(joined: Column, ceiling: int, counter: Words, most: int | None = None) -> Column:
+    """(text, tokens, oversize) of texts that are cut where they pass the ceiling; oversize if one has more than `most`."""
+    cut = counter.pieces(joined, ceiling)
+    large = F.transform(counter.counts(joined), lambda n: n + counter.extra > most) if most is not None else F.transform(joined, lambda t: F.lit(False))
+    return F.flatten(F.zip_with(cut, large, lambda ps, o: F.transform(ps, lambda p: F.struct(p["text"].alias("text"), p["tokens"].alias("tokens"), o.alias("oversize")))))
+
+
+def paragraph_chunks(text: Column, target: int = TARGET, overlap: int = OVERLAP, ceiling: int = CEILING, counter: Words = WORDS) -> Column:
     """Array of (text, tokens, oversize): windows of sentences; a sentence over the target is one chunk, over the ceiling several."""
     s = L.split_sentences(text)
-    spans = windows(F.transform(s, lambda x: T.count_words(x)), min(target, ceiling), overlap)
+    most = min(target, ceiling)
+    spans = windows(counter.counts(s), most - counter.extra, overlap)
     joined = F.transform(spans, lambda w: F.array_join(F.slice(s, w["a"] + 1, w["b"] - w["a"]), " "))
-    each = F.transform(joined, lambda t: F.transform(pieces(t, ceiling), lambda p: F.struct(p.alias("text"), T.count_words(p).alias("tokens"), (T.count_words(t) > min(target, ceiling)).alias("oversize"))))
-    return F.flatten(each)
+    return drafts(joined, ceiling, counter, most)
 
 
-def table_chunks(header: Column, rows: Column, target: int = TARGET, ceiling: int = CEILING) -> Column:
+def table_chunks(header: Column, rows: Column, target: int = TARGET, ceiling: int = CEILING, counter: Words = WORDS) -> Column:
     """Array of (text, tokens, oversize): rows as "name: value | ..." under the header line, which every chunk repeats."""
     lines = F.transform(rows, lambda r: F.array_join(F.transform(F.slice(r, F.lit(1), F.least(F.size(header), F.size(r))), lambda v, i: F.concat(F.get(header, i), F.lit(": "), v)), " | "))
     head = F.array_join(header, " | ")
-    spans = row_groups(F.transform(lines, lambda x: T.count_words(x)), T.count_words(head), target)
+    spans = row_groups(counter.counts(lines), F.get(counter.counts(F.array(head)), 0), target - counter.extra)
     joined = F.transform(spans, lambda w: F.concat(head, F.lit("\n"), F.array_join(F.slice(lines, w["a"] + 1, w["b"] - w["a"]), "\n")))
-    return F.flatten(F.transform(joined, lambda t: F.transform(pieces(t, ceiling), lambda p: F.struct(p.alias("text"), T.count_words(p).alias("tokens"), F.lit(False).alias("oversize")))))
+    return drafts(joined, ceiling, counter)
 
 
-def code_chunks(text: Column, ceiling: int = CEILING) -> Column:
-    return F.transform(pieces(text, ceiling), lambda p: F.struct(p.alias("text"), T.count_words(p).alias("tokens"), F.lit(False).alias("oversize")))
+def code_chunks(text: Column, ceiling: int = CEILING, counter: Words = WORDS) -> Column:
+    return drafts(F.array(text), ceiling, counter)
 
 
-def chunk_blocks(blocks: DataFrame, target: int = TARGET, overlap: int = OVERLAP, ceiling: int = CEILING) -> DataFrame:
+def chunk_blocks(blocks: DataFrame, target: int = TARGET, overlap: int = OVERLAP, ceiling: int = CEILING, counter: Words = WORDS) -> DataFrame:
     """doc_id, block, part, section_path, kind, locator, text, tokens, oversize: the drafts of each block of markdown_blocks(). Blocks are cut one by one: no shuffle, and no chunk crosses a section."""
-    some = F.when(F.col("kind") == "code", code_chunks(F.col("text"), ceiling)).when(F.col("kind") != "table", paragraph_chunks(F.col("text"), target, overlap, ceiling))
-    drafts = F.coalesce(some, table_chunks(F.coalesce("header", F.array().cast("array<string>")), F.coalesce("rows", F.array().cast("array<array<string>>")), target, ceiling))
-    b = blocks.select("doc_id", "block", "section_path", "kind", "first_line", "last_line", F.posexplode(drafts).alias("part", "c"))
+    some = F.when(F.col("kind") == "code", code_chunks(F.col("text"), ceiling, counter)).when(F.col("kind") != "table", paragraph_chunks(F.col("text"), target, overlap, ceiling, counter))
+    every = F.coalesce(some, table_chunks(F.coalesce("header", F.array().cast("array<string>")), F.coalesce("rows", F.array().cast("array<array<string>>")), target, ceiling, counter))
+    b = blocks.select("doc_id", "block", "section_path", "kind", "first_line", "last_line", F.posexplode(every).alias("part", "c"))
     return b.select("doc_id", "block", "part", "section_path", "kind", "first_line", "last_line", locator(F.col("first_line"), F.col("last_line")).alias("locator"), "c.text", "c.tokens", "c.oversize")
 
 

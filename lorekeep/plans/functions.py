@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import language as L
 from lorekeep.functions import text as T
+from lorekeep.functions.wordpiece import CONTROL, WordPieces
 from lorekeep.operators import scoring as S
 from lorekeep.plans import replies as RP
 from lorekeep.plans.packs import norm_sql
@@ -197,6 +198,15 @@ def _guard_sentences(s, d):
     return _replies(s, d, x=L.split_lines_and_sentences(t)).select("reply_id", F.posexplode("x").alias("pos", "sentence"))
 
 
+def _vocabulary(s, d) -> list[str]:
+    """A vocabulary of the benchmark's letters: what words start with, up to three letters, and what goes on inside them, up to two. It has some 19,000 pieces at most, whatever the table's size."""
+    w = table(s, d, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("w")).distinct()
+    starts = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substr("w", F.lit(1), k))
+    inside = F.flatten(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("w"))), lambda i: F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.concat(F.lit("##"), F.substr("w", i, k)))))
+    found = w.select(F.explode(F.array_union(starts, inside)).alias("p")).where("p <> '##'").distinct().collect()
+    return [*CONTROL, *sorted(r["p"] for r in found)]
+
+
 QUERIES = {
     "fn_population_tail": lambda s, d: _part_names(s, d).select("p_partkey", T.population_tail(F.col("name")).alias("scope")),
     "fn_strip_parens": lambda s, d: _part_names(s, d).select("p_partkey", T.strip_parens(F.col("name")).alias("bare"), F.array_join(T.parens(F.col("name")), "|").alias("inside")),
@@ -207,7 +217,8 @@ QUERIES = {
     "fn_split_reasoning": _thinking,
     "fn_tool_calls": _calls,
     "fn_sanitize": _clean,
-    "fn_wordpiece_count": lambda s, d: table(s, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("tokens")),
+    "fn_count_words": lambda s, d: table(s, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("tokens")),
+    "fn_wordpiece_count": lambda s, d: table(s, d, "documents").select("doc_id", WordPieces(_vocabulary(s, d)).count(F.coalesce("text", F.lit(""))).alias("tokens")),
     "fn_citations_in": _citations,
     "fn_normalise_dose": lambda s, d: _doses(s, d).select("c_custkey", "normalised"),
     "fn_dose_tokens": lambda s, d: _doses(s, d).select("c_custkey", "doses"),
@@ -252,7 +263,15 @@ ORACLE_SQL = {
 CASE turn % 4 WHEN 3 THEN 'truncated' WHEN 2 THEN 'thinking_only' ELSE CASE WHEN trim(t) <> '' THEN 'ok' WHEN turn % 4 = 0 THEN 'thinking_only' ELSE 'empty' END END AS state FROM (SELECT *, substr(coalesce(text, ''), 1, 30) AS t FROM conversations)""",
     "fn_tool_calls": "SELECT conv_id, turn, 'calc' || k % 3 || CASE WHEN k % 4 < 2 THEN '|?' ELSE '' END AS names FROM (SELECT *, conv_id * 31 + turn AS k FROM conversations)",
     "fn_sanitize": f"SELECT c_custkey, CASE WHEN regexp_full_match(r, '[A-Za-z0-9_-]+') THEN r END AS segment, CASE WHEN regexp_full_match(r, '[A-Za-z0-9_-][A-Za-z0-9._-]{{0,127}}') THEN r END AS pack_id, lower(trim(' ' || r || '@X.org ')) AS email FROM (SELECT *, {_RAW} AS r FROM customer)",
-    "fn_wordpiece_count": r"SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{85}\x0B]+', ' ', 'g'), ' '), lambda w: w <> ''))::INTEGER AS tokens FROM documents",
+    "fn_count_words": r"SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{85}\x0B]+', ' ', 'g'), ' '), lambda w: w <> ''))::INTEGER AS tokens FROM documents",
+    "fn_wordpiece_count": r"""WITH RECURSIVE bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+st AS (SELECT DISTINCT substr(w, 1, k) AS p FROM bw, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= length(w)), ct AS (SELECT DISTINCT substr(w, i, k) AS p FROM (SELECT w, unnest(range(2, length(w) + 1)) AS i FROM bw), (SELECT unnest([1, 2]) AS k) WHERE i + k - 1 <= length(w)),
+dw AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[!-/:-@\[-`{-~]|\p{P}|[^\s\p{Z}!-/:-@\[-`{-~\p{P}]+')) AS w FROM documents),
+m AS (SELECT DISTINCT w, 1::BIGINT AS pos, 0 AS n FROM dw
+  UNION ALL SELECT w, pos + k, n + 1 FROM (SELECT w, pos, n, CASE WHEN pos = 1 THEN CASE WHEN length(w) >= 3 AND substr(w, 1, 3) IN (SELECT p FROM st) THEN 3 WHEN length(w) >= 2 AND substr(w, 1, 2) IN (SELECT p FROM st) THEN 2 WHEN substr(w, 1, 1) IN (SELECT p FROM st) THEN 1 END
+    WHEN pos < length(w) AND substr(w, pos, 2) IN (SELECT p FROM ct) THEN 2 WHEN substr(w, pos, 1) IN (SELECT p FROM ct) THEN 1 END AS k FROM m WHERE pos <= length(w)) WHERE k IS NOT NULL),
+c AS (SELECT w, coalesce(max(n) FILTER (WHERE pos > length(w)), 1) AS n FROM m GROUP BY w)
+SELECT doc_id, (coalesce(sum(n), 0) + 2)::INTEGER AS tokens FROM documents LEFT JOIN dw USING (doc_id) LEFT JOIN c USING (w) GROUP BY doc_id""",
     "fn_citations_in": rf"""WITH b AS (SELECT reply_id, regexp_extract_all(text || CASE WHEN reply_id % 3 = 0 THEN ' [see 4]' ELSE ' [12,3]' END, '\[([^\]\n]*)\]', 1) AS l FROM ({RP._REPLIES}))
 SELECT reply_id, array_to_string(list_transform(flatten(list_transform(list_filter(l, lambda x: regexp_matches(x, '^\s*\d+\s*(,\s*\d+\s*)*$')), lambda x: string_split(x, ','))), lambda x: trim(x)), ',') AS cited, len(list_filter(l, lambda x: regexp_matches(x, '\d') AND NOT regexp_matches(x, '^\s*\d+\s*(,\s*\d+\s*)*$'))) > 0 AS malformed FROM b""",
     "fn_normalise_dose": f"SELECT c_custkey, {_dose_sql()} AS normalised FROM customer",
