@@ -1,15 +1,11 @@
-"""Sentences, doses, formulas, tagged transcriptions and arithmetic. JVM expressions but for two small helpers on Arrow batches (arithmetic, alignment)."""
+"""Sentences, doses, formulas and tagged transcriptions. JVM expressions but for a small helper on Arrow batches (alignment)."""
 
 from __future__ import annotations
 
-import ast
-import math
-import operator
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Words whose full stop ends no sentence (fixed values).
 ABBREVIATIONS = "mr mrs ms dr prof fig figs eq no vol ch sec pp al vs cf eg ie etc st jr sr".split()
@@ -85,54 +81,6 @@ def doctags(text: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(F.when(latex(b), "latex").otherwise("text").alias("kind"), content(b).alias("content")))
 
 
-_OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.BitXor: operator.pow, ast.Pow: operator.pow}
-_CALLS = {"sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.tan, "log": math.log10, "ln": math.log, "abs": abs, "round": round}
-_NAMES = {"pi": math.pi, "e": math.e}
-LONGEST, DEEPEST = 500, 32
-
-
-def _value(node: ast.expr, depth: int = 0) -> float:
-    if depth > DEEPEST:
-        raise ValueError("depth")
-    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return float(node.value)
-    if isinstance(node, ast.Name) and node.id in _NAMES:
-        return _NAMES[node.id]
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-        return -_value(node.operand, depth + 1)
-    if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
-        return float(_OPERATORS[type(node.op)](_value(node.left, depth + 1), _value(node.right, depth + 1)))
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _CALLS and len(node.args) == 1 and not node.keywords:
-        return float(_CALLS[node.func.id](_value(node.args[0], depth + 1)))
-    raise ValueError("syntax")
-
-
-def calculate(expression: str | None) -> tuple[float | None, str | None]:
-    """The value of an arithmetic expression (^ is power), or why there is none: empty, long, syntax, depth, division, domain, overflow."""
-    text = (expression or "").strip()
-    if not text:
-        return None, "empty"
-    if len(text.encode()) > LONGEST:
-        return None, "long"
-    try:
-        value = _value(ast.parse(text.replace("^", "**"), mode="eval").body)
-    except (SyntaxError, RecursionError, MemoryError):
-        return None, "syntax"
-    except ZeroDivisionError:
-        return None, "division"
-    except OverflowError:
-        return None, "overflow"
-    except (ValueError, TypeError) as e:
-        return None, str(e) if str(e) in ("depth", "syntax") else "domain"
-    return (value, None) if math.isfinite(value) else (None, "overflow")
-
-
-@F.arrow_udf(StructType([StructField("value", DoubleType()), StructField("error", StringType())]))
-def calc(expressions: pa.Array) -> pa.Array:
-    got = [calculate(x) for x in expressions.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([v for v, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], ["value", "error"])
-
-
 def align(a: str, b: str) -> tuple[int, list[str]]:
     """Least number of edits from a to b, and the pairs that one such alignment substitutes, from the left."""
     rows = [list(range(len(b) + 1))]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import language as L
 from lorekeep.functions import text as T
+from lorekeep.functions.calc import calc
 from lorekeep.functions.wordpiece import CONTROL, WordPieces
 from lorekeep.operators import scoring as S
 from lorekeep.plans import replies as RP
@@ -126,11 +127,13 @@ def _doctags(s, d):
 
 
 def _calc(s, d):
-    """Sums, powers, calls, division by zero and nonsense."""
+    """Forms of arithmetic over each customer's numbers and balance: sums, powers, signs, calls, halves, degrees, leading zeros, and what has no value."""
     k = F.col("c_custkey")
-    x, y = (k % 9).cast("string"), (k % 4).cast("string")
-    text = F.when(k % 6 == 0, F.concat(x, F.lit(" + "), y, F.lit(" * 2"))).when(k % 6 == 1, F.concat(F.lit("-2^"), y)).when(k % 6 == 2, F.concat(x, F.lit(" / "), y)).when(k % 6 == 3, F.concat(F.lit("sqrt("), x, F.lit(" * "), x, F.lit(") - (1 - 3)"))).when(k % 6 == 4, F.concat(x, F.lit(" +* 2"))).otherwise(F.lit("  "))
-    return table(s, d, "customer").select("c_custkey", L.calc(text).alias("r")).select("c_custkey", F.round("r.value", 9).alias("value"), "r.error")
+    x, y, z = (k % 9).cast("string"), (k % 4).cast("string"), F.format_string("%.2f", "c_acctbal")
+    forms = [(x, " + ", y, " * 2"), ("-2^", y), (x, " / ", y), ("sqrt(", x, " * ", x, ") - (1 - 3)"), (x, " +* 2"), ("  ",), ("round(", z, ") + round(-", y, ".5)"), ("abs(", z, ") * 00", x), (x, " deg * 180 / pi"), (x, ",000"), (x, "e3"), ("2**", y), ("0x1", x), (x, "_000"), (x, " # note"), ("ln(", y, ")"),
+             ("cosine(", y, ")"), (z, " - -", z), ("2^-", y, "^2"), ("(" * 12, x, ")" * 12), ("(" * 32, x, ")" * 32), (x, "^", y, "^2")]
+    text = F.element_at(F.array(*[F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in f]) for f in forms]), (k % len(forms) + 1).cast("int"))
+    return table(s, d, "customer").select("c_custkey", calc(text).alias("r")).select("c_custkey", F.round("r.value", 9).alias("value"), "r.error")
 
 
 def _align(s, d):
@@ -278,8 +281,10 @@ SELECT reply_id, array_to_string(list_transform(flatten(list_transform(list_filt
     "fn_dose_tokens": rf"SELECT c_custkey, array_to_string(regexp_extract_all(n, '[0-9]+(?:\.[0-9]+)? (?:{'|'.join(L.UNITS.values())})'), '|') AS doses FROM (SELECT c_custkey, {_dose_sql()} AS n FROM customer)",
     "fn_latex_normalise": f"SELECT c_custkey, {_latex_sql(_F)} AS normalised FROM customer",
     "fn_doctags": rf"SELECT c_custkey, 0 AS pos, 'text' AS kind, trim(c_name) AS content FROM customer UNION ALL SELECT c_custkey, 1, 'latex', trim({_F}) FROM customer UNION ALL SELECT c_custkey, 2, 'latex', 'see \pi here' FROM customer WHERE c_custkey % 3 = 0",
-    "fn_calc": """SELECT c_custkey, CASE k % 6 WHEN 0 THEN x + y * 2 WHEN 1 THEN -(2 ** y) WHEN 2 THEN CASE WHEN y > 0 THEN round(x / y, 9) END WHEN 3 THEN x + 2 END::DOUBLE AS value, CASE k % 6 WHEN 2 THEN CASE WHEN y = 0 THEN 'division' END WHEN 4 THEN 'syntax' WHEN 5 THEN 'empty' END AS error
-FROM (SELECT c_custkey, c_custkey AS k, c_custkey % 9 AS x, c_custkey % 4 AS y FROM customer)""",
+    "fn_calc": """SELECT c_custkey, round(CASE f WHEN 0 THEN x + y * 2 WHEN 1 THEN -(2 ** y) WHEN 2 THEN CASE WHEN y > 0 THEN x / y END WHEN 3 THEN x + 2 WHEN 6 THEN round(z) - (y + 1) WHEN 7 THEN abs(z) * x WHEN 8 THEN x WHEN 15 THEN CASE WHEN y > 0 THEN ln(y) END WHEN 17 THEN z + z
+  WHEN 18 THEN 2 ** -(y ** 2) WHEN 19 THEN x WHEN 21 THEN x ** (y ** 2) END::DOUBLE, 9) AS value,
+  CASE WHEN f = 2 AND y = 0 THEN 'division' WHEN f = 5 THEN 'empty' WHEN f = 9 THEN 'thousands' WHEN f = 15 AND y = 0 THEN 'domain' WHEN f = 16 THEN 'name' WHEN f = 20 THEN 'depth' WHEN f = 17 AND z < 0 THEN NULL WHEN f IN (4, 10, 11, 12, 13, 14) THEN 'syntax' END AS error
+FROM (SELECT c_custkey, c_custkey % 22 AS f, (c_custkey % 9)::DOUBLE AS x, (c_custkey % 4)::DOUBLE AS y, printf('%.2f', c_acctbal)::DOUBLE AS z FROM customer)""",
     "fn_levenshtein_align": "SELECT p_partkey, levenshtein(p_type, p_brand || substr(p_type, 3, 9))::INTEGER AS distance, true AS fits FROM part",
     "fn_confidence": """SELECT user_id, round(coalesce(exp(avg(lp)), 0), 6) AS confidence, round(min(CASE WHEN event_id % 5 = 0 THEN exp(lp) END), 6) AS least_operator FROM (SELECT *, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 AND value >= 0 THEN -value / 1000 END AS lp FROM events) GROUP BY user_id""",
     "fn_split_sentences": f"SELECT doc_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {_sent_sql("'Dr. No saw fig. 3 of the U.S. plan, e.g. this. ' || coalesce(text, '')")} AS l FROM documents)",

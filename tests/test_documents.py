@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import language as L
+from lorekeep.functions.calc import calculate, shown
 from lorekeep.functions import text as T
 from lorekeep.operators import chunking as C
 from lorekeep.operators import display, packs
@@ -181,12 +182,18 @@ def test_html_tables_and_locators(spark):
     assert got == [("Head", "p", "a b", "#s"), ("Head", "table", "k | v\nk: 1 | v: 2 3", "#s"), ("Head", "text", "loose", "#s"), ("Head > Sub", "li", "item", "b4")]
 
 
-@pytest.mark.parametrize("text,want", [("2 + 3 * 4", 14.0), ("2 ^ 3 ^ 2", 512.0), ("-2^2", -4.0), ("sqrt(16) - abs(-1)", 3.0), ("1/0", "division"), ("", "empty"), ("2 +", "syntax"), ("__import__('os')", "syntax"), ("sqrt(-1)", "domain"), ("9^999", "overflow"), ("1" * 600, "long"), ("(" * 40 + "1" + ")" * 40, 1.0), ("-" * 40 + "1", "depth")])
+@pytest.mark.parametrize("text,want", [("2 + 3 * 4", 14.0), ("2 ^ 3 ^ 2", 512.0), ("-2^2", -4.0), ("sqrt(16) - abs(-1)", 3.0), ("1/0", "division"), ("", "empty"), ("2 +", "syntax"), ("__import__('os')", "syntax"), ("sqrt(-1)", "domain"), ("9^999", "overflow"), ("1" * 600, "long"), ("(" * 40 + "1" + ")" * 40, "depth"), ("(" * 31 + "1" + ")" * 31, 1.0), ("-" * 40 + "1", "depth"),
+    ("round(2.5)", 3.0), ("round(0.5) + round(-0.5)", 0.0), ("round(0.49999999999999994)", 0.0), ("90 deg", 1.5707963267948966), ("2 * (40 + 5) deg", 1.5707963267948966), ("deg 3", "syntax"), ("3 deg deg", "syntax"), ("007", 7.0), ("2**3", "syntax"), ("0x10", "syntax"), ("1_000", "syntax"), ("1e3", "syntax"), ("1 # c", "syntax"),
+    ("1,000", "thousands"), ("+1", "syntax"), ("2*-3 + 1", -5.0), ("2^-3^2", 2.0**-9), ("--2", 2.0), ("foo(1)", "name"), ("sin", "name"), ("sin 3", "name"), ("ln(0)", "domain"), ("(-8)^0.5", "domain"), ("0^-1", "overflow"), ("1..2", "syntax"), (".5 + 5.", 5.5), ("()", "syntax"), ("(1", "syntax"), ("1)", "syntax"), ("1 2", "syntax"), ("sqrt(abs(-16))", 4.0), ("10-2-3", 5.0), ("e^0", 1.0), (None, "empty"), ("sqrt()", "syntax"), ("2 pi", "syntax")])
 def test_calculate(text, want):
-    value, error = L.calculate(text)
+    value, error = calculate(text)
     assert (value if error is None else error) == want
 
 
+def test_display():
+    assert [shown(x) for x in (0.1 + 0.2, -0.0, 1e21, 123456789012345.0, 1 / 3, 2.50, -7.0)] == ["0.3", "0", "1000000000000000000000", "123456789012000", "0.333333333333", "2.5", "-7"]
+
+
 def test_json_strings(spark):
     import json
 
