@@ -26,6 +26,12 @@ from .common import id_text, slices
 KEEP = 400_000
 
 
+#: Characters that have had one class, one lower case and one place in canonical order since old versions of Unicode, as inclusive ranges (fixed values). Texts and pieces of others are normalised and cut by the
+#: library's own components, whose Unicode version counts, not this interpreter's.
+STEADY = "\x00-\u0377\u0384-\u038a\u038c\u038e-\u03a1\u03a3-\u052f\u0531-\u0556\u0561-\u0587\u0591-\u05c7\u05d0-\u05ea\u0621-\u06ff\u0901-\u0939\u093c-\u094d\u0e01-\u0e3a\u1e00-\u1eff\u2000-\u2064\u2070\u2074-\u208e\u20a0-\u20bf\u2100-\u218b\u2190-\u23ff\u2460-\u27ff\u3000-\u303f\u3041-\u3096\u3099-\u30ff\u4e00-\u9fcc\uac00-\ud7a3\ufb00-\ufb06\uff01-\uffbe\ufffd\U0001f300-\U0001f64f\U0001f680-\U0001f6c5"
+ODD = re.compile(f"[^{STEADY}]")
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,6 +44,7 @@ class WordBpe:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -58,7 +65,9 @@ class WordBpe:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + self.end] for s in symbols]
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.pattern = regex.compile(pattern)
+        self.normalizer, self.split = Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.space = regex.compile(r"[\x09-\x0D\x20\x85\xA0  -     　]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.ids: dict[str, bytes] = {}
@@ -125,7 +134,7 @@ class WordBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Puts pieces (texts without white space) into the memory."""
-        split = {p: self.pattern.findall(p) for p in pieces}
+        split = {p: self.pattern.findall(p) if p.isascii() or not ODD.search(p) else [t for t, _ in self.split.pre_tokenize_str(p)] for p in pieces}
         tokens = list({t for own in split.values() for t in own})
         ids = dict(zip(tokens, self.merge(tokens), strict=True))
         names = self.names
@@ -136,6 +145,8 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         if not text.isascii():
+            if ODD.search(text):
+                return [x for x in self.normalizer.normalize_str(text).split(" ") if x]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python's split() only
