@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,9 +39,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that cut() writes inside the block, for discard() when what was made of them is itself a table."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        _SCRATCH.pop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of cut() that nothing later reads."""
     for df in tables:
