@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, BPE.
 
 Each stage takes and returns rows with the columns of `documents`; the last one returns the encoded documents. Every stage is a table in
-the shared folder before the next one reads it, so a lost executor costs the tasks of one stage at most.
+the shared folder before the next one reads it, so a lost executor costs the tasks of one stage at most; tables are removed when nothing reads them any more, and only the result's stays.
 
 Rows whose doc_id is null pass the stages that judge by id (near-duplicates, decontamination); the quality rules judge them as any row, and
 their secrets are cut out. Repeated rows of one id share its verdict."""
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import bpe, decontaminate, near_dedup, quality_rules, secrets
-from lorekeep.llm.common import cut, table
+from lorekeep.llm.common import cut, discard, scratch, table
 
 #: The stages before the last are not SQL: they hold hashed candidates and edit distances; tests compare with brute force.
 ORACLE_SQL = None
@@ -47,7 +47,10 @@ STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("be
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as used:
+            docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*last, *used[:-1])  # a stage that is written needs neither its input nor the tables on the way
+        last = used[-1:]
     return docs
