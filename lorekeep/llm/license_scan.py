@@ -1,14 +1,20 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-Short units are a line and a line joined with the next one (wrapped headers), compared with the notices, templates of one sentence. Long units are compared with all templates, standard headers, openings of long
-licences and bodies of short ones among them: blocks of three lines or more and HEADER characters at most between blank ones that speak of a licence, copyright, warranty or redistribution (comment blocks), and of a licence file (by its name) that does so the whole and
-the opening, its first OPENING lines. Comment marks don't matter, as only words count. Words are runs of a-z (A-Z folded) or numbers with points, without function words. A unit's vector has
-tf x idf for the templates' words and, for each other distinct word, the idf of an unseen word once; idf is taken over the templates, a fixed
-table, so a score does not depend on what else is in the corpus. The best template with a cosine of at least `threshold` wins; ties go to the
-first name.
+Units are pieces of a text of any length:
+
+- short: a line, and a line joined with the next one (wrapped headers), compared with the notices, templates of one sentence;
+Texts that speak of licences, which all templates do, give longer units too:
+
+- blocks: what lies between lines without words, and runs of comment lines or of other lines, in one line or many, up to LONG words, if they speak of licences;
+- windows: around each word that is rare among the templates, as many words as the template has, placed as in the template. They find a header with code right after it, a body inside a page-long paragraph and any part of a licence file.
+
+Blocks and windows are compared with all templates, standard headers, openings and titles of long licences and bodies of short ones among them. Comment marks don't matter, as only words count. Words are runs of
+a-z (A-Z folded) or numbers with points, without function words. A unit's vector has tf x idf for the templates' words and, for each other distinct word, the idf of an unseen word once; idf is taken over the
+templates, a fixed table, so a score does not depend on what else is in the corpus. The best template with a cosine of at least `threshold` wins; ties go to the first name.
 
 Prefix filter: a short unit without any of a notice's heaviest words, those beyond which the rest has a norm below the threshold, cannot
-reach it; so one pattern over the text finds all short units that can match, without loss. All of this is one projection.
+reach it; so one pattern over the text finds all short units that can match, without loss. All of this is one projection. Left to windows alone are blocks of more than LONG words; there, an altered text that keeps
+none of a template's three rarest words is not found.
 
 Inheritance: each directory takes the best licence of its licence files; each directory in use looks up its ancestors, itself first; files
 without a licence of their own join their directory's. Joins see one row per directory on their small side, so a directory of any
@@ -88,16 +94,18 @@ TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LICENSE_FILE = r"^(licen[cs]e|copying|unlicense)([.-][a-z0-9.]+)?$"
 #: Words of the templates that any text may hold (fixed values); the prefix filter does without them where it can.
-COMMON = frozenset("available code copy deal form free made materials person program source subject terms version work".split())
+COMMON = frozenset(
+    "available code copy deal form free made materials person program source subject terms version work all along also anyone agreed along appear applicable associated author authors basis be business c claim charge code compiled "
+    "conditions contributes dealings defined details derived distribute distributed do document domain each entity everyone february files following from general have http https if inc including individual international it its january june later legal "
+    "may mean more no non notice november obtaining on one option or other out owns part permitted provided public published purpose receive received revised right rights see subject that these use used v was were whether at can caused means name names through should www will it as an so way such above direct either even list met particular special useful hope action connection performance sections included which whom with your you".split()
+)
 THRESHOLD = 0.8
-#: Lines of a licence file that are compared by themselves.
-OPENING = 12
 #: Between two blocks: a line without words.
 GAP = r"\n[ \t*#/;-]*\n"
-#: What a block must speak of to be a long unit.
-SPEAKS = r"licen[cs]e|copyright|redistribut|warrant"
-#: Characters of the longest block that counts as a header; the longest standard one has some 1,500.
-HEADER = 4000
+#: How a comment line starts: a block changes where lines of one kind follow those of the other.
+COMMENT = r"^[ \t]*(//|#|/?\*|--|;|%|<!--|rem |dnl )"
+#: Words that a text must hold one of for its blocks and windows to be units (fixed values); a template with none of them adds its own, see speaking().
+SPEAKS = "license licensed licenses licence copyright warranty warranties redistribution redistributions redistribute".split()
 
 #: Function words, which count neither in templates nor in texts (fixed values).
 STOP = "a and any are by for in into is of the this to under without".split()
@@ -109,8 +117,12 @@ UNSEEN = math.log(1 + len(TEMPLATES)) + 1
 WEIGHTS = [{t: n * IDF[t] ** 2 / math.sqrt(sum((k * IDF[u]) ** 2 for u, k in c.items())) for t, n in sorted(c.items())} for c in _TF]
 
 
+#: Words of the longest block that is compared whole: twice the longest template.
+LONG = 2 * max(sum(c.values()) for c in _TF)
+
+
 def anchors(threshold: float = THRESHOLD) -> list[str]:
-    """The words of which a unit must hold one to reach the threshold with any template."""
+    """The words of which a short unit must hold one to reach the threshold with any notice."""
     out = set()
     for c in _TF[:NOTICES]:
         mass = sorted((t not in COMMON and not t[0].isdigit(), (k * IDF[t]) ** 2, t) for t, k in c.items())
@@ -122,41 +134,72 @@ def anchors(threshold: float = THRESHOLD) -> list[str]:
     return sorted(out)
 
 
+def rarest(c: Counter, each: int = 3) -> list[str]:
+    return sorted((t for t in c if not t[0].isdigit()), key=lambda t: (t in COMMON, -IDF[t], t))[:each]
+
+
+def speaking() -> list[str]:
+    """SPEAKS and the rarest words of each template that holds none of them."""
+    return sorted(set(SPEAKS).union(*(rarest(c) for c in _TF[NOTICES:] if not set(SPEAKS) & set(c))))
+
+
+def window_anchors(each: int = 3) -> dict[str, list[tuple[int, int]]]:
+    """Word to (its place in a template, the template's length) for the rarest words of each template that isn't a notice; places and lengths count words, from 0."""
+    out: dict[str, set[tuple[int, int]]] = {}
+    for c, (_, text) in zip(_TF[NOTICES:], TEMPLATES[NOTICES:], strict=True):
+        words = [t for t in re.findall(TERM, text.lower()) if t not in STOP]
+        for t in rarest(c, each):
+            out.setdefault(t, set()).add((words.index(t), len(words)))
+    return {t: sorted(v) for t, v in sorted(out.items())}
+
+
 def folded(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
 def best_templates(units: Column, count: int = len(TEMPLATES)) -> Column:
     """For each unit (array of words) the struct (score, turn = -template index) of its best template; scores are rounded to 6 digits, so that equal
-    vectors tie. Each step is a transform of the one before, so nothing is evaluated twice."""
-    idf = F.from_json(F.lit(json.dumps(IDF)), "map<string,double>")
-    templates = F.from_json(F.lit(json.dumps([{"turn": -i, "w": w} for i, w in enumerate(WEIGHTS[:count])])), "array<struct<turn:int,w:map<string,double>>>")
-    known = F.transform(units, lambda ws: F.struct(F.filter(ws, lambda w: F.map_contains_key(idf, w)).alias("own"), F.size(F.array_distinct(ws)).alias("distinct")))
+    vectors tie. A word is looked up once, for its weights in all templates. Each step is a transform of the one before, so nothing is evaluated twice."""
+    rows = {t: [IDF[t], *(w.get(t, 0.0) for w in WEIGHTS[:count])] for t in IDF}
+    table = F.from_json(F.lit(json.dumps(rows)), "map<string,array<double>>")
+    known = F.transform(units, lambda ws: F.struct(F.filter(ws, lambda w: F.map_contains_key(table, w)).alias("own"), F.size(F.array_distinct(ws)).alias("distinct")))
     terms = F.transform(known, lambda u: F.struct(u["own"].alias("own"), F.array_distinct(u["own"]).alias("terms"), u["distinct"].alias("distinct")))
-    counts = F.transform(terms, lambda u: F.struct(F.transform(u["terms"], lambda t: F.struct(t.alias("t"), F.size(F.filter(u["own"], lambda w: w == t)).cast("double").alias("n"))).alias("tf"), (u["distinct"] - F.size(u["terms"])).alias("unseen")))
-    norms = F.transform(counts, lambda u: F.struct(u["tf"].alias("tf"), F.sqrt(F.aggregate(u["tf"], u["unseen"] * F.lit(UNSEEN**2), lambda s, e: s + F.pow(e["n"] * F.element_at(idf, e["t"]), F.lit(2.0)))).alias("norm")))
-    dots = F.transform(norms, lambda u: F.transform(templates, lambda k: F.struct(F.when(u["norm"] > 0, F.round(F.aggregate(u["tf"], F.lit(0.0), lambda s, e: s + e["n"] * F.coalesce(F.try_element_at(k["w"], e["t"]), F.lit(0.0))) / u["norm"], 6)).otherwise(F.lit(0.0)).alias("score"), k["turn"].alias("turn"))))
-    return F.transform(dots, lambda x: F.array_max(x))
+    counts = F.transform(terms, lambda u: F.struct(F.transform(u["terms"], lambda t: F.struct(F.element_at(table, t).alias("w"), F.size(F.filter(u["own"], lambda w: w == t)).cast("double").alias("n"))).alias("tf"), (u["distinct"] - F.size(u["terms"])).alias("unseen")))
+    zeros = F.array_repeat(F.lit(0.0), count + 1)
+    # the first sum is that of squares, for the norm; the others are dot products
+    sums = F.transform(counts, lambda u: F.aggregate(u["tf"], zeros, lambda s, e: F.zip_with(s, F.transform(e["w"], lambda w, i: F.when(i == 0, F.pow(e["n"] * w, F.lit(2.0))).otherwise(e["n"] * w)), lambda x, y: x + y), lambda s: F.struct(F.sqrt(F.get(s, 0) + u["unseen"] * F.lit(UNSEEN**2)).alias("norm"), F.slice(s, 2, count).alias("dots"))))
+    return F.transform(sums, lambda u: F.array_max(F.transform(u["dots"], lambda x, i: F.struct(F.when(u["norm"] > 0, F.round(x / u["norm"], 6)).otherwise(F.lit(0.0)).alias("score"), (-i).alias("turn")))))
+
+
+def holds(words: list[str]) -> str:
+    return rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])"
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds own_license, score, turn (the template, for ties) and n_headers to rows with text and is_file (a licence file)."""
-    words = lambda unit: F.filter(F.regexp_extract_all(folded(unit), F.lit(f"({TERM})"), F.lit(1)), lambda w: ~w.isin(STOP))
-    mark = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, anchors(threshold)))})(?![a-z0-9])"
-    lines = F.split(F.col("text"), "\n")
-    # a unit is looked at only if it holds an anchor; a text without one has no units
-    pairs = F.when(F.size("_lines") < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size("_lines") - 2), lambda i: F.concat_ws("\n", F.get("_lines", i), F.get("_lines", i + 1))))
-    d = files.withColumn("_low", folded(F.col("text"))).withColumn("_any", F.coalesce(F.regexp_like("_low", F.lit(mark)), F.lit(False)))
-    d = d.withColumn("_lines", F.when(F.col("_any"), lines).otherwise(F.array().cast("array<string>")))
+    """Adds own_license, score, turn (the template, for ties) and n_headers to rows with a text."""
+    split = lambda unit: F.filter(F.regexp_extract_all(folded(unit), F.lit(f"({TERM})"), F.lit(1)), lambda w: ~w.isin(STOP))
+    mark, long_mark = holds(anchors(threshold)), holds(speaking())
     none = F.array().cast("array<string>")
-    short = F.filter(F.concat("_lines", pairs), lambda x: F.regexp_like(folded(x), F.lit(mark)))
-    speaks = F.coalesce(F.regexp_like("_low", F.lit(SPEAKS)), F.lit(False))
-    blocks = F.when(speaks, F.filter(F.split("text", GAP), lambda x: (F.char_length(x) <= HEADER) & (F.size(F.split(x, "\n")) >= 3) & F.regexp_like(folded(x), F.lit(SPEAKS)))).otherwise(none)
-    whole = F.when(F.col("is_file") & speaks, F.array(F.col("text"), F.array_join(F.slice(lines, 1, OPENING), "\n"))).otherwise(none)
-    d = d.withColumn("_best", F.concat(best_templates(F.transform(short, words), NOTICES), best_templates(F.transform(F.concat(blocks, whole), words)))).withColumn("_hits", F.filter("_best", lambda b: b["score"] >= threshold))
+    # a unit is looked at only if it holds an anchor; a text without one has no units
+    pairs = F.when(F.size("_lines") < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.size("_lines") - 2), lambda i: F.concat_ws("\n", F.get("_lines", i), F.get("_lines", i + 1))))
+    d = files.withColumn("_low", folded(F.col("text")))
+    d = d.withColumn("_any", F.coalesce(F.regexp_like("_low", F.lit(mark)), F.lit(False))).withColumn("_speaks", F.coalesce(F.regexp_like("_low", F.lit(long_mark)), F.lit(False)))
+    d = d.withColumn("_lines", F.when(F.col("_any") | F.col("_speaks"), F.split("_low", "\n")).otherwise(none))
+    short = F.when(F.col("_any"), F.filter(F.concat("_lines", pairs), lambda x: F.regexp_like(x, F.lit(mark)))).otherwise(none)
+    comment = lambda x: F.regexp_like(x, F.lit(COMMENT))
+    parted = F.array_join(F.transform("_lines", lambda x, i: F.when((i > 0) & (comment(x) != comment(F.get("_lines", i - 1))), F.concat(F.lit("\n"), x)).otherwise(x)), "\n")
+    blocks = F.when(F.col("_speaks"), F.filter(F.array_union(F.split("_low", GAP), F.split(parted, GAP)), lambda x: F.regexp_like(x, F.lit(long_mark)))).otherwise(none)
+    d = d.withColumn("_short", F.transform(short, split)).withColumn("_blocks", F.filter(F.transform(blocks, split), lambda ws: F.size(ws) <= LONG))
+    # windows: for each place of an anchor, the words that lie as the template's do around it
+    at = F.from_json(F.lit(json.dumps({t: [{"o": o, "n": n} for o, n in v] for t, v in window_anchors().items()})), "map<string,array<struct<o:int,n:int>>>")
+    d = d.withColumn("_words", F.when(F.col("_speaks"), split(F.col("text"))).otherwise(none))
+    places = F.flatten(F.filter(F.transform("_words", lambda w, p: F.transform(F.try_element_at(at, w), lambda x: F.struct(F.greatest(p - x["o"], F.lit(0)).alias("from"), x["n"].alias("n")))), lambda x: x.isNotNull()))
+    d = d.withColumn("_at", F.array_distinct(places)).withColumn("_windows", F.transform("_at", lambda x: F.slice("_words", x["from"] + 1, x["n"])))
+    d = d.withColumn("_best", F.concat(best_templates(F.col("_short"), NOTICES), best_templates(F.concat("_blocks", "_windows")))).withColumn("_hits", F.filter("_best", lambda b: b["score"] >= threshold))
     top = F.array_max("_hits")
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
-    return d.withColumn("own_license", F.when(top.isNotNull(), F.element_at(names, (1 - top["turn"]).cast("int")))).withColumn("score", F.coalesce(top["score"], F.lit(0.0))).withColumn("turn", top["turn"]).withColumn("n_headers", F.size("_hits").cast("long")).drop("_low", "_any", "_lines", "_best", "_hits")
+    out = d.withColumn("own_license", F.when(top.isNotNull(), F.element_at(names, (1 - top["turn"]).cast("int")))).withColumn("score", F.coalesce(top["score"], F.lit(0.0))).withColumn("turn", top["turn"]).withColumn("n_headers", F.size("_hits").cast("long"))
+    return out.drop("_low", "_any", "_speaks", "_lines", "_short", "_blocks", "_words", "_at", "_windows", "_best", "_hits")
 
 
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = THRESHOLD) -> DataFrame:
@@ -197,11 +240,15 @@ WITH tw(i, t, w) AS (VALUES {_values([(i, t, w) for i, ws in enumerate(WEIGHTS)
 idf(t, v) AS (VALUES {_values(list(IDF.items()))}),
 names(i, n) AS (VALUES {_values([(i, n) for i, (n, _) in enumerate(TEMPLATES)])}),
 f AS (SELECT doc_id, text, coalesce(source, '-') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS dir, doc_id % 100 = 0 AS is_file FROM documents),
-l AS (SELECT doc_id, is_file, text, string_split(text, chr(10)) AS l FROM f),
-un AS (SELECT doc_id, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || chr(10) || l[i + 1]))) AS u, false AS long FROM l
-  UNION ALL SELECT doc_id, unnest(list_concat(list_filter(string_split_regex(text, '{GAP}'), lambda x: length(x) <= {HEADER} AND len(string_split(x, chr(10))) >= 3 AND regexp_matches(translate(x, '{UPPER}', '{LOWER}'), '{SPEAKS}')), CASE WHEN is_file AND regexp_matches(translate(text, '{UPPER}', '{LOWER}'), '{SPEAKS}') THEN [text, array_to_string(l[1:{OPENING}], chr(10))] ELSE [] END)), true FROM l),
-un2 AS (SELECT row_number() OVER () AS k, doc_id, long, regexp_extract_all(translate(u, '{UPPER}', '{LOWER}'), '{TERM}') AS ws FROM un),
-un3 AS (SELECT k, doc_id, long, t FROM (SELECT k, doc_id, long, unnest(ws) AS t FROM un2) WHERE t NOT IN ({", ".join(map(repr, STOP))})),
+l AS (SELECT doc_id, text, string_split(translate(text, '{UPPER}', '{LOWER}'), chr(10)) AS l FROM f),
+b AS (SELECT doc_id, list_distinct(list_concat(string_split_regex(array_to_string(l, chr(10)), '{GAP}'), string_split_regex(array_to_string(list_transform(l, lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '{COMMENT}') <> regexp_matches(l[i - 1], '{COMMENT}') THEN chr(10) || x ELSE x END), chr(10)), '{GAP}'))) AS b FROM l),
+un AS (SELECT doc_id, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || chr(10) || l[i + 1]))) AS u, false AS long FROM l UNION ALL SELECT doc_id, u, true FROM (SELECT doc_id, unnest(b) AS u FROM b) WHERE regexp_matches(u, '(^|[^a-z0-9])({"|".join(speaking())})([^a-z0-9]|$)')),
+un1 AS (SELECT doc_id, long, list_filter(regexp_extract_all(u, '{TERM}'), lambda w: w NOT IN ({", ".join(map(repr, STOP))})) AS ws FROM un),
+spots(t, o, n) AS (VALUES {_values([(t, o, n) for t, v in window_anchors().items() for o, n in v])}),
+dw AS (SELECT doc_id, list_filter(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}'), lambda w: w NOT IN ({", ".join(map(repr, STOP))})) AS ws FROM f WHERE regexp_matches(translate(text, '{UPPER}', '{LOWER}'), '(^|[^a-z0-9])({"|".join(speaking())})([^a-z0-9]|$)')),
+wp AS (SELECT DISTINCT doc_id, greatest(p - o, 0) AS s, n FROM (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS p FROM dw) JOIN spots USING (t)),
+un2 AS (SELECT row_number() OVER () AS k, * FROM (SELECT doc_id, long, ws FROM un1 WHERE NOT long OR len(ws) <= {LONG} UNION ALL SELECT doc_id, true, ws[s + 1:s + n] FROM wp JOIN dw USING (doc_id))),
+un3 AS (SELECT k, doc_id, long, unnest(ws) AS t FROM un2),
 tf AS (SELECT k, doc_id, long, t, count(*) AS n FROM un3 GROUP BY ALL),
 nrm AS (SELECT k, doc_id, sqrt(sum(CASE WHEN v IS NULL THEN {UNSEEN!r} ** 2 ELSE (n * v) ** 2 END)) AS nrm FROM tf LEFT JOIN idf USING (t) GROUP BY ALL),
 sc AS (SELECT doc_id, k, i, round(sum(n * w) / nrm, 6) AS s FROM tf JOIN tw USING (t) JOIN nrm USING (k, doc_id) WHERE long OR i < {NOTICES} GROUP BY doc_id, k, i, nrm),

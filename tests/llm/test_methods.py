@@ -334,5 +334,23 @@ def test_real_licence_files(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: "GPL-3.0", 5: "Apache-2.0", 6: "Apache-2.0", 7: "BSD-3-Clause", 8: "BSD-2-Clause"}
 
 
+def test_licences_of_any_shape(spark):
+    """One line, comment runs with code right after them, indented blocks, deep in a page-long paragraph."""
+    code = "\n".join(f"x{i} = call({i}, 'value')" for i in range(40))
+    mit, gpl = " ".join(MIT_FILE.split()), " ".join(w for w in GPL_HEADER.replace("int main() {}", "").split() if w not in ("/*", "*", "*/"))
+    marked = lambda text, mark: "\n".join(f"{mark} {' '.join(text.split()[i : i + 9])}" for i in range(0, len(text.split()), 9))
+    bsd = license_scan._BSD_START + license_scan._BSD_THIRD + license_scan._BSD_END
+    words = bsd.split()
+    indented = "\n".join(" " * 280 + " ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+    prose = " ".join(f"plain prose number {i} goes on" for i in range(400))
+    unlicense = license_scan._UNLICENSE
+    texts = [mit, gpl, marked(gpl, "#") + "\n" + code, marked(mit, "//") + "\n" + code, indented, f"{prose} {mit} {prose}", f"{prose} {gpl} {prose}", unlicense, f"{prose} {unlicense} {prose}", code, prose, "license " * 400, mit * 3]
+    files = [(i, t, f"d{i}/f.txt") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.own_license for r in license_scan.scan_licenses(spark.createDataFrame(files, "doc_id long, text string, path string")).collect()}
+    want = ["MIT", "GPL-3.0", "GPL-3.0", "MIT", "BSD-3-Clause", "MIT", "GPL-3.0", "Unlicense", "Unlicense", None, None, None, "MIT"]
+    assert got == dict(enumerate(want))
+    assert len(indented) > 4000
+
+
 def test_words_are_the_contract_s():
     assert [len(words(t)) for t in ("a\xa0b", "a\x0bb", " ", None)] == [1, 2, 0, 0] and groups([(0, "A b"), (1, "a B"), (2, "")], 2) == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
