@@ -180,12 +180,6 @@ def split_reasoning(text: Column) -> tuple[Column, Column, Column]:
     return inner, rest, state
 
 
-def tool_calls(text: Column) -> Column:
-    """Names of the tools called in <tool_call> fences, in order; fences that hold no JSON object with a name count as "?"."""
-    bodies = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1))
-    return F.transform(bodies, lambda b: F.coalesce(F.nullif(F.get_json_object(b, "$.name"), F.lit("")), F.lit("?")))
-
-
 def clean_segment(text: Column) -> Column:
     """An account's folder name: the id itself if it is made of ASCII letters, digits, _ and - alone, else null."""
     return F.when(F.regexp_like(text, F.lit("^[A-Za-z0-9_-]+$")), text)

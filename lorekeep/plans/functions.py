@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import language as L
 from lorekeep.functions import text as T
 from lorekeep.functions.calc import calc
+from lorekeep.functions.toolcalls import tool_calls
 from lorekeep.functions.wordpiece import CONTROL, WordPieces
 from lorekeep.operators import scoring as S
 from lorekeep.plans import replies as RP
@@ -57,10 +58,16 @@ def _thinking(s, d):
 
 
 def _calls(s, d):
-    k = F.col("conv_id") * 31 + F.col("turn")
-    fence = lambda x: F.concat(F.lit("a <tool_call>\n"), x, F.lit("\n</tool_call> b "))
-    text = F.concat(fence(F.concat(F.lit('{"name": "calc'), (k % 3).cast("string"), F.lit('", "arguments": {"x": "1+1"}}'))), F.when(k % 4 == 0, fence(F.lit("{broken"))).when(k % 4 == 1, fence(F.lit('{"x": 1}'))).otherwise(""))
-    return table(s, d, "conversations").select("conv_id", "turn", F.array_join(T.tool_calls(text), "|").alias("names"))
+    """Turns as arguments of calls: two in fences, a bare one after prose with braces, one with `parameters`, a truncated one, a fence without JSON before a bare call, an object without a name before one with."""
+    said = F.to_json(F.struct(F.col("text").alias("said")))
+    body = lambda name, key: F.concat(F.lit('{"name": "' + name + f'", "{key}": '), said, F.lit("}"))
+    l = F.lit  # noqa: E741
+    forms = [
+        F.concat(l("<tool_call> "), body("a", "arguments"), l(" </tool_call>x<tool_call>"), body("b", "arguments"), l("</tool_call>")), F.concat(l('Say {this "} first: {x} '), body("c", "arguments"), l(" then }")), F.concat(l("```json\n"), body("d", "parameters"), l("\n```")),
+        F.substr(body("e", "arguments"), l(1), F.length(body("e", "arguments")) - 1), F.concat(l("<tool_call>no json</tool_call> "), body("f", "arguments")), F.concat(said, l(' {"name": 7} '), l('{"name": "g"}')), F.concat(l("<tool_call>"), body("h", "arguments"), l("<tool_call>")), F.col("text"),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("turn") % 8 + 1).cast("int"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.explode(tool_calls(text)).alias("c")).select("conv_id", "turn", "c.id", "c.name", "c.arguments")
 
 
 def _clean(s, d):
@@ -264,7 +271,8 @@ ORACLE_SQL = {
     "fn_safe_query": r"""SELECT item_id, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace('the "quoted"  ' || text, '[\s\p{Z}\x{85}]+', ' ', 'g')), ' '), lambda w: w <> ''), lambda w: '"' || replace(w, '"', '""') || '"'), ' ') AS query FROM benchmark""",
     "fn_split_reasoning": """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'a b' WHEN 1 THEN '' WHEN 2 THEN 'only' ELSE 'open' END AS reasoning, CASE WHEN turn % 4 = 2 THEN '' ELSE trim(t) END AS reply,
 CASE turn % 4 WHEN 3 THEN 'truncated' WHEN 2 THEN 'thinking_only' ELSE CASE WHEN trim(t) <> '' THEN 'ok' WHEN turn % 4 = 0 THEN 'thinking_only' ELSE 'empty' END END AS state FROM (SELECT *, substr(coalesce(text, ''), 1, 30) AS t FROM conversations)""",
-    "fn_tool_calls": "SELECT conv_id, turn, 'calc' || k % 3 || CASE WHEN k % 4 < 2 THEN '|?' ELSE '' END AS names FROM (SELECT *, conv_id * 31 + turn AS k FROM conversations)",
+    "fn_tool_calls": """WITH t AS (SELECT conv_id, turn, turn % 8 AS f, '{"said":' || to_json(text)::VARCHAR || '}' AS said FROM conversations)
+SELECT conv_id, turn, 'call_' || i AS id, name, CASE WHEN name = 'g' THEN '{}' ELSE said END AS arguments FROM t JOIN (VALUES (0, 0, 'a'), (0, 1, 'b'), (2, 0, 'd'), (4, 0, 'f'), (5, 0, 'g'), (6, 0, 'h')) n(f, i, name) USING (f)""",
     "fn_sanitize": f"SELECT c_custkey, CASE WHEN regexp_full_match(r, '[A-Za-z0-9_-]+') THEN r END AS segment, CASE WHEN regexp_full_match(r, '[A-Za-z0-9_-][A-Za-z0-9._-]{{0,127}}') THEN r END AS pack_id, lower(trim(' ' || r || '@X.org ')) AS email FROM (SELECT *, {_RAW} AS r FROM customer)",
     "fn_count_words": r"SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\s\p{Z}\x{85}\x0B]+', ' ', 'g'), ' '), lambda w: w <> ''))::INTEGER AS tokens FROM documents",
     "fn_wordpiece_count": r"""WITH RECURSIVE bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
