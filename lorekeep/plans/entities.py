@@ -11,7 +11,8 @@ from lorekeep.operators import replies as R
 from lorekeep.plans import replies as RP
 from lorekeep.plans.packs import norm_sql
 from lorekeep.session import table
-from lorekeep.sources import text as TX
+from lorekeep.sources import markdown as MD
+from lorekeep.sources import pagetree as PG
 from lorekeep.streaming import spans
 
 
@@ -121,11 +122,14 @@ def _excerpts(s, d):
 
 
 def _main_content(s, d):
-    """The article, else the body, of each page, without what frames it, as blocks."""
-    html = F.col("html")
-    article = F.nullif(F.regexp_extract(html, r"(?s)<(?:article|main)[^>]*>(.*?)</(?:article|main)>", 1), F.lit(""))
-    bare = F.regexp_replace(F.coalesce(article, html), r"(?s)<(nav|aside|footer|header|form)\b.*?</\1>", "")
-    return TX.html_blocks(table(s, d, "pages").select("page_id", bare.alias("html"))).select("page_id", "n", "section_path", "kind", "text")
+    """The main part of each page as Markdown, and its title."""
+    return PG.page_markdown(table(s, d, "pages"))
+
+
+def _page_blocks(s, d):
+    """The blocks of what pages say, read from their Markdown, with the sections they stand in."""
+    b = MD.markdown_blocks(PG.page_markdown(table(s, d, "pages")), "page_id", "body")
+    return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: F.regexp_like(w, F.lit(r"^\p{L}+$"))))).alias("plain_words"))
 
 
 QUERIES = {
@@ -142,10 +146,21 @@ QUERIES = {
     "fn_osa_distance": _edits,
     "guard_excerpt": _excerpts,
     "src_page_extract": _main_content,
+    "src_page_blocks": _page_blocks,
     "doc_merge_keys": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(F.array_distinct(F.filter(F.array(T.normalise_title(F.col("p_name")), T.normalise_title(F.col("p_type")), T.normalise_title(F.upper("p_name")), T.slugify(F.col("p_brand"))), lambda x: x != "")), "|").alias("keys")),
 }
 
+_SPACED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_TEXT = "replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+#: Pages here have one article, a heading and paragraphs whose first may be bold up to a line break or its end.
+_PAGE_SQL = f"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+l AS (SELECT page_id, regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1) AS h, list_filter(string_split(regexp_replace(a, '(?s)<h1>.*?</h1>', ''), '<p>'), lambda x: trim({_TEXT.format('x')}) <> '') AS l FROM p),
+m AS (SELECT page_id, {_SPACED.format(_TEXT.format('h'))} AS title, list_transform(l, lambda x: CASE WHEN contains(x, '<b>') THEN
+  '**' || {_SPACED.format(_TEXT.format("string_split(string_split(x, '<b>')[2], '<br>')[1]"))} || '**' ELSE {_SPACED.format(_TEXT.format('x'))} END) AS b FROM l)
+SELECT page_id, title, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS body FROM m"""
+
 ORACLE_SQL = {
+    "src_page_extract": _PAGE_SQL,
     "st_think_strip": _strip_sql(spans.THINK),
     "st_tool_stream": _strip_sql(spans.TOOL),
     "join_self_title_phrase": _PAIRS,
