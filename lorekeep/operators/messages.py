@@ -114,11 +114,14 @@ def audit_lines(messages: DataFrame) -> DataFrame:
 
 
 def provisional_routes(prefixes: DataFrame, unclear: str, every_ms: int = 100) -> DataFrame:
-    """stream_id, route, at_ms: the first route other than `unclear` among the prefixes that are looked at, at most one in `every_ms` by the clock of the slot a prefix falls in."""
-    slot = F.floor(F.col("at_ms") / every_ms)
-    seen = prefixes.groupBy("stream_id", slot.alias("_slot")).agg(F.min(F.struct("at_ms", "route")).alias("_r"))
-    clear = seen.where(F.col("_r.route") != unclear)
-    return clear.groupBy("stream_id").agg(F.min("_r").alias("_r")).select("stream_id", "_r.route", "_r.at_ms")
+    """stream_id, route, at_ms: the first route other than `unclear` among the prefixes that are looked at: the first one, and each that comes `every_ms` or more after the last look. The batch form of streaming.routes.
+
+    A reply's prefixes are one value: their times and routes, not their texts."""
+    g = prefixes.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at_ms").cast("long").alias("at_ms"), "route"))).alias("_p"))
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.lit(None).cast("string").alias("route"))
+    look = lambda s, x: s["last"].isNull() | (x["at_ms"] - s["last"] >= every_ms)
+    found = F.aggregate("_p", none, lambda s, x: F.when(s["route"].isNull() & look(s, x), F.struct(x["at_ms"].alias("last"), F.when(x["route"] != unclear, x["route"]).alias("route"))).otherwise(s))
+    return g.select("stream_id", found.alias("_f")).where("_f.route is not null").select("stream_id", "_f.route", F.col("_f.last").alias("at_ms"))
 
 
 def sources_from_prompt(prompt: Column, heads: Column) -> Column:

@@ -170,9 +170,10 @@ SELECT message_id, list_filter([CASE WHEN message_id % 3 > 0 THEN message_id % 3
     "sink_triage_log": f"""WITH t AS (SELECT *, CASE message_id % 4 WHEN 3 THEN 'CLINICIAN' WHEN 1 THEN 'SELF_CARE' END AS route, message_id % 3 = 0 AS c, last_value(CASE WHEN role = 'user' THEN sha256(text) END IGNORE NULLS) OVER (PARTITION BY chat_id ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM ({_TURNS}))
 SELECT chat_id, message_id, '{{"id":' || message_id || CASE WHEN q IS NULL THEN '' ELSE ',"asked_sha":"' || q || '"' END || ',"route":"' || route || '"' || CASE WHEN c THEN ',"confirmed":"CLINICIAN"' ELSE '' END || ',"overridden":' || CASE WHEN c AND route <> 'CLINICIAN' THEN 'true' ELSE 'false' END || '}}' AS line FROM t WHERE role = 'assistant' AND route IS NOT NULL""",
     "join_route_override": f"SELECT message_id, message_id % 3 = 0 AND message_id % 4 <> 3 AS overridden FROM ({_TURNS})",
-    "st_provisional_route": """WITH e AS (SELECT event_id // 10 AS stream_id, event_id % 10 * 37 + user_id % 5 AS at_ms, CASE event_type WHEN 'view' THEN 'CLINICIAN' WHEN 'error' THEN 'EMERGENCY' ELSE 'UNCLEAR' END AS route FROM events),
-f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY stream_id, at_ms // 100 ORDER BY at_ms, route) = 1)
-SELECT stream_id, route, at_ms FROM f WHERE route <> 'UNCLEAR' QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY at_ms, route) = 1""",
+    "st_provisional_route": """WITH RECURSIVE e AS (SELECT event_id // 10 AS stream_id, event_id % 10 * 37 + user_id % 5 AS at_ms, CASE event_type WHEN 'view' THEN 'CLINICIAN' WHEN 'error' THEN 'EMERGENCY' ELSE 'UNCLEAR' END AS route FROM events),
+n AS (SELECT a.stream_id, a.at_ms, min(b.at_ms) AS next FROM e a LEFT JOIN e b ON b.stream_id = a.stream_id AND b.at_ms >= a.at_ms + 100 GROUP BY ALL),
+l AS (SELECT stream_id, min(at_ms) AS at_ms FROM e GROUP BY stream_id UNION ALL SELECT l.stream_id, next FROM l JOIN n USING (stream_id, at_ms) WHERE next IS NOT NULL)
+SELECT stream_id, route, at_ms FROM l JOIN e USING (stream_id, at_ms) WHERE route <> 'UNCLEAR' QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY at_ms) = 1""",
     "rag_pin_check": f"SELECT message_id, message_id % 6 >= 3 AND message_id % 5 <> 0 AS matches FROM ({_TURNS})",
     "rag_citation_row": """SELECT page_id, substr(url, 1, 20) || CASE WHEN page_id % 2 = 0 THEN ' · A > B' ELSE '' END AS head,
 concat_ws(' · ', coalesce(CASE WHEN regexp_matches(u, '(?i)^https://[^/\\s?#]+') THEN u END, CASE WHEN page_id % 4 = 0 THEN 'https://a.example/x' END), CASE WHEN page_id % 5 = 0 THEN 'as at 2024-05-01' END) AS tail FROM (SELECT *, trim(CASE WHEN page_id % 3 = 0 THEN replace(url, 'http:', 'https:') ELSE url END) AS u FROM pages)""",

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from lorekeep.operators.tokens import Watch
+from lorekeep.streaming.expiry import renew, timed
 
 OUT = "stream_id long, at_ms long, token_id long, throttled boolean, baseline double, recent double"
 STATE = "turn long, last_at long, seen int, base_ms long, recent array<long>, slow int, throttled boolean"
@@ -35,23 +36,29 @@ def step(state: tuple, at: int, w: Watch) -> tuple[tuple, tuple | None]:
     return (at, seen, base_ms, recent, slow, throttled), said
 
 
-def notices(tokens: DataFrame, w: Watch = Watch()) -> DataFrame:
+def notices(tokens: DataFrame, w: Watch = Watch(), clock: str | None = None, idle_ms: int = 600_000, late: str = "1 minute") -> DataFrame:
     """tokens: a streaming DataFrame (stream_id, at_ms, token_id and, if there is one, turn), in order within each stream and batch by (at_ms, token_id).
 
-    A new turn clears the clock, nothing else. A token that comes in a later batch than its successor counts as a gap of 0; the batch form would sort it."""
+    With a clock, a timestamp column, a stream idle for `idle_ms` is forgotten. A new turn clears the clock, nothing else. A token that comes in a later batch than its successor counts as a gap of 0; the batch form would sort it."""
     with_turns = "turn" in tokens.columns
+    tokens, timeout = timed(tokens, clock, late)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frames = list(batches)
         turn, *now = state.get if state.exists else (None, None, 0, 0, [], 0, False)
         now = (*now[:3], list(now[3]), *now[4:])
         out = []
-        for at, token, new in sorted((int(a), int(t), int(n)) for b in batches for a, t, n in zip(b.at_ms, b.token_id, b.turn if with_turns else [0] * len(b), strict=True)):
+        for at, token, new in sorted((int(a), int(t), int(n)) for b in frames for a, t, n in zip(b.at_ms, b.token_id, b.turn if with_turns else [0] * len(b), strict=True)):
             if new != turn:
                 turn, now = new, (None, *now[1:])
             now, said = step(now, at, w)
             if said:
                 out.append((int(key[0]), at, token, *said))
         state.update((turn, *now))
+        renew(state, frames, clock, idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "at_ms", "token_id", "throttled", "baseline", "recent"])
 
-    return tokens.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", timeout)

@@ -124,9 +124,8 @@ def test_thermal_stream(spark, tmp_path):
         rows.append((3, at, i))
     spark.createDataFrame(rows, "stream_id long, at_ms long, token_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("stream_id long, at_ms long, token_id long").parquet(str(tmp_path / "in"))
-    q = thermal.notices(s, w).writeStream.format("memory").queryName("thermal").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = thermal.notices(s, w).writeStream.format("memory").queryName("thermal").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert [r.throttled for r in spark.table("thermal").collect()] == [True]
 
 

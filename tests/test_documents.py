@@ -134,9 +134,8 @@ def test_spans_stream(spark, tmp_path):
     d = spark.createDataFrame([(1, i, p) for i, p in enumerate(["he<th", "ink>no", "</thin", "k>llo"])] + [(2, 0, "x<y")], "stream_id long, seq long, piece string")
     d.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-    q = spans.strip_stream(s).writeStream.format("memory").queryName("spans").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = spans.strip_stream(s).writeStream.format("memory").queryName("spans").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     got = {}
     for r in spark.table("spans").orderBy("stream_id", "seq").collect():
         got[r.stream_id] = got.get(r.stream_id, "") + r.shown
