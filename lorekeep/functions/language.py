@@ -1,4 +1,4 @@
-"""Sentences, doses, formulas and tagged transcriptions. JVM expressions but for a small helper on Arrow batches (alignment)."""
+"""Sentences, doses and alignments. JVM expressions but for a small helper on Arrow batches (alignment)."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 #: Words whose full stop ends no sentence (fixed values).
 ABBREVIATIONS = "mr mrs ms dr prof fig figs eq no vol ch sec pp al vs cf eg ie etc st jr sr".split()
-#: Stand for a full stop that ends nothing, a place to cut and a space to keep while a text is worked on: noncharacters, which no text holds.
-_KEPT, _CUT, _GAP = "\ufdd0", "\ufdd1", "\ufdd2"
+#: Stand for a full stop that ends nothing, and a place to cut while a text is worked on: noncharacters, which no text holds.
+_KEPT, _CUT = "\ufdd0", "\ufdd1"
 
 
 def split_sentences(text: Column) -> Column:
@@ -55,32 +55,6 @@ def dose_tokens(text: Column) -> Column:
     return F.regexp_extract_all(normalise_dose(text), F.lit(rf"([0-9]+(?:\.[0-9]+)? (?:{units}))"), F.lit(1))
 
 
-#: Commands that only change how a formula looks, and those that have a plainer name (fixed values).
-LATEX_LOOKS = [r"\\left", r"\\right", r"\\,", r"\;", r"\\!", r"\\quad", r"\\displaystyle"]
-LATEX_NAMES = {r"\\dfrac": r"\\frac", r"\\tfrac": r"\\frac", r"\\cdot": r"\\times", r"\\leq": r"\\le", r"\\geq": r"\\ge"}
-
-
-def normalise_latex(text: Column) -> Column:
-    """A formula without spacing and size commands, with plain names, no braces around single characters and no spaces but after a command's name."""
-    t = F.coalesce(text, F.lit(""))
-    for look in LATEX_LOOKS:
-        t = F.regexp_replace(t, look + (r"\b" if look[-1].isalpha() else ""), "")
-    for name, plain in LATEX_NAMES.items():
-        t = F.regexp_replace(t, name + r"\b", plain)
-    t = F.regexp_replace(t, r"([_^])\{([A-Za-z0-9])\}", "$1$2")
-    t = F.regexp_replace(t, r"(\\[A-Za-z]+)\s+([A-Za-z0-9])", f"$1{_GAP}$2")
-    return F.replace(F.regexp_replace(t, r"\s+", ""), F.lit(_GAP), F.lit(" "))
-
-
-def doctags(text: Column) -> Column:
-    """Array of (kind, content) of a transcription in tags: places are dropped, formula and equation blocks and those with a backslash command are latex, others text."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"<loc_[0-9]+>", "")
-    blocks = F.regexp_extract_all(bare, F.lit(r"(?s)(<(?:text|formula|equation|title)>.*?</)"), F.lit(1))
-    content = lambda b: F.trim(F.regexp_replace(b, r"(?s)^<[a-z]+>|</$", ""))
-    latex = lambda b: F.regexp_like(b, F.lit(r"^<(?:formula|equation)>")) | F.regexp_like(b, F.lit(r"\\[A-Za-z]"))
-    return F.transform(blocks, lambda b: F.struct(F.when(latex(b), "latex").otherwise("text").alias("kind"), content(b).alias("content")))
-
-
 def align(a: str, b: str) -> tuple[int, list[str]]:
     """Least number of edits from a to b, and the pairs that one such alignment substitutes, from the left."""
     rows = [list(range(len(b) + 1))]

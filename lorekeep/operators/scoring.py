@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.functions import formulas as FM
 from lorekeep.functions import language as L
 
 ACCEPT, REVIEW, OPERATOR = 0.90, 0.70, 0.97
@@ -29,7 +30,7 @@ def score_items(rows: DataFrame) -> DataFrame:
     """item, exact, cer, weighted, verdict_ok: rows: item, expected (null: should be refused), got, verdict.
 
     A refused item is right if the verdict is refuse. Others count as right for accept or review; substitutions of signs and look-alikes weigh five times."""
-    a, b = L.normalise_latex(F.col("expected")), L.normalise_latex(F.col("got"))
+    a, b = FM.normalise_latex(F.col("expected")), FM.normalise_latex(F.col("got"))
     r = rows.withColumn("_a", a).withColumn("_b", b).withColumn("_al", L.aligned("_a", "_b"))
     refusal = F.col("expected").isNull()
     refused = F.coalesce(F.col("verdict") == "refuse", F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorekeep.functions import formulas as FM
 from lorekeep.functions import language as L
 from lorekeep.functions import text as T
 from lorekeep.functions.calc import calc
@@ -111,25 +112,31 @@ def _pick(pool, n):
     return F.element_at(F.array(*map(F.lit, pool)), (n % len(pool) + 1).cast("int"))
 
 
+#: Nested, cut short or oddly spelled formulas with their canonical and shown forms.
+NESTED = [
+    (r"\sqrt{\frac{a^{2}}{b_{12}}}", r"\sqrt{\frac{a^2}{b_{12}}}", r"\sqrt{\frac{a^2}{b_{12}}}"), (r"{{x}} + {y^{{2}}}", "x+y^2", "x + y^2"), (r"\frac{1}{\frac{2}{\frac{3}{x", r"\frac{1}{\frac{2}{\frac{3}{x}}}", r"\frac{1}{\frac{2}{\frac{3}{x}}}"),
+    (r"S o l v e : \begin{array} {l} x \neq 2 \end{arr", r"x\ne2", r"x \ne 2"), (r"<loc_3>\tfrac12 } \cdot \alpha b", r"\frac{1}{2}\times\alphab", r"\frac{1}{2} \times \alpha b"),
+]
+
+
 def _latex(s, d):
-    return table(s, d, "customer").select("c_custkey", L.normalise_latex(_pick(FORMULAS, F.col("c_custkey"))).alias("normalised"))
+    k = F.col("c_custkey")
+    text = F.when(k % 2 == 0, _pick(FORMULAS, F.floor(k / 2))).otherwise(_pick([n for n, *_ in NESTED], F.floor(k / 2)))
+    return table(s, d, "customer").select("c_custkey", FM.normalise_latex(text).alias("normalised"), F.when(k % 2 == 1, FM.show_latex(text)).alias("shown"))
 
 
 def _latex_sql(x: str) -> str:
+    """Canonical form of formulas without nesting."""
     t = x
-    for look in L.LATEX_LOOKS:
-        t = f"regexp_replace({t}, '{look}" + (r"\b" if look[-1].isalpha() else "") + "', '', 'g')"
-    for name, plain in L.LATEX_NAMES.items():
-        t = rf"regexp_replace({t}, '{name}\b', '{plain}', 'g')"
-    t = rf"regexp_replace({t}, '([_^])\{{([A-Za-z0-9])\}}', '\1\2', 'g')"
-    t = rf"regexp_replace({t}, '(\\[A-Za-z]+)\s+([A-Za-z0-9])', '\1~\2', 'g')"
-    return rf"replace(regexp_replace({t}, '\s+', '', 'g'), '~', ' ')"
+    for pattern, plain in [(r"\\(left|right)\b", ""), (r"\\dfrac", r"\\frac"), (r"\\cdot\b", r"\\times"), (r"\\leq\b", r"\\le"), (r"([_^])\{([A-Za-z0-9])\}", r"\1\2"), (r"\s+", "")]:
+        t = f"regexp_replace({t}, '{pattern}', '{plain}', 'g')"
+    return t
 
 
 def _doctags(s, d):
     k = F.col("c_custkey")
     text = F.concat(F.lit("<text><loc_1><loc_22>"), F.col("c_name"), F.lit("</text><formula><loc_3>"), _pick(FORMULAS, k), F.lit("</formula>"), F.when(k % 3 == 0, r"<text>see \pi here</text>").otherwise(""))
-    t = table(s, d, "customer").select("c_custkey", F.posexplode(L.doctags(text)).alias("pos", "b"))
+    t = table(s, d, "customer").select("c_custkey", F.posexplode(FM.doctags(text)).alias("pos", "b"))
     return t.select("c_custkey", "pos", "b.kind", "b.content")
 
 
@@ -287,7 +294,8 @@ SELECT doc_id, (coalesce(sum(n), 0) + 2)::INTEGER AS tokens FROM documents LEFT
 SELECT reply_id, array_to_string(list_transform(flatten(list_transform(list_filter(l, lambda x: regexp_matches(x, '^\s*\d+\s*(,\s*\d+\s*)*$')), lambda x: string_split(x, ','))), lambda x: trim(x)), ',') AS cited, len(list_filter(l, lambda x: regexp_matches(x, '\d') AND NOT regexp_matches(x, '^\s*\d+\s*(,\s*\d+\s*)*$'))) > 0 AS malformed FROM b""",
     "fn_normalise_dose": f"SELECT c_custkey, {_dose_sql()} AS normalised FROM customer",
     "fn_dose_tokens": rf"SELECT c_custkey, array_to_string(regexp_extract_all(n, '[0-9]+(?:\.[0-9]+)? (?:{'|'.join(L.UNITS.values())})'), '|') AS doses FROM (SELECT c_custkey, {_dose_sql()} AS n FROM customer)",
-    "fn_latex_normalise": f"SELECT c_custkey, {_latex_sql(_F)} AS normalised FROM customer",
+    "fn_latex_normalise": f"""WITH n(i, normalised, shown) AS (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (_, a, b) in enumerate(NESTED))})
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN {_latex_sql(f"{_FPOOL}[(c_custkey // 2 % {len(FORMULAS)} + 1)::INTEGER]")} ELSE n.normalised END AS normalised, CASE WHEN c_custkey % 2 = 1 THEN n.shown END AS shown FROM customer JOIN n ON n.i = c_custkey // 2 % {len(NESTED)}""",
     "fn_doctags": rf"SELECT c_custkey, 0 AS pos, 'text' AS kind, trim(c_name) AS content FROM customer UNION ALL SELECT c_custkey, 1, 'latex', trim({_F}) FROM customer UNION ALL SELECT c_custkey, 2, 'latex', 'see \pi here' FROM customer WHERE c_custkey % 3 = 0",
     "fn_calc": """SELECT c_custkey, round(CASE f WHEN 0 THEN x + y * 2 WHEN 1 THEN -(2 ** y) WHEN 2 THEN CASE WHEN y > 0 THEN x / y END WHEN 3 THEN x + 2 WHEN 6 THEN round(z) - (y + 1) WHEN 7 THEN abs(z) * x WHEN 8 THEN x WHEN 15 THEN CASE WHEN y > 0 THEN ln(y) END WHEN 17 THEN z + z
   WHEN 18 THEN 2 ** -(y ** 2) WHEN 19 THEN x WHEN 21 THEN x ** (y ** 2) END::DOUBLE, 9) AS value,
