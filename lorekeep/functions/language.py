@@ -1,4 +1,4 @@
-"""Sentences, doses and alignments. JVM expressions but for a small helper on Arrow batches (alignment)."""
+"""Sentences and alignments. JVM expressions but for a small helper on Arrow batches (alignment)."""
 
 from __future__ import annotations
 
@@ -31,30 +31,6 @@ def split_lines_and_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.flatten(F.transform(lines, one)), lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit(_KEPT), F.lit(".")), r"\s+", " "))), lambda s: s != "")
 
 
-#: Units and the name each is written as, and fractions in one character (fixed values).
-UNITS = {"milligrams?|mgs?": "mg", "micrograms?|mcgs?|µg": "mcg", "grams?": "g", "millilit(?:er|re)s?|mls?": "ml", "tablets?|tabs?": "tablet", "capsules?|caps?": "capsule", "puffs?": "puff"}
-FRACTIONS = {"½": "0.5", "¼": "0.25", "¾": "0.75"}
-NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
-
-
-def normalise_dose(text: Column) -> Column:
-    """Doses in one form: no citations, lower case, number words and fractions as figures, no thousands marks, units by their short name and one space after the figure."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\[[0-9, ]+\]", ""))
-    for sign, value in FRACTIONS.items():
-        t = F.replace(t, F.lit(sign), F.lit(value))
-    for n, word in enumerate(NUMBERS):
-        t = F.regexp_replace(t, rf"\b{word}\b", str(n))
-    t = F.regexp_replace(t, r"([0-9]),([0-9]{3})\b", "$1$2")
-    for names, unit in UNITS.items():
-        t = F.regexp_replace(t, rf"([0-9]) ?(?:{names})\b", f"$1 {unit}")
-    return t
-
-
-def dose_tokens(text: Column) -> Column:
-    units = "|".join(UNITS.values())
-    return F.regexp_extract_all(normalise_dose(text), F.lit(rf"([0-9]+(?:\.[0-9]+)? (?:{units}))"), F.lit(1))
-
-
 def align(a: str, b: str) -> tuple[int, list[str]]:
     """Least number of edits from a to b, and the pairs that one such alignment substitutes, from the left."""
     rows = [list(range(len(b) + 1))]

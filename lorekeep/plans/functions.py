@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorekeep.functions import doses as D
 from lorekeep.functions import formulas as FM
 from lorekeep.functions import language as L
 from lorekeep.functions import text as T
@@ -78,30 +79,26 @@ def _clean(s, d):
 
 
 _RAW = "CASE c_custkey % 4 WHEN 0 THEN '.' WHEN 1 THEN 'a/' ELSE '' END || c_name || CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN '.x' ELSE '' END"
-DOSES = ["Take two tablets [1].", "400mg of it", "1,000 milligrams daily", "½ tab at night", "3 puffs, then 0.5 millilitres", "no dose", "Ten caps [2, 3] and 20 µg"]
 
 
 def _doses(s, d):
-    pool = F.array(*map(F.lit, DOSES))
+    """Amounts written in words and figures with their units, marks and shares, and names without any."""
     k = F.col("c_custkey")
-    text = F.concat_ws(" ", F.element_at(pool, (k % len(DOSES) + 1).cast("int")), F.element_at(pool, (F.floor(k / 3) % len(DOSES) + 1).cast("int")))
-    return table(s, d, "customer").select("c_custkey", L.normalise_dose(text).alias("normalised"), F.array_join(L.dose_tokens(text), "|").alias("doses"))
+    n = (k % 1000).cast("int")
+    names = [w for w, (kind, _) in D.WORDS.items() if kind in ("unit", "teen")]
+    tens = [w for w, (kind, _) in D.WORDS.items() if kind == "tens"]
+    word = lambda pool, i: F.element_at(F.array(*map(F.lit, pool)), i.cast("int"))
+    h, r = F.floor(n / 100), n % 100
+    below = F.when(r < 20, word(names, r + 1)).otherwise(F.concat(word(tens, F.greatest(F.floor(r / 10) - 1, F.lit(1))), F.when(r % 10 > 0, F.concat(F.lit("-"), word(names, r % 10 + 1))).otherwise("")))
+    words = F.when(h == 0, below).otherwise(F.concat(word(names, h + 1), F.lit(" hundred"), F.when(r > 0, F.concat(F.lit(" and "), below)).otherwise("")))
+    fig = n.cast("string")
+    forms = [F.concat(F.lit("Take "), words, F.lit(" milligrams [1].")), F.concat(F.lit("**"), fig, F.lit("** tablets, twice daily")), F.concat(fig, F.lit(" and a half tabs of it")), F.concat(fig, F.lit(",000 ML")), F.concat(F.lit("Rest, "), F.col("c_name")), F.concat(F.lit("half a tablet – "), words)]
+    text = F.element_at(F.array(*forms), (k % 6 + 1).cast("int"))
+    return table(s, d, "customer").select("c_custkey", D.read_doses(text).alias("r"))
 
 
-_DPOOL = "[" + ", ".join("'" + x + "'" for x in DOSES) + "]"
-_DTEXT = f"concat_ws(' ', {_DPOOL}[(c_custkey % {len(DOSES)} + 1)::INTEGER], {_DPOOL}[(c_custkey // 3 % {len(DOSES)} + 1)::INTEGER])"
-
-
-def _dose_sql() -> str:
-    t = rf"lower(regexp_replace({_DTEXT}, '\s*\[[0-9, ]+\]', '', 'g'))"
-    for sign, value in L.FRACTIONS.items():
-        t = f"replace({t}, '{sign}', '{value}')"
-    for n, word in enumerate(L.NUMBERS):
-        t = rf"regexp_replace({t}, '\b{word}\b', '{n}', 'g')"
-    t = rf"regexp_replace({t}, '([0-9]),([0-9]{{3}})\b', '\1\2', 'g')"
-    for names, unit in L.UNITS.items():
-        t = rf"regexp_replace({t}, '([0-9]) ?(?:{names})\b', '\1 {unit}', 'g')"
-    return t
+_DOSED = """SELECT c_custkey, CASE f WHEN 0 THEN 'take ' || n || 'mg' WHEN 1 THEN n || 'tablets, 2 times daily' WHEN 2 THEN n || ' 1/2tablets of it' WHEN 3 THEN n || '000ml' WHEN 4 THEN 'rest, ' || lower(c_name) ELSE '1/2tablets - ' || n END AS normalised,
+CASE f WHEN 0 THEN n || 'mg' WHEN 1 THEN n || 'tablets' WHEN 2 THEN '1/2tablets' WHEN 3 THEN n || '000ml' WHEN 4 THEN '' ELSE '1/2tablets' END AS doses, true AS bears_dose, false AS unreadable FROM (SELECT *, c_custkey % 1000 AS n, c_custkey % 6 AS f FROM customer)"""
 
 
 FORMULAS = [r"\left( x^{2} + 1 \right)", r"\dfrac{a}{b} \cdot c", r"\alpha b \leq 3", r"x - y = 0", r"\frac{a}{b} \times c", r"5 + 1"]
@@ -237,8 +234,9 @@ QUERIES = {
     "fn_count_words": lambda s, d: table(s, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("tokens")),
     "fn_wordpiece_count": lambda s, d: table(s, d, "documents").select("doc_id", WordPieces(_vocabulary(s, d)).count(F.coalesce("text", F.lit(""))).alias("tokens")),
     "fn_citations_in": _citations,
-    "fn_normalise_dose": lambda s, d: _doses(s, d).select("c_custkey", "normalised"),
-    "fn_dose_tokens": lambda s, d: _doses(s, d).select("c_custkey", "doses"),
+    "fn_normalise_dose": lambda s, d: _doses(s, d).select("c_custkey", "r.normalised"),
+    "fn_dose_tokens": lambda s, d: _doses(s, d).select("c_custkey", F.array_join("r.tokens", "|").alias("doses"), "r.bears_dose", "r.unreadable"),
+    "fn_dose_texts": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", D.read_doses(F.col("text")).alias("r")).select("conv_id", "turn", F.sha2("r.normalised", 256).alias("sha"), F.size("r.tokens").alias("tokens"), "r.bears_dose", "r.unreadable"),
     "fn_latex_normalise": _latex,
     "fn_doctags": _doctags,
     "fn_calc": _calc,
@@ -292,8 +290,8 @@ c AS (SELECT w, coalesce(max(n) FILTER (WHERE pos > length(w)), 1) AS n FROM m G
 SELECT doc_id, (coalesce(sum(n), 0) + 2)::INTEGER AS tokens FROM documents LEFT JOIN dw USING (doc_id) LEFT JOIN c USING (w) GROUP BY doc_id""",
     "fn_citations_in": rf"""WITH b AS (SELECT reply_id, regexp_extract_all(text || CASE WHEN reply_id % 3 = 0 THEN ' [see 4]' ELSE ' [12,3]' END, '\[([^\]\n]*)\]', 1) AS l FROM ({RP._REPLIES}))
 SELECT reply_id, array_to_string(list_transform(flatten(list_transform(list_filter(l, lambda x: regexp_matches(x, '^\s*\d+\s*(,\s*\d+\s*)*$')), lambda x: string_split(x, ','))), lambda x: trim(x)), ',') AS cited, len(list_filter(l, lambda x: regexp_matches(x, '\d') AND NOT regexp_matches(x, '^\s*\d+\s*(,\s*\d+\s*)*$'))) > 0 AS malformed FROM b""",
-    "fn_normalise_dose": f"SELECT c_custkey, {_dose_sql()} AS normalised FROM customer",
-    "fn_dose_tokens": rf"SELECT c_custkey, array_to_string(regexp_extract_all(n, '[0-9]+(?:\.[0-9]+)? (?:{'|'.join(L.UNITS.values())})'), '|') AS doses FROM (SELECT c_custkey, {_dose_sql()} AS n FROM customer)",
+    "fn_normalise_dose": f"SELECT c_custkey, normalised FROM ({_DOSED})",
+    "fn_dose_tokens": f"SELECT c_custkey, doses, bears_dose, unreadable FROM ({_DOSED})",
     "fn_latex_normalise": f"""WITH n(i, normalised, shown) AS (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (_, a, b) in enumerate(NESTED))})
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN {_latex_sql(f"{_FPOOL}[(c_custkey // 2 % {len(FORMULAS)} + 1)::INTEGER]")} ELSE n.normalised END AS normalised, CASE WHEN c_custkey % 2 = 1 THEN n.shown END AS shown FROM customer JOIN n ON n.i = c_custkey // 2 % {len(NESTED)}""",
     "fn_doctags": rf"SELECT c_custkey, 0 AS pos, 'text' AS kind, trim(c_name) AS content FROM customer UNION ALL SELECT c_custkey, 1, 'latex', trim({_F}) FROM customer UNION ALL SELECT c_custkey, 2, 'latex', 'see \pi here' FROM customer WHERE c_custkey % 3 = 0",
