@@ -144,9 +144,8 @@ def by_bucket(doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the input's size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    """Bytes of all texts, counted: a planner's estimate knows nothing of rows made in memory, and multiplies joins."""
+    return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def contexts(s: Suffixes, order: np.ndarray) -> bytes:
@@ -225,7 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = input_bytes(base)
     # about 4 bins to a group of a level; the table is at most 2^20 bins a level
     bins = bins or 1 << int(np.clip(math.ceil(math.log2(max(size, 1) / 36 / budget * 4)), 12, 20))
-    buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (8 << 20) + 1)
+    buckets = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20) + 1)
     groups = np.full((0, bins), -1, np.int32)
     context = base.sparkSession.sparkContext
     for level in range(levels):
@@ -296,12 +295,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if hot:
         repeats = repeats.union(hot_repeats(base, shared, window, bins, buckets))
 
-    own = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(buckets)).cast("int")).otherwise(bucket_of("doc_id", buckets))
-    keys = base.withColumn("bucket", own)
+    keys = base.where("doc_id is not null").withColumn("bucket", bucket_of("doc_id", buckets))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept", "removed_spans"] * with_text
 
     def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in right.column("at").to_pylist()]
+        return rows_of(left, [unpack(x) for x in right.column("at").to_pylist()])
+
+    def without_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from rows_of(pa.Table.from_batches([batch]), []).to_batches()
+
+    def rows_of(left: pa.Table, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
         doc, pos = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]) for i in (0, 1))
         order = np.argsort(doc, kind="stable")
         doc, pos = doc[order], pos[order]
@@ -326,7 +330,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=False)], names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed_spans array<struct<start:int,end:int>>" * with_text
-    return keys.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(rebuild, schema)
+    # rows without an id are neither compared nor cut: they stay where they are
+    return keys.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(rebuild, schema).union(base.where("doc_id is null").mapInArrow(without_id, schema))
 
 
 def bucket_of(id_col: str, buckets: int):
