@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text as T
 from lorekeep.operators import chunking as C
 from lorekeep.plans.functions import _sent_sql
 from lorekeep.plans.packs import _CHUNKS, chunks, norm_sql
 from lorekeep.session import table
 from lorekeep.sources import markdown as MD
 from lorekeep.sources import text as TX
+from lorekeep.sources.office import office_blocks
 
 TARGET, OVERLAP, CEILING = 60, 18, 80
 
@@ -57,6 +62,59 @@ def _lenient(s, d):
     return table(s, d, "customer").select("c_custkey", F.array_join(F.element_at(m, "title"), "|").alias("title"), F.array_join(F.element_at(m, "variants"), "|").alias("variants"))
 
 
+#: Characters that XML has no place for, and ends of line other than \n.
+_ODD = r"[\x00-\x08\x0B-\x1F\x7F-\x9F\x{FFFE}\x{FFFF}]"
+
+
+def _zip(files: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def as_docx(lines: list[str]) -> bytes:
+    """A Word file: the first line is a heading, each other one a paragraph."""
+    para = lambda t, style="": f"<w:p>{style}<w:r><w:t>{escape(t)}</w:t></w:r></w:p>"
+    body = [para(t, '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' if i == 0 else "") for i, t in enumerate(lines)]
+    return _zip({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{"".join(body)}</w:body></w:document>'})
+
+
+def as_epub(lines: list[str]) -> bytes:
+    """An e-book of two chapters, named in the spine in another order than in the manifest; each chapter's first line is a heading."""
+    half = (len(lines) + 1) // 2
+    page = lambda part: "<html><body>" + "".join(f"<h1>{escape(t)}</h1>" if i == 0 else f"<p>{escape(t)}</p>" for i, t in enumerate(part)) + "</body></html>"
+    return _zip(
+        {
+            "META-INF/container.xml": '<c xmlns="urn:x"><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></c>',
+            "o/p.opf": '<p xmlns="urn:y"><manifest><item id="two" href="b.html"/><item id="one" href="a.html"/></manifest><spine><itemref idref="one"/><itemref idref="two"/></spine></p>',
+            "o/a.html": page(lines[:half]),
+            "o/b.html": page(lines[half:]),
+        }
+    )
+
+
+def _files(s, d, ending, make):
+    """Each document as the bytes of a file; every eleventh is cut short and every thirteenth of a type that no reader knows."""
+
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([make(t.split("\n")) for t in texts.to_pylist()], pa.binary())
+
+    k = F.col("doc_id")
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), _ODD, "")
+    whole = table(s, d, "documents").select("doc_id", packed(clean).alias("content"))
+    path = F.concat(k.cast("string"), F.when(k % 13 == 5, ".odt").otherwise(ending))
+    return whole.select(path.alias("path"), F.when(k % 11 == 3, F.substring("content", 1, 40)).otherwise(F.col("content")).alias("content"))
+
+
+_FILE_LINES = f"""f AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '{_ODD}', '', 'g'), chr(10)) AS l FROM documents WHERE doc_id % 13 <> 5 AND doc_id % 11 <> 3)"""
+_FAULTS = """SELECT doc_id || '.odt', 0, NULL, NULL, NULL, NULL, 'unknown type' FROM documents WHERE doc_id % 13 = 5 UNION ALL SELECT doc_id || '{}', 0, NULL, NULL, NULL, NULL, 'unreadable: BadZipFile' FROM documents WHERE doc_id % 13 <> 5 AND doc_id % 11 = 3"""
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_ONE_SPACE = r"trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
 def _corpus(s, d):
     k = F.col("doc_id")
     body = F.coalesce("text", F.lit(""))
@@ -105,6 +163,8 @@ def _merged(s, d):
 
 
 QUERIES = {
+    "src_docx": lambda s, d: office_blocks(_files(s, d, ".docx", as_docx)),
+    "src_epub": lambda s, d: office_blocks(_files(s, d, ".epub", as_epub)),
     "src_markdown": lambda s, d: MD.markdown_blocks(markdown_docs(s, d)).select("doc_id", "block", "section_path", "kind", "text", "first_line"),
     "src_dispatch": _dispatch,
     "src_front_matter": _front,
@@ -127,6 +187,12 @@ QUERIES = {
 _COUNT = lambda x: rf"len(list_filter(string_split(regexp_replace({x}, '[\s\p{{Z}}\x{{85}}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
 _WORDS = lambda x: rf"list_filter(string_split(trim(regexp_replace({x}, '[\s\p{{Z}}\x{{85}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
 ORACLE_SQL = {
+    "src_docx": f"""WITH {_FILE_LINES}, x AS (SELECT doc_id, l[1] AS top, unnest(range(2, len(l) + 1)) AS i, unnest(l[2:]) AS line FROM f), y AS (SELECT *, {_STRIP.format('line')} AS t FROM x)
+SELECT doc_id || '.docx' AS path, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS n, {_STRIP.format('top')} AS section_path, 'paragraph' AS kind, t AS text, '¶' || i AS locator, NULL AS problem FROM y WHERE t <> '' UNION ALL {_FAULTS.format('.docx')}""",
+    "src_epub": f"""WITH {_FILE_LINES}, h AS (SELECT doc_id, l, (len(l) + 1) // 2 AS half FROM f), c AS (SELECT doc_id, 1 AS chapter, l[1:half] AS l FROM h UNION ALL SELECT doc_id, 2, l[half + 1:] FROM h),
+x AS (SELECT doc_id, chapter, {_ONE_SPACE.format('l[1]')} AS top, unnest(range(2, len(l) + 1)) AS i, unnest(l[2:]) AS line FROM c), y AS (SELECT *, {_ONE_SPACE.format('line')} AS t FROM x)
+SELECT doc_id || '.epub' AS path, row_number() OVER (PARTITION BY doc_id ORDER BY chapter, i)::INTEGER AS n, ['one', 'two'][chapter] || CASE WHEN top <> '' THEN ' > ' || top ELSE '' END AS section_path, 'p' AS kind, t AS text,
+  ['a', 'b'][chapter] || '.html#b' || row_number() OVER (PARTITION BY doc_id, chapter ORDER BY i) AS locator, NULL AS problem FROM y WHERE t <> '' UNION ALL {_FAULTS.format('.epub')}""",
     "src_markdown": f"WITH {_MD} SELECT doc_id, block, section_path, kind, text, first_line FROM bl",
     "src_dispatch": f"""WITH {_MD} SELECT 'md' AS type, count(DISTINCT doc_id) AS docs FROM bl WHERE doc_id % 2 = 0 UNION ALL SELECT 'txt', count(DISTINCT doc_id) FROM ({_CHUNKS}) WHERE doc_id % 2 = 1 UNION ALL SELECT 'html', count(*) FROM pages WHERE html IS NOT NULL""",
     "src_front_matter": """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN '"' || c_name || '"' END AS title, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 THEN c_custkey::VARCHAR END AS n,
