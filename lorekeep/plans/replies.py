@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators import quotes as Q
 from lorekeep.operators import replies as R
+from lorekeep.plans import packs as PP
 from lorekeep.session import table
 
 SENTENCES = [
@@ -196,7 +199,31 @@ def _batch(s, d):
     return g.groupBy(F.coalesce("v.banner", F.lit("-")).alias("banner")).agg(F.count("*").alias("n"), F.count_if("refused").alias("refused"), F.coalesce(F.sum("v.doses"), F.lit(0)).alias("doses"), F.coalesce(F.sum("v.signposts"), F.lit(0)).alias("signposts"), F.count_if(F.col("v.text") != F.col("text")).alias("changed"))
 
 
+def _quote_sources(s, d):
+    """The first three paragraphs of each document, numbered as sources of a reply of its id."""
+    c = PP.chunks(s, d)
+    order = Window.partitionBy("doc_id").orderBy("chunk_id")
+    return c.withColumn("n", F.row_number().over(order)).where("n <= 3").select(F.col("doc_id").alias("reply_id"), "n", F.col("n").cast("long").alias("page"), "section_path", "text")
+
+
+def _quotes(s, d):
+    """Replies that quote all sentences of their sources in order; every seventh one leaves out citations, every eleventh cites a source that isn't there, every fifth turns the sources round, every ninth changes a word."""
+    src = _quote_sources(s, d)
+    k = F.col("reply_id")
+    mark = F.when(k % 7 == 3, "").when(k % 11 == 4, " [9]").otherwise(F.concat(F.lit(" ["), F.col("n").cast("string"), F.lit("]")))
+    said = F.array_join(F.transform(R.sentences(F.col("text")), lambda x: F.concat(F.regexp_replace(x, r"([.!?]*)$", ""), mark, F.regexp_extract(x, r"([.!?]*)$", 1))), " ")
+    part = src.select("reply_id", F.when(k % 5 == 2, -F.col("n")).otherwise(F.col("n")).alias("at"), F.when(k % 9 == 1, F.concat(F.lit("Indeed "), said)).otherwise(said).alias("said"))
+    replies = part.groupBy("reply_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "\n").alias("text"))
+    return Q.judge_quotes(replies, src)
+
+
+def _quote_verdicts(s, d):
+    return Q.verdicts(_quotes(s, d))
+
+
 QUERIES = {
+    "guard_quotes": lambda s, d: _quotes(s, d).select("reply_id", "k", F.sha2("text", 256).alias("sha"), F.array_join(F.col("cites").cast("array<string>"), ",").alias("cites"), "reason"),
+    "guard_quote_verdicts": lambda s, d: _quote_verdicts(s, d).select("reply_id", "outcome", "kept", "withheld", F.array_join(F.col("citations").cast("array<string>"), ",").alias("citations")),
     "fn_normalise_reply": lambda s, d: _with(s, d, normalised=R.normalise_reply(F.col("text"))),
     "fn_clauses": _clauses,
     "det_scan_directions": _evidence,
