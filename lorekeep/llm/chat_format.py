@@ -18,12 +18,12 @@ Ties of place are broken by kind (message, call, result). Empty input gives no r
 
 from __future__ import annotations
 
-import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, shared_dir, table
 
 CALLS = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 #: Parameter types of the registry and the VARIANT types they admit (fixed values).
@@ -75,20 +75,24 @@ def ordered(units: DataFrame, edges: DataFrame) -> DataFrame:
     live = cut(live.select("*", F.lit(None).cast("struct<turn:long,part:long,depth:long>").alias("free"), F.lit(0).cast("long").alias("met"), F.coalesce("deps", F.lit(0)).alias("open")), "order")
     waiting = live.where("open > 0")
     placed = live.where("open = 0").select("conv_id", "id", F.col("own").alias("at"), "result_turn")
-    out = [state.join(forward, "conv_id", "left_anti").select("conv_id", "id", F.col("own").alias("at"), F.lit(False).alias("cyclic"))]
+    path, last = f"{shared_dir(state.sparkSession)}/placed-{uuid.uuid4().hex}", live
     while True:
-        out.append(placed.select("conv_id", "id", "at", F.lit(False).alias("cyclic")))
+        # rows of all rounds go to one table, so that a plan doesn't grow with the rounds, and a round's table goes when the next is written
+        placed.select("conv_id", "id", "at", F.lit(False).alias("cyclic")).write.mode("append").parquet(path)
         freed = links.join(placed.select("conv_id", F.col("id").alias("dep"), done(F.col("at"), F.col("result_turn")).alias("now")), ["conv_id", "dep"]).groupBy("conv_id", "id").agg(F.max("now").alias("now"), F.count("*").alias("more"))
         new = waiting.join(freed, ["conv_id", "id"], "left")
         new = new.withColumn("free", F.greatest("free", "now")).withColumn("met", F.col("met") + F.coalesce("more", F.lit(0))).drop("now", "more")
         new = cut(new, "order")
+        discard(last)
+        last = new
         after = F.struct(F.col("free.turn").alias("turn"), F.col("free.part").alias("part"), (F.col("free.depth") + 1).alias("depth"))
         placed = new.where("met = open").select("conv_id", "id", F.greatest("own", after).alias("at"), "result_turn")
         waiting = new.where("met < open")
         if placed.isEmpty():
             break
-    out.append(waiting.select("conv_id", "id", F.col("own").alias("at"), F.lit(True).alias("cyclic")))
-    return functools.reduce(DataFrame.unionByName, out)
+    waiting.select("conv_id", "id", F.col("own").alias("at"), F.lit(True).alias("cyclic")).write.mode("append").parquet(path)
+    inside = state.join(forward, "conv_id", "left_anti").select("conv_id", "id", F.col("own").alias("at"), F.lit(False).alias("cyclic"))
+    return inside.unionByName(state.sparkSession.read.schema(inside.schema).parquet(path))
 
 
 def format_chats(messages: DataFrame, tools: DataFrame) -> DataFrame:

@@ -179,6 +179,13 @@ def test_forward_waits(spark):
     assert got["d"] == (2, 1, 0) and got["c"] == (5, 0, 1) and got["a"] == (5, 0, 2) and got["b"] == (5, 0, 3) and got["e"] == (5, 0, 3)
 
 
+def test_long_chain(spark):
+    """Every call waits for the next one: as many rounds as the chain has steps, one table of placed calls."""
+    n = 14
+    got = {r.call_id: (r.order_turn, r.order_part, r.order_depth) for r in chat(spark, [(0, [(f"c{i}", [f"c{i + 1}"] if i + 1 < n else None) for i in range(n)])])}
+    assert got == {f"c{i}": (0, n, n - 1 - i) for i in range(n)}
+
+
 def test_circles(spark):
     """Calls in a circle of any size, and what waits for them, keep their place."""
     n = 12
