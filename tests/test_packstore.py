@@ -28,14 +28,24 @@ def sha(text, section, locator, title):
     return hashlib.sha256(("[" + ",".join(json.dumps(x) for x in (text, section, locator, title)) + "]").encode()).hexdigest()
 
 
-@pytest.fixture()
-def store(spark):
+def fresh(spark):
     s = PackStore(spark, new_path(spark, "packs-test"))
     d, c = rows(spark, ["a", "b/c d"])
     s.build(d, c, manifests(spark, ["a", "b/c d"]))
     return s
 
 
+@pytest.fixture(scope="module")
+def store(spark):
+    """For tests that change nothing, among them builds that fail."""
+    return fresh(spark)
+
+
+@pytest.fixture(scope="module")
+def before(store):
+    return state(store)
+
+
 def state(store):
     return sorted(map(tuple, store.read("chunks").select("pack_id", "doc_id", "chunk_id", "text").collect())), sorted(map(tuple, store.catalog().select("pack_id", "docs", "chunks", "content_sha256").collect()))
 
@@ -67,23 +77,21 @@ def test_build_and_mount(spark, store):
         (lambda d, c, m: (d, c, m.withColumn("value", F.when(F.col("key") == "schema_version", "9").otherwise(F.col("value")))), "newer"),
     ],
 )
-def test_failing_builds_change_nothing(spark, store, change, message):
-    before = state(store)
+def test_failing_builds_change_nothing(spark, store, before, change, message):
     with pytest.raises(BuildError, match=message):
         store.build(*change(*rows(spark, ["a"], word="other"), manifests(spark, ["a"])))
     assert state(store) == before and builds(store) == 1
 
 
-def test_a_build_that_breaks_while_writing(spark, store):
-    before = state(store)
+def test_a_build_that_breaks_while_writing(spark, store, before):
     d, c = rows(spark, ["a"], word="other")
     with pytest.raises(Exception, match="broken"):
         store.build(d, c.withColumn("text", F.when(F.col("chunk_id") == 21, F.raise_error(F.lit("broken"))).otherwise(F.col("text"))), manifests(spark, ["a"]))
     assert state(store) == before and builds(store) == 1
 
 
-def test_rows_that_differ_when_read_back(spark, store, monkeypatch):
-    before, real, calls = state(store), P.chunk_shas, []
+def test_rows_that_differ_when_read_back(spark, store, before, monkeypatch):
+    real, calls = P.chunk_shas, []
 
     def shas(chunks, docs):
         calls.append(1)
@@ -95,7 +103,8 @@ def test_rows_that_differ_when_read_back(spark, store, monkeypatch):
     assert state(store) == before and builds(store) == 1
 
 
-def test_upsert_and_vacuum(spark, store):
+def test_upsert_and_vacuum(spark):
+    store = fresh(spark)
     d = spark.createDataFrame([("a", 2, "New", None), ("a", 50, "More", None)], "pack_id string, doc_id long, title string, slug string")
     c = spark.createDataFrame([(2, 999, "", "L1", "new two"), (50, 500, "", "L1", "fifty")], "doc_id long, chunk_id long, section_path string, locator string, text string")
     store.upsert(d, c, manifests(spark, ["a"]))
@@ -106,7 +115,8 @@ def test_upsert_and_vacuum(spark, store):
     assert store.vacuum() == 2 and len(state(store)[0]) == 24
 
 
-def test_refused_packs(spark, store):
+def test_refused_packs(spark):
+    store = fresh(spark)
     store.build(*rows(spark, ["b/c d"]), manifests(spark, ["b/c d"], embedder_sha256="ffff"))
     assert store.read("docs", embedders=["ABCD"]).where("pack_id = 'a'").count() == 4
     assert store.read("docs", embedders=["abcd"], skip=True).count() == 4
