@@ -285,7 +285,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "pages"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = registered.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
