@@ -17,7 +17,7 @@ from lorekeep.operators import analytics, conversation, lookup, retrieval, token
 from lorekeep.operators.textindex import TextIndex
 from lorekeep.plans import entities, functions, messages, packs, replies, selection, summaries
 from lorekeep.plans import sources as documents
-from lorekeep.session import table
+from lorekeep.session import spread, table
 from lorekeep.sources import text as sources
 
 WATCH = tokens.Watch(baseline=8, window=4, sustained=3)
@@ -155,7 +155,7 @@ def _index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The index over the documents in packs by source, built by the first query of a session that asks and opened by the others."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = TextIndex.build(_chunks(spark, sf_dir))
+        _INDEXES[key] = TextIndex.build(spread(_chunks(spark, sf_dir)))
     return _INDEXES[key]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import stem
 from lorekeep.functions import text as T
 from lorekeep.operators import packs as P
-from lorekeep.session import table
+from lorekeep.session import spread, table
 from lorekeep.sources import text as sources
 from lorekeep.sources.packstore import BuildError, PackStore
 from lorekeep.storage import new_path
@@ -24,7 +24,7 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 
 def chunks(s: SparkSession, d: str) -> DataFrame:
     """Sentences at line ends close a paragraph; ten lines make a section."""
-    t = table(s, d, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text"))
+    t = spread(table(s, d, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text")))
     p = sources.paragraphs(t)
     return p.select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("first_line")).alias("chunk_id"), F.concat(F.lit("S"), F.floor(F.col("first_line") / 10).cast("string")).alias("section_path"), F.concat(F.lit("L"), F.col("first_line").cast("string"), F.lit("-L"), F.col("last_line").cast("string")).alias("locator"), "text")
 

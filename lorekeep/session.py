@@ -23,3 +23,9 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read lazily with column pruning left to the planner."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over as many tasks as the session has cores: a table of one small file would be one task. Larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
