@@ -1,4 +1,4 @@
-"""BPE against the tokenizers library on every code point, and on marks in every order."""
+"""BPE against the tokenizers library on every code point below U+30000 and samples above, and on marks in every order."""
 
 import random
 
