@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import stem
 from lorekeep.operators import analytics as A
+from lorekeep.operators import textindex
 from lorekeep.operators.textindex import TextIndex
 from lorekeep.sources import text as TX
 
@@ -83,6 +84,19 @@ def test_search_scores_few(spark, built):
     assert built.candidates(lists, 5, False, asked).count() < matches / 10
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_search_any_both_ways(spark, built, few, monkeypatch):
+    """Blocks of postings and products over all chunks give the same; products in several blocks of chunks and of queries and in small steps."""
+    rows, vocab = corpus()
+    for name, value in {"DENSE": 1e9 if few else 0.0, "CHUNKS": 400, "QUERIES": 5, "STEP": 50}.items():
+        monkeypatch.setattr(textindex, name, value)
+    rng = random.Random(9)
+    queries = [(i, ["common"] + rng.choices(vocab[:60], k=6)) for i in range(12)] + [(90, ["nothing"]), (91, ["lonely"])]
+    found = built.search(spark.createDataFrame(queries, "query_id long, terms array<string>"), 7, False)
+    assert ("FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()) != few
+    assert [(q, p, c, r) for q, p, c, _, r in sorted(map(tuple, found.collect()))] == [(q, p, c, r) for q, p, c, _, r in brute(rows, queries, 7, False)]
+
+
 def test_blocks_and_reopening(spark, built):
     assert built.blocks.where(F.size("chunk_ids") > 128).isEmpty() and built.blocks.where("stem = 'common'").count() > 10
     again = TextIndex(spark, built.path)
