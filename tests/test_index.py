@@ -124,6 +124,32 @@ def test_clusters_without_contraction(spark, monkeypatch):
     assert got == {f"n{i:03}": "n000" for i in range(151)} | {f"s{i}": "s0" for i in range(50)}
 
 
+def phrases():
+    """Many entries of few names and titles, some entries with two names, some of no name, and names whose words are common but not side by side."""
+    rng = random.Random(6)
+    words = ["old", "red", "hot", "ring", "bolt", "5", "6"]
+    names = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 3])))) for i in range(60)] + [(3, "red ring"), (4, ""), (70, "ring red"), (71, "gone")]
+    return names, [(i, " ".join(rng.choices(words[:5] if i % 2 else words, k=rng.choice([2, 4])))) for i in range(65)] + [(5, "red ring red"), (6, "")]
+
+
+def test_phrase_pairs_and_links(spark):
+    names, titles = phrases()
+    want = {(e, o) for o, n in names for e, t in titles if n and e != o and f" {n} " in f" {t} "}
+    frames = spark.createDataFrame(names, "entry long, name string"), spark.createDataFrame(titles, "entry long, title string")
+    got = [tuple(r) for r in A.phrase_pairs(*frames).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    every = spark.range(80).select(F.col("id").alias("entry"))
+    none = spark.createDataFrame([], "entry long, key string")
+    split = lambda pairs: {r.entry: r.cluster for r in A.cluster_splits(none, every, pairs, "s", every.limit(0)).collect()}
+    assert split(A.phrase_links(*frames)) == split(spark.createDataFrame(list(want), "entry long, other long"))
+
+
+def test_phrase_links_grow_with_entries(spark):
+    """A name that a thousand entries bear and a thousand titles hold gives some thousand links, not a million."""
+    e = spark.range(1000)
+    assert A.phrase_links(e.selectExpr("id as entry", "'ring' as name"), e.selectExpr("id as entry", "'large ring' as title")).count() < 2100
+
+
 def test_fake_names_are_an_error(spark):
     e = spark.createDataFrame([(1, "a"), (2, "a")], "entry long, key string")
     empty = spark.createDataFrame([], "entry long, other long")
