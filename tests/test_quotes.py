@@ -48,3 +48,13 @@ def test_every_case(spark):
 @pytest.mark.parametrize(("text", "want"), [("a. b! [1] c? [1] [2]\nd", ["a.", "b! [1]", "c? [1] [2]", "d"]), (" \n", []), ("e.g. this", ["e.g.", "this"]), (None, [])])
 def test_split(text, want):
     assert Q.split(text) == want
+
+
+def test_texts_are_read_once_and_replies_need_no_frames(spark):
+    """A sentence said often and found often gives places once for each of the source's sentences, and texts are read by no more than one step after the reading."""
+    n = 300
+    replies = spark.createDataFrame([(1, "Rest well [1]. " * n), (2, "Gone [1].")], "reply_id long, text string")
+    judged = Q.judge_quotes(replies, spark.createDataFrame([(1, 1, 1, "", "Rest well. " * n)], "reply_id long, n int, page int, section_path string, text string"))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "FlatMapGroupsInPandas" not in plan
+    assert [(r.reply_id, r.k, r.reason) for r in judged.orderBy("reply_id", "k").collect()] == [(1, i, None) for i in range(n)] + [(2, 0, "citation out of range")]
