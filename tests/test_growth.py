@@ -45,3 +45,19 @@ def test_words_that_nobody_asks_for_are_not_shuffled(spark):
     rows = []
     assert moved(spark, lambda: rows.extend(packs.ranked_in_docs(asked, chunks).collect())) < 200
     assert sorted((r.doc_id, r.chunk_id, r["rank"]) for r in rows) == [(d, d * 10 + i, i + 1) for d in range(4) for i in range(3)]
+
+
+def test_an_index_shuffles_postings_not_words(spark):
+    chunks = spark.createDataFrame([("p", i, " ".join(words(50, 2) * 40)) for i in range(8)], "pack_id string, chunk_id long, text string").repartition(4)
+    built = []
+    n = moved(spark, lambda: built.append(TextIndex.build(chunks)))
+    postings = 8 * len({stem.porter(w) for w in words(50, 2)})
+    assert built[0].lists.agg(F.sum("df")).first()[0] == postings and n < 6 * postings
+    built[0].drop()
+
+
+def test_chunks_given_twice_count_once(spark):
+    two = spark.createDataFrame([("p", 1, "cats purr"), ("p", 1, "cats bark"), ("p", 2, "dogs bark")], "pack_id string, chunk_id long, text string")
+    index = TextIndex.build(two)
+    assert {r.stem: r.df for r in index.lists.collect()} == {"cat": 1, "purr": 1, "bark": 2, "dog": 1}
+    index.drop()
