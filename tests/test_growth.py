@@ -8,6 +8,7 @@ from lorekeep.functions import stem
 from lorekeep.functions import text as T
 from lorekeep.operators import packs
 from lorekeep.operators.textindex import TextIndex
+from lorekeep.plans import sources as documents
 
 
 def moved(spark, job) -> int:
@@ -61,3 +62,13 @@ def test_chunks_given_twice_count_once(spark):
     index = TextIndex.build(two)
     assert {r.stem: r.df for r in index.lists.collect()} == {"cat": 1, "purr": 1, "bark": 2, "dog": 1}
     index.drop()
+
+
+def test_files_are_packed_a_part_of_a_batch_at_a_time(spark, tmp_path):
+    spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('x', 1000000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    files = documents._files(spark, str(tmp_path), ".epub", documents.as_epub)
+    assert files.count() == 60 and [len(r.content) for r in files.where("path = '3.epub'").collect()] == [40]
+    # a function of a column would make the files of a whole batch before it hands on the first
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
