@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import stem
 from lorekeep.functions import text as T
-from lorekeep.operators import packs
+from lorekeep.operators import packs, selection
 from lorekeep.operators.textindex import TextIndex
 from lorekeep.plans import sources as documents
 
@@ -72,3 +72,19 @@ def test_files_are_packed_a_part_of_a_batch_at_a_time(spark, tmp_path):
     # a function of a column would make the files of a whole batch before it hands on the first
     plan = files._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_tiers_of_an_entry_are_not_rows(spark):
+    tiers = [{"tier": f"t{i:02}", "sha": f" S{i % 40} ", "kind": "text", "base": "b" if i < 45 else "c"} for i in range(50)] + [{"tier": None, "sha": "s7", "kind": "text", "base": "b"}]
+    kind = "entry long, tiers array<struct<tier:string,sha:string,kind:string,base:string>>"
+    entries = spark.createDataFrame([(e, tiers) for e in range(100)] + [(0, [{"tier": "a", "sha": "s1", "kind": "text", "base": "b"}]), (100, None)], kind)
+    wanted = spark.createDataFrame([(e, "S1", "text", "b") for e in range(101)] + [(1, "s41", "text", "b"), (2, "s1", "text", "x"), (3, "s6", "text", "c"), (4, None, "text", "b"), (1, "S1", "text", "b")], "entry long, sha string, kind string, base string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = []
+    try:
+        assert moved(spark, lambda: rows.extend(selection.catalogue_variants(entries, wanted).collect())) < 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {(r.entry, r.sha): (r.tier, r.problem) for r in rows if r.entry in (0, 1, 2, 3, 4, 100)}
+    assert len(rows) == 105 and got[0, "S1"] == ("a", None) and got[1, "S1"] == ("t01", None) and got[1, "s41"] == (None, "unpinned")
+    assert [r.problem for r in rows if r.entry == 2 and r.sha == "s1"] == ["conflict"] and got[3, "s6"] == ("t46", None) and got[4, None] == (None, "unpinned") and got[100, "S1"] == (None, "unpinned")
