@@ -1,12 +1,13 @@
 """What a query shuffles grows with what it has to move, not with every word of its texts."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from lorekeep.functions import stem
 from lorekeep.functions import text as T
-from lorekeep.operators import packs, selection
+from lorekeep.operators import chunking, lookup, packs, selection
 from lorekeep.operators.textindex import TextIndex
 from lorekeep.plans import sources as documents
 
@@ -88,3 +89,30 @@ def test_tiers_of_an_entry_are_not_rows(spark):
     got = {(r.entry, r.sha): (r.tier, r.problem) for r in rows if r.entry in (0, 1, 2, 3, 4, 100)}
     assert len(rows) == 105 and got[0, "S1"] == ("a", None) and got[1, "S1"] == ("t01", None) and got[1, "s41"] == (None, "unpinned")
     assert [r.problem for r in rows if r.entry == 2 and r.sha == "s1"] == ["conflict"] and got[3, "s6"] == ("t46", None) and got[4, None] == (None, "unpinned") and got[100, "S1"] == (None, "unpinned")
+
+
+def test_close_spellings_meet_keys_of_near_lengths_alone(spark):
+    keys = spark.createDataFrame([(i, f"page {i:015d}", 0, f"page {i:015d}") for i in range(500)] + [(500, "swapped letters here", 0, "swapped letters here"), (501, "ant", 0, "ant"), (502, "abbey", 0, "abbey")], "doc_id long, title string, tier int, key string")
+    asked = spark.createDataFrame([("a", "zq" + "7" * 40), ("b", "swapepd letters heer"), ("c", "act"), ("d", "abbye"), ("e", "zebra")], "query string, q string")
+    rows = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # one query is far longer than any key, the other far shorter than nearly all: their 500 pages must not be taken apart
+        assert moved(spark, lambda: lookup.close(asked.where("query in ('a', 'c')"), keys).collect()) < 2000
+        rows = lookup.close(asked, keys).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["query"]: r.titles for r in rows} == {"b": "swapped letters here", "c": "ant", "d": "abbey"}
+
+
+def test_long_texts_are_taken_apart_once(spark):
+    """Work for a text grows with its length: taken apart for each window again, these would take minutes."""
+    n = 12_000
+    d = spark.createDataFrame([("One two three. " * n,)], "t string")
+    start = time.monotonic()
+    par = d.select(F.explode(chunking.paragraph_chunks(F.col("t"), 30, 0, 40)).alias("c")).agg(F.count("*"), F.sum("c.tokens"), F.count_if("c.oversize")).first()
+    code = d.select(F.explode(chunking.code_chunks(F.col("t"), 10)).alias("c")).agg(F.count("*"), F.sum("c.tokens"), F.max("c.tokens")).first()
+    rows = F.transform(F.split("t", r"\. ?"), lambda x: F.array(x))
+    table = d.select(F.explode(chunking.table_chunks(F.array(F.lit("h")), rows, 9, 40)).alias("c")).agg(F.count("*"), F.max("c.tokens")).first()
+    assert time.monotonic() - start < 40
+    assert tuple(code) == (n * 3 // 10, n * 3, 10) and par[2] == 0 and par[1] >= n * 3 and table[0] >= n // 2 and table[1] <= 9
