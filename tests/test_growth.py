@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import stem
 from lorekeep.functions import text as T
-from lorekeep.operators import chunking, lookup, packs, selection
+from lorekeep.operators import chunking, lookup, packs, replies, selection
 from lorekeep.operators.textindex import TextIndex
+from lorekeep.plans import packs as pack_plans
 from lorekeep.plans import sources as documents
 
 
@@ -116,3 +117,16 @@ def test_long_texts_are_taken_apart_once(spark):
     table = d.select(F.explode(chunking.table_chunks(F.array(F.lit("h")), rows, 9, 40)).alias("c")).agg(F.count("*"), F.max("c.tokens")).first()
     assert time.monotonic() - start < 40
     assert tuple(code) == (n * 3 // 10, n * 3, 10) and par[2] == 0 and par[1] >= n * 3 and table[0] >= n // 2 and table[1] <= 9
+
+
+def test_pages_of_a_build_are_judged_once(spark):
+    good, _ = pack_plans._good(spark, "/root/testdata/sf0.001")
+    assert good.count() > 0 and "Generate" not in good._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_guard_reads_its_reply_once(spark):
+    d = spark.createDataFrame([("See your GP today. The helpline is open. Rest. A helpline can listen.", "hi")], "t string, p string").select(replies.apply_guard(F.col("t"), F.col("p")).alias("v"))
+    # the pattern of one direction stands in its test and in what it takes out, and nowhere else
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("keep the area clean") <= 2
+    v = d.first().v
+    assert (v.route, v.text, v.signposts) == ("CLINICIAN", "See your GP. The helpline is open. Rest.", 1)
