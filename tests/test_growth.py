@@ -1,16 +1,19 @@
 """What a query shuffles grows with what it has to move, not with every word of its texts."""
 
 import random
+import re
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lorekeep.functions import stem
+from lorekeep.functions import language, stem
 from lorekeep.functions import text as T
 from lorekeep.operators import chunking, lookup, packs, replies, selection
 from lorekeep.operators.textindex import TextIndex
 from lorekeep.plans import packs as pack_plans
 from lorekeep.plans import sources as documents
+from lorekeep.sources import markdown
 
 
 def moved(spark, job) -> int:
@@ -119,6 +122,35 @@ def test_long_texts_are_taken_apart_once(spark):
     assert tuple(code) == (n * 3 // 10, n * 3, 10) and par[2] == 0 and par[1] >= n * 3 and table[0] >= n // 2 and table[1] <= 9
 
 
+def test_texts_of_one_window_are_not_taken_apart(spark):
+    """What fits goes past Python, and never as null lists: Spark's writer goes over a batch again for each of those. What the whole text's draft says is what its sentences would have."""
+    rng = random.Random(3)
+    bits = ["a", "bb", "Dr.", "e.g.", "U.S.", "x.", "y!", "z?", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x85", "\ufdd0", "\ufdd1", "日本。"]
+    texts = ["One two. Three", " a. b. ", "a.  b", "a.\nb", "a b c. d e f", None, "", " ", "\n", "\ufdd1"] + ["".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(1500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    sentences = language.split_sentences(F.col("t"))
+    rows = d.select("t", chunking.WORDS.taken(F.col("t"), 5).alias("p"), chunking.paragraph_chunks(F.col("t"), 5, 0, 40).alias("c"), sentences.alias("s"), chunking.WORDS.counts(sentences).alias("n")).orderBy("i").collect()
+    assert [len(r.p.sentences) for r in rows[:10]] == [0, 0, 2, 2, 2, 0, 0, 0, 0, 0] and all(len(r.p.counts) == len(r.p.sentences) for r in rows)
+    for r in rows:
+        spans = chunking.window_spans(np.array(r.n, np.int64), 5, 0)
+        assert [(x.text, x.tokens, x.oversize) for x in r.c] == [(" ".join(r.s[a:b]), sum(r.n[a:b]), sum(r.n[a:b]) > 5) for a, b in spans]
+
+
+def test_a_line_of_spaces_is_read_once():
+    """Each of these was tried from every space with every other as its end: minutes."""
+    gap = " " * 20_000
+    start = time.monotonic()
+    got = [tuple(b)[:3] for b in markdown.blocks(f"# a{gap}b\n## c{gap}##{gap}\nx | y\n-{gap}z\n")]
+    assert time.monotonic() - start < 5
+    assert got == [(f"a{gap}b > c", "paragraph", "x | y"), (f"a{gap}b > c", "list", "- z")]
+    old = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#*)?[ \t]*$")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        line = "".join(rng.choices("### \t ax", k=rng.randint(0, 10)))
+        m = old.match(line)
+        assert markdown.heading(line) == (m and (len(m[1]), m[2] or ""))
+
+
 def test_pages_of_a_build_are_judged_once(spark):
     good, _ = pack_plans._good(spark, "/root/testdata/sf0.001")
     assert good.count() > 0 and "Generate" not in good._jdf.queryExecution().optimizedPlan().toString()
