@@ -58,6 +58,22 @@ def test_markdown(spark):
     assert [(r.kind, r.tokens) for r in chunks] == [("paragraph", 9), ("list", 8), ("table", 10), ("code", 6), ("paragraph", 1)] and chunks[2].text == "a | b\na: 1 | b: 2\na: 3" and chunks[2].locator == "L13-L16"
 
 
+def test_the_query_cuts_long_blocks(spark, tmp_path):
+    import duckdb
+
+    from lorekeep.plans import sources
+
+    long = " ".join(f"{chr(97 + i % 26) * 3} second third of it. Next one has six words." for i in range(12))
+    lines = ["Top", long, "Sub", long.replace(".", ""), "short line"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "Top\nshort line")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"select doc_id, block, part, section_path, kind, locator, text, tokens, oversize from ({sources.ORACLE_SQL['chunk_document']}) order by 1, 2, 3").fetchall()
+    got = sources.QUERIES["chunk_document"](spark, str(tmp_path)).orderBy("doc_id", "block", "part").collect()
+    assert [tuple(r) for r in got] == want
+    assert [(r[0], r[1], r[2]) for r in want if r[2]] == [(1, 0, 1), (1, 0, 2), (1, 1, 1)] and [r[-1] for r in want].count(True) == 2
+
+
 def test_sentences(spark):
     text = "Dr. Who met A. Smith. It was 5. See fig. 2, e.g. here! Is it? U.S. law"
     d = spark.createDataFrame([(text,), (None,), ("",)], "t string")
