@@ -29,3 +29,18 @@ def test_common_words_alone_do_not_meet(spark):
     q = keys.where("hash(key) % 50 = 0").select(F.concat(F.lit("alrge"), F.substring("key", 6, 99)).alias("q"))
     met = L.probes(q, "q").join(L.segments(keys, "key"), "sig").select("q", "key").distinct().count()
     assert met < q.count() * 3000 / 50
+
+
+def test_only_tables_of_lengths_are_broadcast(spark):
+    """However small the files that titles and queries come from: what they become on the way can be hundreds of times as much, and would pass through the driver."""
+    titles = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("large green ring "), (F.col("id") * 7919 + 1_000_000).cast("string")).alias("title"), F.lit(None).cast("string").alias("slug"), F.array(F.concat(F.lit("ring "), F.col("id").cast("string"))).alias("variants"))
+    queries = titles.where("doc_id % 10 = 0").select(F.concat(F.lit("alrge"), F.substring("title", 6, 99)).alias("query"))
+    out = L.lookup(queries, titles)
+    assert {r.outcome for r in out.collect()} == {"did_you_mean"} and out.where("how = 'close'").count() == 30
+    k, q = L.keys(titles), queries.withColumn("q", L.T.normalise_title(F.col("query")))
+    sent = {}
+    for name, df in (("exact", L.exact(q, k)), ("contained", L.contained(q, k)), ("close", L.close(q, k)), ("lookup", out)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        sent[name] = plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin")
+    assert sent["exact"] == sent["contained"] == 0
+    assert sent["close"] == sent["lookup"]  # the two lengths of close(), once for each of its branches
