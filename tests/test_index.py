@@ -107,6 +107,34 @@ def test_blocks_and_reopening(spark, built):
     other.drop()
 
 
+@pytest.mark.parametrize("every", [True, False])
+def test_rows_of_one_chunk_id(spark, every):
+    """Rows of one chunk and length are one chunk; a row of another length is one more, and its weights count for the chunk, too."""
+    rows = [("a", 1, "x x y"), ("a", 1, "x z z"), ("a", 2, "x"), ("a", 3, "y z w v"), ("a", 4, "w"), ("a", 5, "v v"), ("a", 6, "u t"), ("a", 7, "u")]
+    asked = spark.createDataFrame([(1, ["x", "y"]), (2, ["z"])], "query_id long, terms array<string>")
+    idf = lambda df: max(1e-6, math.log((8 - df + 0.5) / (df + 0.5)))
+    g = lambda tf, n: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (17 / 8)))
+    same = TextIndex.build(spark.createDataFrame(rows, "pack_id string, chunk_id long, text string").repartition(3))
+    got = {(r.query_id, r.chunk_id): r.score for r in same.search(asked, 5, every).collect()}
+    want = {(1, 1): idf(2) * g(3, 3) + idf(2) * g(1, 3), (1, 2): idf(2) * g(1, 1), (1, 3): idf(2) * g(1, 4), (2, 1): idf(2) * g(2, 3), (2, 3): idf(2) * g(1, 4)}
+    assert got == pytest.approx({k: v for k, v in want.items() if not every or k not in ((1, 2), (1, 3))}, abs=2e-6)
+    other = TextIndex.build(spark.createDataFrame([*rows, ("a", 2, "x y q q")], "pack_id string, chunk_id long, text string").repartition(3))
+    n, avg = 9, 21 / 9
+    score = {r.chunk_id: r.score for r in other.search(spark.createDataFrame([(1, ["q"])], "query_id long, terms array<string>"), 5, every).collect()}
+    assert score == pytest.approx({2: math.log((n - 1 + 0.5) / 1.5) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 4 / avg))}, abs=2e-6)
+
+
+def test_postings_are_dealt_once(spark):
+    """A posting is shuffled to its block alone; how rare its stem is, its list says."""
+    from tests.test_growth import moved, words
+
+    n = len({stem.porter(w) for w in words(300, 2)})
+    chunks = spark.createDataFrame([(p, i, " ".join(words(300, 2))) for p in "ab" for i in range(20)], "pack_id string, chunk_id long, text string").repartition(4)
+    built = []
+    assert 40 * n <= moved(spark, lambda: built.append(TextIndex.build(chunks))) < 1.3 * 40 * n
+    assert built[0].lists.count() == 2 * n and built[0].lists.where("df <> 20 or idf <> 1e-6").isEmpty()
+
+
 def test_clusters_of_a_chain(spark):
     n = 10_000
     order = list(range(n))
