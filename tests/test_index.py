@@ -178,6 +178,18 @@ def test_phrase_links_grow_with_entries(spark):
     assert A.phrase_links(e.selectExpr("id as entry", "'ring' as name"), e.selectExpr("id as entry", "'large ring' as title")).count() < 2100
 
 
+def test_phrase_pairs_shuffle_arrays(spark, monkeypatch):
+    """A name that two thousand entries bear is not dealt entry by entry to each piece of the titles that hold it; runs of any length give the same pairs."""
+    from tests.test_growth import moved
+
+    e = spark.range(2000)
+    names, titles = e.selectExpr("id as entry", "'ring' as name"), e.selectExpr("id as entry", "'large ring' as title")
+    assert moved(spark, lambda: A.phrase_pairs(names, titles).write.format("noop").mode("overwrite").save()) < 20_000
+    monkeypatch.setattr(A, "RUN", 7)
+    few = A.phrase_pairs(names.where("entry < 200"), titles.where("entry < 300"))
+    assert few.count() == few.distinct().count() == 200 * 300 - 200
+
+
 def test_fake_names_are_an_error(spark):
     e = spark.createDataFrame([(1, "a"), (2, "a")], "entry long, key string")
     empty = spark.createDataFrame([], "entry long, other long")
